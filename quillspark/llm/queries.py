@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .mixing import op6_mixing
+from .packing import op5_packing
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
 }
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL}
