@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .mixing import op6_mixing
+from .near_dedup import OP4_SQL, op4_near_dedup
 from .packing import op5_packing
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_near_dedup": op4_near_dedup,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
 }
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op4_near_dedup": OP4_SQL}
