@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .line_dedup import op10_line_dedup
 from .mixing import op6_mixing
 from .near_dedup import OP4_SQL, op4_near_dedup
 from .packing import op5_packing
@@ -12,5 +13,6 @@ QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op4_near_dedup": OP4_SQL}
