@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .language_id import op7_language_id
 from .line_dedup import op10_line_dedup
 from .mixing import op6_mixing
 from .near_dedup import OP4_SQL, op4_near_dedup
 from .packing import op5_packing
+from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op7_language_id": op7_language_id,
     "op4_near_dedup": op4_near_dedup,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
