@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from .chat import OP9_SQL, op9_chat
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .language_id import op7_language_id
 from .line_dedup import op10_line_dedup
 from .mixing import op6_mixing
 from .near_dedup import OP4_SQL, op4_near_dedup
 from .packing import op5_packing
+from .topk import OP3_SQL, op3_topk
 from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
     "op7_language_id": op7_language_id,
+    "op3_topk": op3_topk,
+    "op9_chat": op9_chat,
     "op4_near_dedup": op4_near_dedup,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op4_near_dedup": OP4_SQL}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op4_near_dedup": OP4_SQL, "op3_topk": OP3_SQL, "op9_chat": OP9_SQL}
