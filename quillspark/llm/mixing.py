@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import WORD, drop_scratch, materialize, only, text_of
+from .base import WORD, drop_scratch, materialize, text_of
 
 #: Steps of the dual; bisection alone would settle in as many.
 STEPS = 60
@@ -16,6 +16,7 @@ TOLERANCE = 1e-7
 #: Classes of the rounding threshold in a source.
 CLASSES = 4096
 SEED = 20_011
+COMPUTED = ("size", "source_size", "target", "rate", "copies")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
@@ -93,14 +94,14 @@ def balance(cells: DataFrame, targets: DataFrame, cap: float = 3.0, steps: int =
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), cap: int = 3, seed: int = SEED) -> DataFrame:
     """Copies of each document, so that each source's words come near its target.
 
-    Returns id, text and source under their own names, size (words of the text; 0 for null), source_size, target, rate
-    and copies (0 to ``cap``); one row for each input row. Rates come from :func:`balance`. Rounding gives a document
+    Returns the input's columns, then size (words of the text; 0 for null), source_size, target, rate and copies (0 to
+    ``cap``), which take the place of input columns of the same names; one row for each input row. Rates come from :func:`balance`. Rounding gives a document
     floor(rate) copies and one more if v = u - frac(rate) is below its source's threshold, u being a uniform hash of id
     and seed. The threshold is near 0 and is set from a histogram of v by source (``CLASSES`` classes, so its size is
     bounded): the class limit at which the words taken come nearest the target. It needs no order over documents, and
     reruns agree. A source of no words takes none; rows that repeat an id are treated alike; a null source is a source.
     """
-    rows = only(docs, id=id_col, text=text_col, src=source_col).withColumn("size", F.regexp_count(text_of("text"), F.lit(WORD)).cast("long"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("src"), F.regexp_count(text_of(F.col(f"`{text_col}`")), F.lit(WORD)).cast("long").alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     narrow = materialize(rows.select("id", "src", "size"), "sizes")
     cells = materialize(narrow.groupBy("src", "size").agg(F.count(F.lit(1)).alias("docs")), "cells")
     totals = cells.groupBy("src").agg(F.sum(F.col("size") * F.col("docs")).alias("total"))
@@ -119,7 +120,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     per = materialize(per.join(edge, F.col("src").eqNullSafe(F.col("esrc"))).drop("esrc"), "edges")
     extra = (F.col("cls") <= F.col("edge")) & (F.col("base") < cap)
     return _rounded(rows, per, cap, seed).select(
-        F.col("id").alias(id_col), F.col("text").alias(text_col), F.col("src").alias(source_col),
+        *[F.col("row").getField(c).alias(c) for c in docs.columns if c not in COMPUTED],
         "size", F.col("total").alias("source_size"), "target", "rate", (F.col("base") + F.when(extra, 1).otherwise(0)).cast("int").alias("copies"),
     )
 
