@@ -10,34 +10,28 @@ from pyspark.sql import functions as F
 from .base import drop_scratch, materialize
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-
-
 def components(links: DataFrame) -> DataFrame:
-    """Connected components of links (a, b) by alternating large-star and small-star steps.
+    """Connected components of links (a, b): returns id and comp (smallest id of the component) for each id with a link.
 
-    Returns id and comp (smallest id of the component) for each id with a link. Each half step moves at most one row for
-    each link; its minima are written first, so that the join has two plain sides and AQE can split a vertex with very
-    many links. The loop ends when a whole round changes nothing.
+    Each round takes, for each id, the smallest label among its neighbours' and its own, then the label of that label.
+    So labels jump along chains of labels, and stars of leaders settle in two rounds. Labels are written after each
+    round; links and labels are plain tables, so AQE can split an id with very many links. The loop ends when a round
+    changes nothing.
     """
-    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = materialize(edges, "links")
-    mark = _mark(edges)
-    while mark[0]:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "large")
-        large = materialize(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "star")
-        least2 = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "small")
-        joined = large.join(least2, "a")
-        small = joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
-        nxt = materialize(small, "links")
-        drop_scratch(edges, least, large, least2)
-        edges, before, mark = nxt, mark, _mark(nxt)
-        if mark == before:
-            break
-    stars = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp"))
-    return stars.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
+    pairs = links.filter("a <> b").select("a", "b").distinct()
+    both = materialize(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("comp")), "labels")
+    while True:
+        around = labels.select(F.col("id").alias("b"), F.col("comp").alias("near"))
+        least = both.join(around, "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
+        jump = labels.select(F.col("id").alias("near"), F.col("comp").alias("far"))
+        low = labels.join(least, "id").select("id", "comp", F.least("comp", "near").alias("near")).join(jump, "near").select("id", F.least("near", "far").alias("comp"), (F.least("near", "far") < F.col("comp")).alias("moved"))
+        nxt = materialize(low, "labels")
+        drop_scratch(labels)
+        labels = nxt.select("id", "comp")
+        labels._scratch = nxt._scratch
+        if nxt.filter("moved").isEmpty():
+            return labels
 
 
 def _with_comp(rows: DataFrame, comps: DataFrame, col: str) -> DataFrame:
@@ -45,6 +39,18 @@ def _with_comp(rows: DataFrame, comps: DataFrame, col: str) -> DataFrame:
     return rows.join(c, F.col(col) == F.col("_i"), "left").withColumn(f"{col}_comp", F.coalesce("_c", col)).drop("_i", "_c")
 
 
+def _grown(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components with further links: only the components that these join are worked on."""
+    links = materialize(links, "more")
+    if links.isEmpty():
+        return comps
+    joins = _with_comp(_with_comp(links, comps, "a"), comps, "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+    merged = components(joins)
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    all_ids = comps.unionByName(_with_comp(ends, comps, "id").select("id", F.col("id_comp").alias("comp"))).distinct()
+    return materialize(_with_comp(all_ids, merged, "comp").select("id", F.col("comp_comp").alias("comp")), "comps")
+
+
 def shared_buckets(members: DataFrame) -> DataFrame:
     """Rows (bucket, id) of buckets with two ids or more, with n, the bucket's size."""
     sizes = materialize(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
@@ -70,14 +76,12 @@ def link_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
     tries = materialize(tries, "tries")
     best = tries.groupBy("id").agg(F.max_by("leader", F.struct("shared", (-F.col("leader")).alias("o"))).alias("leader"))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    links = materialize(verify(materialize(best.select(*pair("id", "leader")).distinct(), "pairs1")), "links1")
-    comps = materialize(components(links), "comps1")
+    comps = components(verify(materialize(best.select(*pair("id", "leader")).distinct(), "pairs1")))
 
     rest = _with_comp(_with_comp(tries.select("id", "leader"), comps, "id"), comps, "leader").filter("id_comp <> leader_comp")
     rest = materialize(rest.select(*pair("id", "leader")).distinct(), "pairs2")
     if not rest.isEmpty():
-        links = materialize(links.unionByName(verify(rest)), "links2")
-        comps = materialize(components(links), "comps2")
+        comps = _grown(comps, verify(rest))
 
     placed = materialize(_with_comp(live.select("bucket", "id"), comps, "id"), "placed")
     sizes = placed.groupBy("bucket", "id_comp").agg(F.count(F.lit(1)).alias("k"))
@@ -89,6 +93,5 @@ def link_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
         inside = materialize(mixed.select("bucket", "id", "id_comp", (F.col("id_comp") == F.col("main")).alias("main")), "inside")
         pairs = outside.join(inside, "bucket").filter("o_comp <> id_comp and (main or o < id)")
         pairs = materialize(pairs.select(*pair("o", "id")).distinct(), "pairs3")
-        links = materialize(links.unionByName(verify(pairs)), "links3")
-        comps = materialize(components(links), "comps3")
+        comps = _grown(comps, verify(pairs))
     return comps
