@@ -51,13 +51,28 @@ def _grown(comps: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(_with_comp(all_ids, merged, "comp").select("id", F.col("comp_comp").alias("comp")), "comps")
 
 
+def _across(large: DataFrame, cross: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Links across components in large buckets (bucket, id, id_comp). Buckets that share an id form one group, in which
+    each id stands once; ids outside the group's largest component meet all of the group."""
+    heads = large.groupBy("bucket").agg(F.min("id").alias("head"))
+    groups = components(materialize(large.join(materialize(heads, "heads"), "bucket").select(F.col("id").alias("a"), F.col("head").alias("b")), "stars"))
+    ids = materialize(large.select("id", "id_comp").distinct().join(groups.select("id", F.col("comp").alias("grp")), "id").select("grp", "id", F.col("id_comp").alias("comp")), "grouped")
+    sizes = ids.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("grp").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("kinds"))
+    mixed = ids.join(materialize(sizes.filter("kinds > 1").drop("kinds"), "mains"), "grp")
+    return cross(mixed.filter("comp <> main").drop("main"), mixed.drop("main"))
+
+
 def shared_buckets(members: DataFrame) -> DataFrame:
     """Rows (bucket, id) of buckets with two ids or more, with n, the bucket's size."""
     sizes = materialize(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     return materialize(members.join(sizes, "bucket"), "members")
 
 
-def link_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+#: Buckets up to this size are compared pair by pair in the last step, which bounds its rows by so many for each member.
+SMALL = 24
+
+
+def link_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components of the true links among ids that share a bucket. ``live`` comes from :func:`shared_buckets`; ``verify``
     takes pairs (a, b) and returns those that are links.
 
@@ -66,7 +81,9 @@ def link_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
     of its other buckets, where these are in another component; then each id outside its bucket's largest component with
     all of the bucket that is in another component than its own. After that, two ids that share a bucket are either in
     one component or were compared. The last step's pairs are as many as such outsiders times their buckets' ids, not
-    the square of a bucket, when a bucket is one large group.
+    the square of a bucket, when a bucket is one large group. Where ``cross`` is given, it takes over the last step for
+    buckets of over ``SMALL`` ids: it gets outside (grp, id, comp) and inside (grp, id, comp) of groups of such buckets
+    that hang together, and returns links between different components, without a row for each pair.
 
     Returns id, comp for ids with a link.
     """
@@ -83,15 +100,19 @@ def link_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
     if not rest.isEmpty():
         comps = _grown(comps, verify(rest))
 
-    placed = materialize(_with_comp(live.select("bucket", "id"), comps, "id"), "placed")
+    placed = materialize(_with_comp(live.select("bucket", "id", "n"), comps, "id"), "placed")
     sizes = placed.groupBy("bucket", "id_comp").agg(F.count(F.lit(1)).alias("k"))
     largest = sizes.groupBy("bucket").agg(F.max_by("id_comp", F.struct("k", "id_comp")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     largest = materialize(largest, "largest")
     mixed = placed.join(largest, "bucket")
-    outside = materialize(mixed.filter("id_comp <> main").select("bucket", F.col("id").alias("o"), F.col("id_comp").alias("o_comp")), "outside")
-    if not outside.isEmpty():
-        inside = materialize(mixed.select("bucket", "id", "id_comp", (F.col("id_comp") == F.col("main")).alias("main")), "inside")
-        pairs = outside.join(inside, "bucket").filter("o_comp <> id_comp and (main or o < id)")
-        pairs = materialize(pairs.select(*pair("o", "id")).distinct(), "pairs3")
-        comps = _grown(comps, verify(pairs))
+    outside = materialize(mixed.filter("id_comp <> main").select("bucket", F.col("id").alias("o"), F.col("id_comp").alias("o_comp"), "n"), "outside")
+    if outside.isEmpty():
+        return comps
+    inside = materialize(mixed.select("bucket", "id", "id_comp", (F.col("id_comp") == F.col("main")).alias("main"), "n"), "inside")
+    small = lambda df: df.filter(F.col("n") <= SMALL) if cross else df
+    pairs = small(outside).join(small(inside).drop("n"), "bucket").filter("o_comp <> id_comp and (main or o < id)")
+    comps = _grown(comps, verify(materialize(pairs.select(*pair("o", "id")).distinct(), "pairs3")))
+    if cross:
+        large = materialize(_with_comp(inside.filter(F.col("n") > SMALL).select("bucket", "id"), comps, "id"), "large")
+        comps = _grown(comps, _across(large, cross))
     return comps

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,8 @@ BANDS, ROWS = 32, 4
 #: Hashes compared at a time, and the posterior chance of a link below which a pair is given up.
 BATCH, MISS = 16, 1e-6
 CACHED_WORDS = 400_000
+#: Sketches and sets of a block in the last step of linking.
+CELL_BYTES = 8 << 20
 _SEED = 7_001
 
 
@@ -156,6 +159,47 @@ def _confirm(percent: int):
     return run
 
 
+def _cell(percent: int, hashes: int, batch_size: int, miss: float):
+    """Links of a block of outside documents with a block of inside ones, of different components: signatures are
+    compared batch by batch and pruned, and what is left is counted on the full sets. One link joins two components."""
+    steps = [(at, min(at + batch_size, hashes)) for at in range(0, hashes, batch_size)]
+    need = [least_matches(end, percent, miss) for _, end in steps]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            sig = np.frombuffer(b"".join(right["sketch"]), np.uint16).reshape(len(right), -1)
+            sets = [np.frombuffer(s, np.uint64) for s in right["s"]]
+            size = np.array([len(s) for s in sets])
+            every, ids, comps = np.concatenate(sets), right["id"].to_numpy(), right["comp"].to_numpy()
+            order = np.argsort(every, kind="stable")
+            values, owner = every[order], np.repeat(np.arange(len(sets)), size)[order]
+            joined: set[tuple[int, int]] = set()
+            for i, comp, sketch, s in zip(left["id"], left["comp"], left["sketch"], left["s"], strict=True):
+                own, s = np.frombuffer(sketch, np.uint16), np.frombuffer(s, np.uint64)
+                alive = np.flatnonzero((comps != comp) & (100 * np.minimum(size, len(s)) >= percent * np.maximum(size, len(s))))
+                got = np.zeros(len(alive), np.int64)
+                for (at, end), least in zip(steps, need, strict=True):
+                    got += (sig[alive, at:end] == own[at:end]).sum(axis=1)
+                    stay = got >= least
+                    alive, got = alive[stay], got[stay]
+                if not len(alive):
+                    continue
+                first, last = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+                both = np.zeros(len(sets), np.int64)
+                for at in range(0, len(s), 512):
+                    n = last[at : at + 512] - first[at : at + 512]
+                    ends = np.cumsum(n)
+                    both += np.bincount(owner[np.repeat(first[at : at + 512] - (ends - n), n) + np.arange(ends[-1])], minlength=len(sets))
+                for k in alive[100 * both[alive] >= percent * (size[alive] + len(s) - both[alive])]:
+                    if (key := (min(comp, comps[k]), max(comp, comps[k]))) not in joined:
+                        joined.add(key)
+                        out.append((int(i), int(ids[k])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, batch: int = BATCH, miss: float = MISS) -> DataFrame:
     """Groups of documents whose sets of ``words``-word shingles reach a Jaccard similarity of ``percent`` / 100.
 
@@ -193,7 +237,19 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
         likely = materialize(likely, "likely")
         return joined(likely, sets, "s").mapInArrow(_confirm(percent), "a long, b long").distinct()
 
-    comps = link_components(live, verify)
+    def cross(outside: DataFrame, inside: DataFrame) -> DataFrame:
+        data = sets.join(kept_sketches, "id")
+        left, right = (materialize(df.join(data, "id"), "side") for df in (outside, inside))
+        blocks = lambda df, name: df.groupBy("grp").agg(F.ceil(F.sum(F.length("s") + F.length("sketch")) / CELL_BYTES).cast("int").alias(name))
+        grid = materialize(blocks(left, "rows").join(blocks(right, "cols"), "grp"), "grid")
+        mix = F.xxhash64("id", F.lit(_SEED))
+        cells = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = left.join(grid, "grp").withColumn("row", F.pmod(mix, F.col("rows")).cast("int")).withColumn("col", cells("cols"))
+        right = right.join(grid, "grp").withColumn("col", F.pmod(mix, F.col("cols")).cast("int")).withColumn("row", cells("rows"))
+        one, other = (df.select("grp", "row", "col", "id", "comp", "sketch", "s").groupBy("grp", "row", "col") for df in (left, right))
+        return one.cogroup(other).applyInPandas(_cell(percent, bands * rows, batch, miss), "a long, b long")
+
+    comps = link_components(live, verify, cross)
     least = classes.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"), (F.col("comp").isNotNull() | (F.col("size") > 1)).alias("shared")).filter("shared")
     least = materialize(least.drop("shared"), "membership")
     own = sketches.select("id", "n", "digest").join(least, "digest", "left")
