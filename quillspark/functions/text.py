@@ -72,13 +72,21 @@ def tokenize(col: Column, stopwords: list[str] = STOPWORDS) -> Column:
     """Index tokens: folded words of two letters or more, stop words dropped, then stemmed."""
     words = raw_tokens(F.coalesce(col, F.lit("")))
     if stopwords:
-        stops = F.array(*[F.lit(w) for w in stopwords])
-        words = F.filter(words, lambda w: ~F.array_contains(stops, w))
+        words = F.filter(words, lambda w: ~w.isin(stopwords))
     return F.transform(words, stem)
 
 
+def bind(col: Column, f) -> Column:
+    """f(col) with col worked out once, however often a lambda in f uses it."""
+    return F.element_at(F.transform(F.array(col), f), 1)
+
+
 def windows(words: Column, n: int) -> Column:
     """All runs of n words, joined by a space; none if there are fewer."""
+    return bind(words, lambda ws: _windows(ws, n))
+
+
+def _windows(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
@@ -88,6 +96,10 @@ def shingles(col: Column, n: int = 4) -> Column:
 
 def trigrams(col: Column) -> Column:
     """Distinct three-letter pieces."""
+    return bind(col, _trigrams)
+
+
+def _trigrams(col: Column) -> Column:
     return F.when(F.length(col) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(col) - 2), lambda i: F.substr(col, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
 
 

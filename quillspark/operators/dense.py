@@ -60,7 +60,7 @@ def capped_walk(hits: DataFrame, limit: int = 14, per_chapter: int = 2, near: fl
 
     The walk is sequential over one search's hits (at most two pools of 90), which go to one task.
     """
-    rows = hits.select("pos", "doc", "order", "chapter", shingles(F.col("text")).alias("grams"))
+    rows = hits.select(F.lit(1).alias("one"), "pos", "doc", "order", "chapter", shingles(F.col("text")).alias("grams"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         kept, full, out = [], {}, []
@@ -77,7 +77,7 @@ def capped_walk(hits: DataFrame, limit: int = 14, per_chapter: int = 2, near: fl
             out.append((r.doc, r.pos))
         return pd.DataFrame(out, columns=["doc", "pos"]).astype("int64")
 
-    return rows.groupBy(F.lit(1)).applyInPandas(walk, "doc long, pos long")
+    return rows.groupBy("one").applyInPandas(walk, "doc long, pos long")
 
 
 def pools(lexical: DataFrame, semantic: DataFrame | None) -> list[tuple[str, DataFrame]]:
