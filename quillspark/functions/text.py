@@ -196,9 +196,9 @@ def readable_title(col: Column) -> Column:
 
 def distinctive(alias: Column, role_words: list[str] = ROLE_WORDS) -> Column:
     """Whether an alias names one entity by itself: three letters or more and a word that is no role word."""
-    f, roles = fold(alias), F.array(*[F.lit(w) for w in role_words])
+    f = fold(alias)
     words = F.filter(F.split(f, " "), lambda w: w != "")
-    return (F.length(F.replace(f, F.lit(" "), F.lit(""))) >= 3) & F.exists(words, lambda w: ~F.array_contains(roles, w))
+    return (F.length(F.replace(f, F.lit(" "), F.lit(""))) >= 3) & F.exists(words, lambda w: ~w.isin(role_words))
 
 
 #: Fixed patterns: terms of kinship, and comrades in arms, which are none. Word ends are ASCII ones.

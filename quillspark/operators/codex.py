@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import distinctive, fold, tokenize
+from ..functions.text import distinctive, fold, tokenize, windows
 from .lexical import bm25
 
 # --- roll-up of mentions (ord, chapter, name, kind, role) --------------------------------------------------------------
@@ -87,7 +87,7 @@ def evidence(rows: DataFrame, key: str, naming: str, order: list[str], most: int
 
 def with_distinctive_aliases(entries: DataFrame) -> DataFrame:
     """Entries as they are used: aliases that name no one alone are filtered when read, not when built."""
-    return entries.withColumn("aliases", F.filter(F.coalesce("aliases", F.array().cast("array<string>")), distinctive))
+    return entries.withColumn("aliases", F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: distinctive(a)))
 
 
 def _names(entries: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def passage_counts(passages: DataFrame, names: DataFrame, least: int = 4) -> Dat
     words = passages.select(F.split(fold(F.col("text")), " ").alias("ws"))
     runs = None
     for w in widths:
-        part = words.filter(F.size("ws") >= w).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - (w - 1)), lambda i, w=w: F.array_join(F.slice("ws", i, w), " "))).alias("key"))
+        part = words.select(F.explode(windows(F.col("ws"), w)).alias("key"))
         runs = part if runs is None else runs.unionByName(part)
     if runs is None:
         return names.select("idx", F.lit(0).cast("long").alias("n")).limit(0)

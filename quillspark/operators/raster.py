@@ -63,15 +63,15 @@ def oklab(r: Column, g: Column, b: Column) -> list[Column]:
 
 
 def with_oklab(rows: DataFrame) -> DataFrame:
-    names = ("L", "A", "B")
+    names = ("ok_l", "ok_a", "ok_b")
     return rows.withColumns(dict(zip(names, oklab(F.col("r"), F.col("g"), F.col("b")), strict=True)))
 
 
 def nearest_colors(colors: DataFrame, palette: DataFrame) -> DataFrame:
     """Each distinct colour's nearest palette colour (idx, r, g, b) in Oklab; ties to the smaller idx. The palette has
     some tens of rows and travels as one array."""
-    p = with_oklab(palette).agg(F.array_sort(F.collect_list(F.struct("idx", "L", "A", "B"))).alias("p"))
-    d = F.transform("p", lambda x: F.struct((F.pow(x["L"] - F.col("L"), F.lit(2.0)) + F.pow(x["A"] - F.col("A"), F.lit(2.0)) + F.pow(x["B"] - F.col("B"), F.lit(2.0))).alias("d"), x["idx"].alias("idx")))
+    p = with_oklab(palette).agg(F.array_sort(F.collect_list(F.struct("idx", "ok_l", "ok_a", "ok_b"))).alias("p"))
+    d = F.transform("p", lambda x: F.struct((F.pow(x["ok_l"] - F.col("ok_l"), F.lit(2.0)) + F.pow(x["ok_a"] - F.col("ok_a"), F.lit(2.0)) + F.pow(x["ok_b"] - F.col("ok_b"), F.lit(2.0))).alias("d"), x["idx"].alias("idx")))
     return with_oklab(colors.select("r", "g", "b").distinct()).crossJoin(F.broadcast(p)).select("r", "g", "b", F.array_min(d)["idx"].alias("idx"), F.sqrt(F.array_min(d)["d"]).alias("distance"))
 
 
@@ -82,15 +82,15 @@ def snap(pixels: DataFrame, palette: DataFrame, neutral: float = 0.05, adopt: fl
     share = color_shares(pixels, 1 << 30).select("image", "r", "g", "b", "share")
     near = nearest_colors(share, palette).join(palette.select("idx", F.col("r").alias("pr"), F.col("g").alias("pg"), F.col("b").alias("pb")), "idx")
     t = with_oklab(share).join(near.select("r", "g", "b", "pr", "pg", "pb", "distance"), ["r", "g", "b"])
-    take = (F.hypot("A", "B") >= neutral) & (F.col("distance") <= adopt)
+    take = (F.hypot("ok_a", "ok_b") >= neutral) & (F.col("distance") <= adopt)
     t = t.select("image", "share", "r", "g", "b", *[F.when(take, F.col(f"p{c}")).otherwise(F.col(c)).alias(f"n{c}") for c in "rgb"])
-    t = t.withColumns(dict(zip(("L", "A", "B"), oklab(F.col("nr"), F.col("ng"), F.col("nb")), strict=True)))
+    t = t.withColumns(dict(zip(("ok_l", "ok_a", "ok_b"), oklab(F.col("nr"), F.col("ng"), F.col("nb")), strict=True)))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["share", "r", "g", "b"], ascending=[False, True, True, True], ignore_index=True)
         kept: list[int] = []
         to = []
-        lab = pdf[["L", "A", "B"]].to_numpy()
+        lab = pdf[["ok_l", "ok_a", "ok_b"]].to_numpy()
         for i in range(len(pdf)):
             d = [(float(((lab[i] - lab[k]) ** 2).sum() ** 0.5), k) for k in kept]
             best = min(d, default=(9.0, i))

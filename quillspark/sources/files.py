@@ -85,8 +85,8 @@ def palette(text: Column) -> Column:
 
 
 #: Fixed patterns: keys that must not be published, and files that must not.
-SECRETS = [r"sk-ant-[A-Za-z0-9_-]{20,}", r"(?i)(?:api[_-]?key|secret|token)\s*[:=]\s*[\"'][A-Za-z0-9_-]{24,}[\"']"]
-FORBIDDEN = r"(?:^|/)(?:\.env[^/]*|[^/]*\.pdf|chunks\.json|embeddings\.bin)$"
+SECRETS = [r"sk-ant-[A-Za-z0-9_-]{20,}", r"gh[pousr]_[A-Za-z0-9]{30,}"]
+FORBIDDEN = r"(?:^|/)(?:chunks\.json|bm25\.json|embeddings\.bin)$"
 
 
 def secrets(files: DataFrame) -> DataFrame:
