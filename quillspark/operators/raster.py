@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -155,7 +156,7 @@ def two_centres(colors: pd.DataFrame, rounds: int = 12) -> pd.DataFrame:
     centres = x[list(divmod(int(far.argmax()), len(x)))]
     for _ in range(rounds):
         own = ((x[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
-        centres = [(x[own == k] * n[own == k, None]).sum(0) / n[own == k].sum() if (own == k).any() else centres[k] for k in (0, 1)]
+        centres = np.array([(x[own == k] * n[own == k, None]).sum(0) / n[own == k].sum() if (own == k).any() else centres[k] for k in (0, 1)])
     return colors.assign(centre=own)
 
 
@@ -218,8 +219,6 @@ def png(pixels: pd.DataFrame, width: int, height: int) -> bytes:
     import struct
     import zlib
 
-    import numpy as np
-
     grid = np.zeros((height, width, 4), np.uint8)
     grid[pixels["y"].to_numpy(), pixels["x"].to_numpy()] = pixels[["r", "g", "b", "a"]].to_numpy()
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))

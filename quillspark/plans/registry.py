@@ -221,8 +221,8 @@ def lis_headings(spark, d):
 # --- entities -----------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {MENTIONS}, k AS (SELECT *, {sql_fold('name')} AS key FROM men), f AS (SELECT key, name, count(*) AS n, min((ord, chapter)) AS at FROM k GROUP BY key, name)
-, c AS (SELECT key, arg_min(name, (-n, at, name)) AS canonical, count(*) AS forms FROM f GROUP BY key)
+@query(f"""WITH {MENTIONS}, k AS (SELECT *, {sql_fold('name')} AS key FROM men), f AS (SELECT key, name, count(*) AS n, min((ord, chapter)) AS seen_at FROM k GROUP BY key, name)
+, c AS (SELECT key, arg_min(name, (-n, seen_at, name)) AS canonical, count(*) AS forms FROM f GROUP BY key)
 SELECT key, canonical, forms, arg_min(kind, (ord, chapter, name)) AS kind, array_to_string(list_sort(list(DISTINCT ord)), ',') AS books, count(*) AS n_notes, min(ord) AS first_seen FROM k JOIN c USING (key) GROUP BY key, canonical, forms""")
 def entity_rollup(spark, d):
     e = codex.roll_up(mentions(spark, d))
