@@ -42,7 +42,7 @@ def census(items: DataFrame, slots: list[str], icons: DataFrame) -> DataFrame:
         finding(c.filter(~F.col("category").isin("objet", "equipement")), "unknown category", F.col("id"), F.col("category")),
         finding(c.filter((F.col("category") == "equipement") & ~F.coalesce(F.col("slot").isin(slots), F.lit(False))), "equipment without slot", F.col("id"), F.col("slot")),
         finding(c.filter((F.col("category") == "objet") & F.col("slot").isNotNull()), "object with slot", F.col("id"), F.col("slot")),
-        unknown(c.withColumn("icon", F.col("id")), "icon", icons, "id", "no icon", "id"),
+        unknown(c.withColumn("icon", F.col("id")), "icon", icons, "icon", "no icon", "id"),
     )
 
 

@@ -31,7 +31,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 # --- text ---------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT source, count(*) AS n, sum(n_chars) AS chars FROM documents WHERE lang = 'fr' AND n_chars > 500 GROUP BY source")
+@query("SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE lang = 'fr' AND n_chars > 500 GROUP BY source")
 def scan_prune(spark, d):
     t = table(spark, d, "documents").filter((F.col("lang") == "fr") & (F.col("n_chars") > 500))
     return t.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
