@@ -18,8 +18,8 @@ def components(links: DataFrame) -> DataFrame:
     round; links and labels are plain tables, so AQE can split an id with very many links. The loop ends when a round
     changes nothing.
     """
-    pairs = links.filter("a <> b").select("a", "b").distinct()
-    both = materialize(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = materialize(links.filter("a <> b").select(F.explode(ways).alias("e")).select("e.a", "e.b").distinct(), "links")
     labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("comp")), "labels")
     while True:
         around = labels.select(F.col("id").alias("b"), F.col("comp").alias("near"))
