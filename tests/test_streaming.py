@@ -12,11 +12,11 @@ CHAT = "turn string, block int, seq int, type string, payload string"
 def run(spark, tmp_path):
     def drive(batches, schema, op, mode):
         src, rows = tmp_path / "src", []
-        for k, batch in enumerate(batches):
+        for batch in batches:  # one run for each, so that they come in this order
             spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").json(str(src))
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
-        q = op(stream).writeStream.outputMode(mode).foreachBatch(lambda df, _: rows.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        q.awaitTermination()
+            stream = spark.readStream.schema(schema).json(str(src))
+            q = op(stream).writeStream.outputMode(mode).foreachBatch(lambda df, _: rows.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            q.awaitTermination()
         return rows
 
     return drive
