@@ -38,13 +38,16 @@ def reply_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     own = materialize(own, "nodes")
     up = own.select(F.col("tree").alias("t"), F.col("node").alias("p"))
     step = own.join(up, own["tree"].eqNullSafe(up["t"]) & (own["parent"] == up["p"]), "left").select("tree", "node", F.col("p").alias("jump"), F.col("score").alias("total"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    jumps, left = [materialize(step, "jump")], -1
-    while (now := jumps[-1].filter("jump is not null").count()) not in (0, left):
+    step = materialize(step, "jump")
+    jumps, ended, left = [materialize(step.filter("jump is not null"), "jump")], step.filter("jump is null"), -1
+    while (now := jumps[-1].count()) not in (0, left):  # nodes that still look further up; the others rest
         left = now
-        a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
+        a, b = jumps[-1].alias("a"), jumps[-1].unionByName(ended).alias("b")
         joined = a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.jump") == F.col("b.node")), "left")
-        jumps.append(materialize(joined.select("a.tree", "a.node", F.col("b.jump").alias("jump"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth")), "jump"))
-    known = jumps[-1].filter("jump is null")
+        further = materialize(joined.select("a.tree", "a.node", F.col("b.jump").alias("jump"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth")), "jump")
+        jumps.append(materialize(further.filter("jump is not null"), "jump"))
+        ended = ended.unionByName(further.filter("jump is null"))
+    known = ended
     parents = own.filter("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
     leaves = known.join(parents, known["tree"].eqNullSafe(parents["t"]) & (known["node"] == parents["p"]), "left_anti")
     better = [F.desc("total"), "node"]
@@ -53,7 +56,7 @@ def reply_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     chosen = few.withColumn("path_rank", F.row_number().over(Window.partitionBy("tree").orderBy(*better))).filter(F.col("path_rank") <= top)
     paths = materialize(chosen.select("tree", F.col("node").alias("leaf"), "path_rank", F.col("total").alias("path_score"), "node", F.col("depth").alias("position")), "paths")
     for k in range(len(jumps) - 1, -1, -1):
-        j = jumps[k].filter("jump is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "jump")
+        j = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "jump")
         higher = paths.join(j, paths["tree"].eqNullSafe(j["t"]) & (paths["node"] == j["n"])).select("tree", "leaf", "path_rank", "path_score", F.col("jump").alias("node"), (F.col("position") - (1 << k)).alias("position"))
         paths = materialize(paths.unionByName(higher), "paths")
     drop_scratch(*jumps)
