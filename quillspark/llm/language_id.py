@@ -152,19 +152,22 @@ def fit(texts: list[tuple[str, str | None]], pieces: dict[str, int], rounds: int
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        codes, logs = WordCodes(), np.zeros((0, len(model.langs)))
+        codes, logs, real = WordCodes(), np.zeros((0, len(model.langs))), np.zeros(0, bool)
         for batch in batches:
             if len(codes) > CACHED_WORDS:
-                codes, logs = WordCodes(), np.zeros((0, len(model.langs)))
+                codes, logs, real = WordCodes(), np.zeros((0, len(model.langs))), np.zeros(0, bool)
             coded = []
             for t in batch.column(1).to_pylist():
                 w = words_of(t)
                 coded.append(np.fromiter(map(codes.__getitem__, w), np.int64, len(w)))
             if model.langs:
                 logs = np.vstack([logs, model.word_logs(codes.new)])
+            # fractions and the like are word signs to re, but no letters
+            real = np.concatenate([real, np.fromiter((any(map(str.isalpha, w)) for w in codes.new), bool, len(codes.new))])
             codes.new = []
             best, score = [], []
             for c in coded:
+                c = c[real[c]]
                 if not len(c) or not model.langs:
                     best.append("und")
                     score.append(0.0)

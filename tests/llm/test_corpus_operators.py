@@ -337,7 +337,7 @@ def test_language_id(docs, spark, nothing):
     model = language_id.train(docs, packing.vocabulary(language_id.VOCABULARY))
     out = language_id.language_id(docs, model).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in out) >= 0.95 * len(out)
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !? 3"), (4, "é" * 50_000), (None, "the")], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !? 3 ½ ²"), (4, "é" * 50_000), (None, "the")], "doc_id long, text string")
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.language_id(odd, model).collect()}
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] in model.langs
     none = language_id.language_id(odd, language_id.train(nothing, packing.vocabulary(language_id.VOCABULARY)))
