@@ -15,6 +15,8 @@ STEPS = 60
 TOLERANCE = 1e-7
 #: Classes of the rounding threshold in a source.
 CLASSES = 4096
+#: Documents of over a 40th of a source's words are rounded first, then those of over a 400th; the rest makes up for them.
+TIERS = (40, 400)
 SEED = 20_011
 COMPUTED = ("size", "source_size", "target", "rate", "copies")
 
@@ -95,11 +97,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """Copies of each document, so that each source's words come near its target.
 
     Returns the input's columns, then size (words of the text; 0 for null), source_size, target, rate and copies (0 to
-    ``cap``), which take the place of input columns of the same names; one row for each input row. Rates come from :func:`balance`. Rounding gives a document
-    floor(rate) copies and one more if v = u - frac(rate) is below its source's threshold, u being a uniform hash of id
-    and seed. The threshold is near 0 and is set from a histogram of v by source (``CLASSES`` classes, so its size is
-    bounded): the class limit at which the words taken come nearest the target. It needs no order over documents, and
-    reruns agree. A source of no words takes none; rows that repeat an id are treated alike; a null source is a source.
+    ``cap``), which take the place of input columns of the same names; one row for each input row. Rates come from
+    :func:`balance`. Rounding gives a document floor(rate) copies and one more if v = u - frac(rate) is below its source's
+    threshold, u being a uniform hash of id and seed. The threshold is near 0 and is set from a histogram of v by source
+    (``CLASSES`` classes, so its size is bounded): the class limit at which the words taken come nearest the target, for
+    large documents first and then for smaller ones (``TIERS``), which make up for what is left. It needs no order over
+    documents, and reruns agree. A source of no words takes none; rows that repeat an id are treated alike; a null source
+    is a source.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("src"), F.regexp_count(text_of(F.col(f"`{text_col}`")), F.lit(WORD)).cast("long").alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     narrow = materialize(rows.select("id", "src", "size"), "sizes")
@@ -109,30 +113,49 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     dual = balance(cells, targets, cap)
     per = materialize(targets.alias("t").join(dual.alias("d"), F.col("t.src").eqNullSafe(F.col("d.src"))).select("t.src", "total", "target", "mean", "lam"), "sources")
 
-    hist = _rounded(narrow, per, cap, seed).groupBy("src", "cls").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("base")).alias("base_words"), F.max("target").alias("target"))
-    whole = Window.partitionBy("src")
+    hist = _rounded(narrow, per, cap, seed).groupBy("src", "tier", "cls").agg(
+        F.sum("size").alias("words"), F.sum(F.col("size") * F.col("base")).alias("base_words"),
+        F.sum((F.col("rate") * F.col("size")).cast("decimal(38,9)")).alias("due"), F.max("target").alias("target"))
+    whole = Window.partitionBy("src", "tier")
     run = whole.orderBy("cls").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumns({"base_all": F.sum("base_words").over(whole), "upto": F.sum(F.when(F.col("cls") < CLASSES // 2, F.col("words")).otherwise(0)).over(run)})
-    off = F.abs(F.col("base_all") + F.col("upto") - F.col("target"))
-    none = F.abs(F.col("base_all") - F.col("target"))
-    edge = hist.groupBy(F.col("src").alias("esrc")).agg(F.min(F.struct(off.alias("off"), "cls")).alias("best"), F.min(none).alias("none"))
-    edge = edge.select("esrc", F.when(F.col("best.off") < F.col("none"), F.col("best.cls")).otherwise(F.lit(-CLASSES)).alias("edge"))
-    per = materialize(per.join(edge, F.col("src").eqNullSafe(F.col("esrc"))).drop("esrc"), "edges")
-    extra = (F.col("cls") <= F.col("edge")) & (F.col("base") < cap)
+    upto = F.sum(F.when(F.col("cls") < CLASSES // 2, F.col("words")).otherwise(0)).over(run)
+    hist = hist.withColumns({"plain": F.sum("base_words").over(whole), "got": F.sum("base_words").over(whole) + upto})
+    hist = materialize(hist, "classes")
+    done = per.select("src", F.lit(0).cast("long").alias("taken"))
+    for tier in range(len(TIERS) + 1):
+        later = hist.filter(F.col("tier") > tier).groupBy("src").agg(F.sum("due").cast("double").alias("later"))
+        h, d, r = hist.filter(F.col("tier") == tier).alias("h"), done.alias("d"), later.alias("r")
+        due = h.join(d, F.col("h.src").eqNullSafe(F.col("d.src"))).join(r, F.col("h.src").eqNullSafe(F.col("r.src")), "left")
+        e = _edges(due.select("h.*", (F.col("target") - F.col("taken") - F.coalesce("later", F.lit(0.0))).alias("goal"))).select(F.col("src").alias("esrc"), F.col("edge").alias(f"edge{tier}"), F.col("taken").alias("more"))
+        done = materialize(done.join(e, F.col("src").eqNullSafe(F.col("esrc")), "left").select("src", (F.col("taken") + F.coalesce("more", F.lit(0))).alias("taken")), "taken")
+        per = per.join(e.drop("more"), F.col("src").eqNullSafe(F.col("esrc")), "left").drop("esrc")
+    per = materialize(per, "edges")
+    edge = F.coalesce(F.element_at(F.array(*[f"edge{t}" for t in range(len(TIERS) + 1)]), F.col("tier") + 1), F.lit(-CLASSES))
+    extra = (F.col("cls") <= edge) & (F.col("base") < cap)
     return _rounded(rows, per, cap, seed).select(
         *[F.col("row").getField(c).alias(c) for c in docs.columns if c not in COMPUTED],
         "size", F.col("total").alias("source_size"), "target", "rate", (F.col("base") + F.when(extra, 1).otherwise(0)).cast("int").alias("copies"),
     )
 
 
+def _edges(hist: DataFrame) -> DataFrame:
+    """For each source the last class that is taken (-CLASSES: none) to come nearest its goal, and the words taken then."""
+    off, none = F.abs(F.col("got") - F.col("goal")), F.abs(F.col("plain") - F.col("goal"))
+    best = hist.groupBy("src").agg(F.min(F.struct(off.alias("off"), "cls", "got")).alias("best"), F.min(none).alias("none"), F.max("plain").alias("plain"))
+    some = F.col("best.off") < F.col("none")
+    return materialize(best.select("src", F.when(some, F.col("best.cls")).otherwise(F.lit(-CLASSES)).alias("edge"), F.when(some, F.col("best.got")).otherwise(F.col("plain")).alias("taken")), "edge")
+
+
 def _rounded(frame: DataFrame, per: DataFrame, cap: int, seed: int) -> DataFrame:
-    """``frame`` (id, src, size, ...) with its source's row of ``per``, rate, base = floor(rate) and cls, the class of v."""
+    """``frame`` (id, src, size, ...) with its source's row of ``per``, rate, base = floor(rate), cls, the class of v, and
+    tier, the number of ``TIERS`` that a document's part of its source's words stays below."""
     t = frame.alias("f").join(per.alias("p"), F.col("f.src").eqNullSafe(F.col("p.src"))).drop(per["src"])
     rate = F.when(F.col("total") == 0, F.lit(0.0)).when(F.col("lam").isNull(), F.lit(float(cap))).otherwise(_tilt(F.col("lam"), F.col("size") / F.col("mean"), cap))
     t = t.withColumn("rate", rate).withColumn("base", F.floor("rate"))
     u = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     half = CLASSES // 2
     cls = F.floor((u - (F.col("rate") - F.col("base"))) * half)
+    t = t.withColumn("tier", sum((F.col("size") * k <= F.col("total")).cast("int") for k in TIERS))
     return t.withColumn("cls", F.when(F.col("base") >= cap, F.lit(half)).otherwise(cls))
 
 
