@@ -34,3 +34,9 @@ def test_finer_links_equal_edit_similarity_alone(spark, data):
     got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), finer=True).collect()
     assert {r["doc_id"]: r["text"] for r in got} == want
     assert all(want[10**6 + k] == "" for k in range(4))
+
+
+def test_short_lines_repeat_by_exact_form(spark):
+    rows = [(1, "All rights reserved.\n\n***\nAnd ornd."), (2, "all rights reserved\n\n***\nAnd ornf."), (3, "And ornd.\nAnd ornd.\nx")]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), finer=True, short=True).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: rows[0][1], 2: "\n***\nAnd ornf.", 3: "x"}
