@@ -23,23 +23,34 @@ def band_keys(sketch):
     return F.filter(F.transform(F.sequence(F.lit(0), F.lit((SKETCH - BAND) // BAND)), lambda b: F.struct(b.alias("band"), F.slice(sketch, b * BAND + 1, BAND).alias("key"))), lambda x: F.size(x["key"]) == BAND)
 
 
-def twins(docs: DataFrame, threshold: float = THRESHOLD, least: int = MIN_SHINGLES, id_col: str = "doc_id", text_col: str = "text", stopwords: list[str] = STOPWORDS) -> DataFrame:
-    """Verified pairs (a earlier, b later): a shared key and an overlap of shingles over the smaller set's size.
-
-    Texts with equal shingles are one for the join; their pairs are with the first of them.
-    """
+def _classes(docs: DataFrame, least: int, id_col: str, text_col: str, stopwords: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The first text of each class with equal shingles (mark, id, grams, sketch), and the others as pairs (a first, b)."""
     long = sketches(docs, id_col, text_col, stopwords).filter(F.size("grams") >= least)
     mark = F.md5(F.concat_ws("\n", F.array_sort("grams")))
     long = long.withColumn("mark", mark)
     first = long.groupBy("mark").agg(F.min_by(F.struct("id", "grams", "sketch"), "id").alias("x")).select("mark", "x.*")
     copies = long.select("id", "mark").join(first.select("mark", F.col("id").alias("a")), "mark").filter("id <> a").select("a", F.col("id").alias("b"))
+    return first, copies
+
+
+def _near(first: DataFrame, threshold: float) -> DataFrame:
+    """Verified pairs (a earlier, b later) of such first texts."""
     keyed = first.select("id", F.explode(band_keys(F.col("sketch"))).alias("k")).select("id", F.col("k.key").alias("key")).distinct()
     a, b = keyed.alias("a"), keyed.alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     sets = first.select("id", "grams")
     both = pairs.join(sets.withColumnsRenamed({"id": "a", "grams": "ga"}), "a").join(sets.withColumnsRenamed({"id": "b", "grams": "gb"}), "b")
     share = F.size(F.array_intersect("ga", "gb")) / F.least(F.size("ga"), F.size("gb"))
-    return both.filter(share >= threshold).select("a", "b").unionByName(copies)
+    return both.filter(share >= threshold).select("a", "b")
+
+
+def twins(docs: DataFrame, threshold: float = THRESHOLD, least: int = MIN_SHINGLES, id_col: str = "doc_id", text_col: str = "text", stopwords: list[str] = STOPWORDS) -> DataFrame:
+    """Verified pairs (a earlier, b later): a shared key and an overlap of shingles over the smaller set's size.
+
+    Texts with equal shingles are one for the join; their pairs are with the first of them.
+    """
+    first, copies = _classes(docs, least, id_col, text_col, stopwords)
+    return _near(first, threshold).unionByName(copies)
 
 
 def greedy(ids: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -62,6 +73,16 @@ def greedy(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("id", F.coalesce("kept", F.lit(True)).alias("kept"), F.when(~F.coalesce("kept", F.lit(True)), F.col("same_as")).alias("same_as"))
 
 
+def dedupe(docs: DataFrame, threshold: float = THRESHOLD, least: int = MIN_SHINGLES, id_col: str = "doc_id", text_col: str = "text", stopwords: list[str] = STOPWORDS) -> DataFrame:
+    """The walk over texts by id: id, kept, same_as. Only the first of texts with equal shingles is decided; the others
+    go, as twins of that one if it stays and of its twin if not."""
+    first, copies = _classes(docs, least, id_col, text_col, stopwords)
+    out = greedy(docs.select(F.col(id_col).alias("id")), _near(first, threshold))
+    firsts = out.select(F.col("id").alias("a"), F.coalesce("same_as", "id").alias("twin"))
+    gone = copies.join(firsts, "a").select(F.col("b").alias("id"), "twin").distinct()
+    return out.join(gone, "id", "left").select("id", (F.col("kept") & F.col("twin").isNull()).alias("kept"), F.coalesce("twin", "same_as").alias("same_as"))
+
+
 def drops_by_book(result: DataFrame, books: DataFrame, limit: int = 6) -> DataFrame:
     """How many texts each book lost, most first; ``books`` has id, book."""
     gone = result.filter("not kept").join(books, "id").groupBy("book").agg(F.count(F.lit(1)).alias("drops"))

@@ -142,7 +142,7 @@ def chapter_cap(spark, d):
 
 def _dedup(spark, d):
     docs = table(spark, d, "documents")
-    return dedup.greedy(docs.select(F.col("doc_id").alias("id")), dedup.twins(docs))
+    return dedup.dedupe(docs)
 
 
 @query()

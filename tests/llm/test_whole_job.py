@@ -1,6 +1,7 @@
 """Cases that operators once left out."""
 
 from quillspark.llm import line_dedup
+from quillspark.operators import dedup
 
 
 def test_finer_links_equal_edit_similarity_alone(spark, data):
@@ -40,3 +41,26 @@ def test_short_lines_repeat_by_exact_form(spark):
     rows = [(1, "All rights reserved.\n\n***\nAnd ornd."), (2, "all rights reserved\n\n***\nAnd ornf."), (3, "And ornd.\nAnd ornd.\nx")]
     got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), finer=True, short=True).collect()
     assert {r["doc_id"]: r["text"] for r in got} == {1: rows[0][1], 2: "\n***\nAnd ornf.", 3: "x"}
+
+
+def walk(spark, docs):
+    """lib/dedup.ts, with the smallest kept twin."""
+    kept, out = [], {}
+    for r in sorted(dedup.sketches(docs).collect(), key=lambda r: r["id"]):
+        grams, sk = set(r["grams"]), list(r["sketch"])
+        keys = {tuple(sk[b : b + 3]) for b in range(0, len(sk) - 2, 3)}
+        same = [] if len(grams) < 60 else [i for i, g, k in kept if k & keys and len(g & grams) / min(len(g), len(grams)) >= 0.6]
+        out[r["id"]] = (not same, min(same, default=None))
+        if not same and len(grams) >= 60:
+            kept.append((r["id"], grams, keys))
+    return out
+
+
+def test_copies_of_a_dropped_text_go_too(spark, data):
+    words = [f"w{k}x" for k in range(90)]
+    near = " ".join([*words[:80], "other"])
+    rows = [(10**6, " ".join(words)), (10**6 + 1, near), (10**6 + 2, near), (10**6 + 3, near)]
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["id"]: (r["kept"], r["same_as"]) for r in dedup.dedupe(docs).collect()}
+    assert got == walk(spark, docs)
+    assert got[10**6 + 3] == (False, 10**6)
