@@ -343,6 +343,12 @@ def links_both_ends(spark, d):
     return graph.links_within(family(spark, d), members)
 
 
+@query()
+def links_both_ends_all(spark, d):
+    """The links of every tree; links_both_ends and its SQL hold those of nations."""
+    return graph.links_within(family(spark, d), graph.trees(family(spark, d), couples(spark, d)))
+
+
 @query(f"WITH {FAMILY}, {COUPLES}, {SIBLINGS}, u AS (SELECT child AS person, 1 AS p, 0 AS c, 0 AS s, 0 AS b FROM family UNION ALL SELECT parent, 0, 1, 0, 0 FROM family UNION ALL SELECT a, 0, 0, 1, 0 FROM couples UNION ALL SELECT a, 0, 0, 0, 1 FROM siblings) SELECT person, CAST(sum(p) AS BIGINT) AS parents, CAST(sum(c) AS BIGINT) AS children, CAST(sum(s) AS BIGINT) AS spouses, CAST(sum(b) AS BIGINT) AS siblings FROM u GROUP BY person")
 def relation_counts(spark, d):
     return graph.relation_counts(family(spark, d), couples(spark, d))

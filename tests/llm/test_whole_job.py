@@ -1,7 +1,9 @@
 """Cases that operators once left out."""
 
 from quillspark.llm import line_dedup
-from quillspark.operators import dedup
+from quillspark.operators import dedup, graph
+from quillspark.plans import registry
+from quillspark.plans.tables import couples, family
 
 
 def test_finer_links_equal_edit_similarity_alone(spark, data):
@@ -64,3 +66,14 @@ def test_copies_of_a_dropped_text_go_too(spark, data):
     got = {r["id"]: (r["kept"], r["same_as"]) for r in dedup.dedupe(docs).collect()}
     assert got == walk(spark, docs)
     assert got[10**6 + 3] == (False, 10**6)
+
+
+def test_links_of_every_tree(spark, data):
+    links = [(r["parent"], r["child"]) for r in family(spark, data).collect()]
+    members = {}
+    for r in graph.trees(family(spark, data), couples(spark, data)).collect():
+        members.setdefault(r["ego"], set()).add(r["person"])
+    want = sorted((e, a, b) for e, m in members.items() for a, b in links if a in m and b in m)
+    got = sorted((r["ego"], r["parent"], r["child"]) for r in registry.links_both_ends_all(spark, data).collect())
+    assert got == want
+    assert {e[0] for e, _, _ in got} == {"R", "N", "C"}
