@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,51 @@ not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.
 _UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
 publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
 purpose, commercial or non-commercial, and by any means."""
+_AS_IS = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING
+ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
+THIS SOFTWARE."""
+_0BSD = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."
+_UNLICENSE_END = """In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and
+all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at
+large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in
+perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS",
+WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS
+FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR
+THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original
+software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but
+is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the
+original software. 3. This notice may not be removed or altered from any source distribution."""
+_BSL = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software
+is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement,
+including the above license grant, this restriction and the following disclaimer, must be included in all copies of the
+Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely
+in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS",
+WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS
+FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE
+SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_LGPL_21 = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser
+General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your
+option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General
+Public License for more details."""
+_EPL = """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/"""
+_CC = "This work is licensed under a Creative Commons {0} 4.0 International License."
+#: Whole texts in licence_texts by file.
+_WHOLE = {
+    "Apache-2.0": "Apache-2.0", "Artistic-1.0-Perl": "Artistic", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2",
+    "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
 
 #: Fixed public texts: (licence, form, template).
 TEMPLATES: list[tuple[str, str, str]] = [
@@ -79,6 +125,21 @@ TEMPLATES: list[tuple[str, str, str]] = [
     ("CC-BY-4.0", "line", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "line", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "line", "Licensed under CC BY-NC 4.0."),
+    *[(name, "text", (files(__package__) / "licence_texts" / f"{file}.txt").read_text("utf-8")) for name, file in _WHOLE.items()],
+    ("ISC", "text", f"{_ISC} {_AS_IS}"),
+    ("0BSD", "text", f"{_0BSD} {_AS_IS}"),
+    ("Unlicense", "text", f"{_UNLICENSE} {_UNLICENSE_END}"),
+    ("Zlib", "text", _ZLIB),
+    ("BSL-1.0", "text", _BSL),
+    ("LGPL-2.1", "notice", _LGPL_21),
+    ("EPL-2.0", "notice", _EPL),
+    ("CC-BY-4.0", "notice", _CC.format("Attribution")),
+    ("CC-BY-SA-4.0", "notice", _CC.format("Attribution-ShareAlike")),
+    ("CC-BY-NC-4.0", "notice", _CC.format("Attribution-NonCommercial")),
+    ("CC-BY-ND-4.0", "notice", _CC.format("Attribution-NoDerivatives")),
+    ("CC-BY-NC-SA-4.0", "notice", _CC.format("Attribution-NonCommercial-ShareAlike")),
+    ("CC-BY-NC-ND-4.0", "notice", _CC.format("Attribution-NonCommercial-NoDerivatives")),
+    ("All-Rights-Reserved", "line", "All rights reserved."),
 ]
 
 
@@ -110,8 +171,9 @@ class Scanner:
                 self.known.setdefault(w, len(self.known) + 1)
         self.base = len(self.known) + 1
         self.coded = [np.array([self.known[w] for w in words], np.int64) for _, _, words in self.templates]
-        self.has = [np.unique(c[:-1] * self.base + c[1:]) for c in self.coded]
-        self.any = np.unique(np.concatenate(self.has)) if self.has else np.zeros(0, np.int64)
+        has = [np.unique(c[:-1] * self.base + c[1:]) for c in self.coded]
+        self.any = np.unique(np.concatenate(has)) if has else np.zeros(0, np.int64)
+        self.has = [np.isin(self.any, x) for x in has]
 
     def __call__(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(template, Dice, first word, words) of the best window of each template that reaches the threshold."""
@@ -122,7 +184,9 @@ class Scanner:
         code = np.fromiter(map(self.known.__getitem__, words), np.int64, n)
         grams = code[:-1] * self.base + code[1:]
         grams[(code[:-1] == 0) | (code[1:] == 0)] = -1
-        spots = np.flatnonzero(np.isin(grams, self.any))
+        place = np.minimum(np.searchsorted(self.any, grams), len(self.any) - 1) if len(self.any) else np.zeros(0, np.int64)
+        spots = np.flatnonzero(self.any[place] == grams) if len(place) else place
+        place = place[spots]
         if not len(spots):
             return []
         out = []
@@ -132,7 +196,9 @@ class Scanner:
             need = self.threshold * total / 2
             if size - 1 < need - 1e-9 or len(spots) < need - 1e-9:  # too short, or too little in common, for this template
                 continue
-            hit = np.isin(grams[spots], has)
+            hit = has[place]
+            if hit.sum() < need - 1e-9:
+                continue
             marks = np.zeros(n, np.int64)
             marks[spots[hit] + 1] = 1
             upto = marks.cumsum()

@@ -1,6 +1,6 @@
 """Cases that operators once left out."""
 
-from quillspark.llm import line_dedup
+from quillspark.llm import licenses, line_dedup
 from quillspark.operators import dedup, graph
 from quillspark.plans import registry
 from quillspark.plans.tables import couples, family
@@ -77,3 +77,14 @@ def test_links_of_every_tree(spark, data):
     got = sorted((r["ego"], r["parent"], r["child"]) for r in registry.links_both_ends_all(spark, data).collect())
     assert got == want
     assert {e[0] for e, _, _ in got} == {"R", "N", "C"}
+
+
+def test_whole_licences_and_reserved_rights():
+    scan = licenses.Scanner(licenses.TEMPLATES, licenses.THRESHOLD)
+    best = lambda text: min(((-d, -n, k) for k, d, _, n in scan(text)), default=None)
+    name = lambda text: licenses.TEMPLATES[best(text)[2]][0]
+    for want, form, text in licenses.TEMPLATES:
+        if form != "line":
+            assert name(f"Some words before. {text} and after") == want
+    assert {"Apache-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0", "0BSD", "Zlib", "BSL-1.0"} <= {n for n, form, t in licenses.TEMPLATES if form == "text"}
+    assert name("Copyright 2020 Someone. All rights reserved, says the page.") == "All-Rights-Reserved"
