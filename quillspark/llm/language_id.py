@@ -17,8 +17,8 @@ from .packing import vocabulary
 from .toxicity import held_out
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Longest piece used, in characters, the mark of a word's start included.
-LONGEST = 8
+#: The vocabulary's longest piece of letters, in characters, the mark of a word's start included.
+LONGEST = 16
 #: Most documents to fit on for each language, in order of a hash of the id, and most characters of all.
 SAMPLE, SAMPLE_CHARS = 300, 8_000_000
 #: Most languages told apart: the most frequent ones.
@@ -75,8 +75,10 @@ def forward(ids: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     for i in range(n):
         total = np.zeros(alpha.shape[1:])
         for k in range(min(width, i + 1)):
+            at = np.flatnonzero(ids[:, i, k] >= 0)
             # alphas are scaled each; bring the earlier one to the scale of the latest
-            total += alpha[i - k] * np.exp(logs[i - k] - logs[i]) * p[ids[:, i, k]]
+            if len(at):
+                total[at] += alpha[i - k, at] * np.exp(logs[i - k, at] - logs[i, at]) * p[ids[at, i, k]]
         alpha[i + 1], logs[i + 1] = 1.0, logs[i] + np.log(np.maximum(total, 1e-300))
     return logs[n], alpha, logs
 

@@ -1,6 +1,6 @@
 """Cases that operators once left out."""
 
-from quillspark.llm import licenses, line_dedup
+from quillspark.llm import language_id, licenses, line_dedup, packing
 from quillspark.operators import dedup, graph
 from quillspark.plans import registry
 from quillspark.plans.tables import couples, family
@@ -88,3 +88,12 @@ def test_whole_licences_and_reserved_rights():
             assert name(f"Some words before. {text} and after") == want
     assert {"Apache-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0", "0BSD", "Zlib", "BSL-1.0"} <= {n for n, form, t in licenses.TEMPLATES if form == "text"}
     assert name("Copyright 2020 Someone. All rights reserved, says the page.") == "All-Rights-Reserved"
+
+
+def test_every_piece_of_the_vocabulary_counts():
+    path = packing.vocabulary(language_id.VOCABULARY)
+    pieces = language_id.pieces_of(path)
+    assert pieces == language_id.pieces_of(path, 1000)
+    assert max(map(len, pieces)) == language_id.LONGEST
+    word = max((p for p in pieces if p[0] == "▁"), key=len)[1:]
+    assert pieces["▁" + word] in language_id.lattice([word], pieces)
