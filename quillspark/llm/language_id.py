@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import WordCodes, only
@@ -21,8 +21,8 @@ VOCABULARY = "piece_bpe_32k.model"
 LONGEST = 16
 #: Most documents to fit on for each language, in order of a hash of the id, and most characters of all.
 SAMPLE, SAMPLE_CHARS = 300, 8_000_000
-#: Most languages told apart: the most frequent ones.
-LANGUAGES = 200
+#: Up to so many languages are sampled one by one, more of them in one pass.
+PASSES = 50
 ROUNDS, SMOOTH, SEED = 3, 0.1, 11
 CACHED_WORDS = 200_000
 
@@ -187,10 +187,16 @@ def train(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     """Fit on the learning folds: for each language at most ``sample`` documents in order of a hash of the id, whole
     texts, at most ``chars`` characters in all. Rows with a null id, text or language are left out."""
     rows = only(docs, id=id_col, text=text_col, lang=lang_col).filter("id is not null and text is not null and lang is not null").filter(~held_out("id"))
-    langs = sorted(r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
     narrow = rows.select("id", "lang", F.length("text").alias("n"))
-    picked = [r for lang in langs for r in narrow.filter(F.col("lang") == lang).orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(sample).collect()]
-    picked.sort(key=lambda r: xxhash.xxh64_intdigest(str(r["id"])))
+    if len(langs) <= PASSES:
+        ranked = [r for lang in langs for r in enumerate(narrow.filter(F.col("lang") == lang).orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(sample).collect())]
+    else:
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(SEED)), "id"))
+        ranked = [(r["place"] - 1, r) for r in narrow.withColumn("place", place).filter(F.col("place") <= sample).collect()]
+    # the first document of each language comes before all others, so that the bound on characters shuts out no language
+    ranked.sort(key=lambda x: (x[0] > 0, xxhash.xxh64_intdigest(str(x[1]["id"]))))
+    picked = [r for _, r in ranked]
     ids, total = [], 0
     for r in picked:
         total += r["n"]

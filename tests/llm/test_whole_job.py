@@ -97,3 +97,9 @@ def test_every_piece_of_the_vocabulary_counts():
     assert max(map(len, pieces)) == language_id.LONGEST
     word = max((p for p in pieces if p[0] == "▁"), key=len)[1:]
     assert pieces["▁" + word] in language_id.lattice([word], pieces)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, f"word{'abcdefghij'[k % 10]} text", f"l{k % 230:03}") for k in range(2300)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), packing.vocabulary(language_id.VOCABULARY), sample=2)
+    assert model.langs == [f"l{k:03}" for k in range(230)]
