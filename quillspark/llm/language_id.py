@@ -199,8 +199,8 @@ def train(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     picked = [r for _, r in ranked]
     ids, total = [], 0
     for r in picked:
-        total += r["n"]
-        if total <= chars:
+        if total + r["n"] <= chars:
+            total += r["n"]
             ids.append((r["id"],))
     few = docs.sparkSession.createDataFrame(ids, f"id {dict(rows.dtypes)['id']}")
     got = rows.join(F.broadcast(few), "id", "left_semi").orderBy("id", F.xxhash64("text")).collect() if ids else []

@@ -1,6 +1,8 @@
 """Cases that operators once left out."""
 
-from quillspark.llm import language_id, licenses, line_dedup, packing
+from pyspark.sql import functions as F
+
+from quillspark.llm import language_id, licenses, line_dedup, packing, toxicity
 from quillspark.operators import dedup, graph
 from quillspark.plans import registry
 from quillspark.plans.tables import couples, family
@@ -103,3 +105,15 @@ def test_every_language_is_learned(spark):
     rows = [(k, f"word{'abcdefghij'[k % 10]} text", f"l{k % 230:03}") for k in range(2300)]
     model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), packing.vocabulary(language_id.VOCABULARY), sample=2)
     assert model.langs == [f"l{k:03}" for k in range(230)]
+
+
+def test_one_long_text_shuts_out_no_other(spark, monkeypatch):
+    rows = [(k, "une ligne " * (500 if k % 20 == 3 else 1) + str(k), "fr", k % 2) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    taken = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, *_: taken.append(len(texts)))
+    monkeypatch.setattr(language_id, "fit", lambda texts, *_: taken.append(len(texts)))
+    short = docs.filter(F.length("text") < 100).filter(~toxicity.held_out("doc_id")).count()
+    toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"), chars=4000)
+    language_id.train(docs, packing.vocabulary(language_id.VOCABULARY), chars=4000)
+    assert taken == [short, short]
