@@ -158,6 +158,15 @@ def roman(col: Column) -> Column:
     return F.when((col >= 1) & (col < 40), F.concat(F.element_at(tens, (F.floor(col / 10) + 1).cast("int")), F.element_at(ones, (col % 10 + 1).cast("int")))).otherwise("")
 
 
+def book_label(saga: Column, tome: Column, title: Column) -> Column:
+    """A volume's full label; tome 0 stands outside the series."""
+    return F.concat(saga, F.when(tome == 0, F.lit(", hors-série — ")).otherwise(F.concat(F.lit(", tome "), roman(tome), F.lit(" — "))), title)
+
+
+def short_label(saga: Column, tome: Column) -> Column:
+    return F.concat(saga, F.when(tome == 0, F.lit(" hors-série")).otherwise(F.concat(F.lit(" "), roman(tome))))
+
+
 def book_id(saga: Column, tome: Column) -> Column:
     return F.concat(F.lit("s"), saga.cast("string"), F.lit("-t"), F.lpad(tome.cast("string"), 2, "0"))
 
@@ -201,9 +210,14 @@ def distinctive(alias: Column, role_words: list[str] = ROLE_WORDS) -> Column:
     return (F.length(F.replace(f, F.lit(" "), F.lit(""))) >= 3) & F.exists(words, lambda w: ~w.isin(role_words))
 
 
-#: Fixed patterns: terms of kinship, and comrades in arms, which are none. Word ends are ASCII ones.
-KIN = r"(?i)(?<![A-Za-z0-9_])(p[eè]re|m[eè]re|fils|fille|fr[eè]re|s(?:œ|oe)ur|mari|femme|enfants?|parents?|jumeaux?|jumelles?|oncle|tante|neveu|ni[eè]ce|grand-p[eè]re|grand-m[eè]re|(?:(?<=[A-Za-z0-9_])é|(?<![A-Za-z0-9_])e)pou[xs]e?)(?![A-Za-z0-9_])|(?<=[A-Za-z0-9_])épou[xs]e?(?![A-Za-z0-9_])"
-COMRADES = r"(?i)(fr[eè]res?|s(?:œ|oe)urs?|compagnons?) d[’']armes"
+#: A word's edge as ASCII sees it: accented letters are no word signs. Spaces as scripts on the web see them.
+EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+BLANK = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+#: Terms of kinship, and comrades in arms, which are none.
+KIN_TERMS = r"p[èe]re|m[èe]re|fils|fille|fr[èe]re|s(?:œ|oe)ur|[ée]pou[xs]e?|mari[ée]?|femme de|conjoint|enfant|parent|anc[êe]tre|descendant|petit[- ]fils|petite[- ]fille|oncle|tante|neveu|ni[èe]ce|a[îi]eul"
+COMRADE_TERMS = r"(?:fr[èe]res?|s(?:œ|oe)urs?)BLANK+d['’BLANK]BLANK*armes?"
+KIN = f"(?iu){EDGE}(?:{KIN_TERMS}){EDGE}"
+COMRADES = f"(?iu){EDGE}{COMRADE_TERMS.replace('BLANK]', BLANK[1:]).replace('BLANK', BLANK)}{EDGE}"
 
 
 def kinship(col: Column) -> Column:

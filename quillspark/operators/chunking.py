@@ -55,6 +55,16 @@ def chunk(paragraphs: DataFrame, least: int = LEAST) -> DataFrame:
     return got.withColumns({"n": number, "pages": page_range(F.col("page_start"), F.col("page_end"))}).select("book", "n", "chapter", "page_start", "page_end", "pages", "text")
 
 
+def cited(chunks: DataFrame, books: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Chunks with id, chapter_label and ref, the line that an answer cites. ``books`` has book, prefix and label;
+    ``chapters`` has book, chapter and label; what stands in none is "Hors chapitre"."""
+    number = F.col("n").cast("string")
+    id_ = F.concat(F.col("prefix"), F.lit("-"), F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number))
+    t = chunks.join(books.select("book", "prefix", F.col("label").alias("book_label")), "book").join(chapters.select("book", "chapter", F.col("label").alias("chapter_label")), ["book", "chapter"], "left")
+    t = t.withColumn("chapter_label", F.coalesce("chapter_label", F.lit("Hors chapitre")))
+    return t.select(id_.alias("id"), *chunks.columns, "chapter_label", F.concat_ws(", ", "book_label", "chapter_label", "pages").alias("ref"))
+
+
 def segments(paragraphs: DataFrame, most: int = SEGMENT) -> DataFrame:
     """Segments of a book without chapters: a segment closes with the paragraph that brings it to ``most`` signs."""
 

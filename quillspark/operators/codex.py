@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import distinctive, fold, tokenize, windows
 from .lexical import bm25
+from .scratch import numbered
 
 # --- roll-up of mentions (ord, chapter, name, kind, role) --------------------------------------------------------------
 
@@ -146,7 +147,7 @@ def ordered_names(entries: DataFrame) -> DataFrame:
 def search_cards(query: str, entries: DataFrame, limit: int = 4, max_order: int | None = None) -> DataFrame:
     """Entries for a query: names first, then BM25 over the cards' prose (card_text). Returns idx, score, exact."""
     hits = name_hits(query, ordered_names(entries)).groupBy("idx").agg(F.max_by("score", "at").alias("score")).withColumn("exact", F.lit(True))
-    texts = entries.select("idx", card_text().alias("text"))
+    texts = entries.select("idx", card_text(entries.columns).alias("text"))
     spark = entries.sparkSession
     found = bm25(texts, spark.createDataFrame([(query,)], "text string"), limit * 3, "idx", "text").withColumnRenamed("doc", "idx").withColumn("exact", F.lit(False))
     out = hits.unionByName(found.join(hits, "idx", "left_anti"))
@@ -155,14 +156,50 @@ def search_cards(query: str, entries: DataFrame, limit: int = 4, max_order: int
     return out.orderBy(F.desc("score"), "idx").limit(limit)
 
 
-def card_text() -> Column:
-    """A card as prose; empty parts are left out."""
-    join = lambda *parts: F.concat_ws("\n", *[F.when(F.length(p) > 0, p) for p in parts])
-    return join(
+def card_text(have: list[str] = ()) -> Column:
+    """A card as prose; empty parts are left out. ``have`` names the columns there are of arc, relations (array of name,
+    nature) and volumes (array with full, a volume's label)."""
+    parts = [
         F.concat(F.col("name"), F.lit(" — "), F.col("kind")),
         F.when(F.size("aliases") > 0, F.concat(F.lit("Aussi appelé : "), F.array_join("aliases", ", "))),
         F.col("gloss"), F.col("description"),
-    )
+    ]
+    if "arc" in have:
+        parts.append(F.when(F.length("arc") > 0, F.concat(F.lit("Évolution : "), F.col("arc"))))
+    if "relations" in have:
+        named = F.transform("relations", lambda r: F.concat(r["name"], F.lit(" ("), r["nature"], F.lit(")")))
+        parts.append(F.when(F.size("relations") > 0, F.concat(F.lit("Liens : "), F.array_join(named, ", "))))
+    if "volumes" in have:
+        parts.append(F.concat(F.lit("Tomes : "), F.array_join(F.transform("volumes", lambda v: v["full"]), " · ")))
+    return F.concat_ws("\n", *[F.when(F.length(p) > 0, p) for p in parts])
+
+
+def volumes_within(volumes: Column, max_order: int | None) -> Column:
+    """A card's volumes (array with order) up to the reading limit; without one, all."""
+    return F.filter(volumes, lambda v: v["order"] <= max_order) if max_order else volumes
+
+
+def few_relations(relations: Column, most: int = 4) -> Column:
+    return F.slice(relations, 1, most)
+
+
+def other_names(aliases: Column, name: Column) -> Column:
+    """Aliases, each once and in order, without the entry's own name."""
+    return F.filter(F.array_distinct(aliases), lambda a: a != name)
+
+
+def reading_order(*sagas: DataFrame) -> DataFrame:
+    """Book lists (pos, ...) of sagas, one after the other, with order, the place of a book from 1."""
+    out = None
+    for k, books in enumerate(sagas):
+        part = books.withColumn("saga", F.lit(k + 1))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("order", F.row_number().over(Window.orderBy("saga", "pos")))  # a catalogue of some dozen books
+
+
+def with_book(rows: DataFrame, books: DataFrame) -> DataFrame:
+    """Rows (order) with their book's columns. A row of no known book is an error."""
+    return rows.join(books.withColumn("_known", F.lit(True)), "order", "left").withColumn("_known", F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("no book at place "), F.col("order").cast("string")))).otherwise(True)).filter("_known").drop("_known")
 
 
 def passage_counts(passages: DataFrame, names: DataFrame, least: int = 4) -> DataFrame:
@@ -225,8 +262,8 @@ def browse(entries: DataFrame, max_order: int | None = None, kinds: list[str] |
 
 def card_index(entries: DataFrame) -> DataFrame:
     """Light rows with counts, numbered by first book (none: 999), then by name in French order."""
-    order = Window.orderBy(F.coalesce("first", F.lit(999)), F.collate(F.col("name"), "fr"), "id")
-    return entries.select("id", "name", "kind", "gloss", "first", F.size("aliases").alias("n_aliases"), F.size("books").alias("n_books"), F.row_number().over(order).alias("number"))
+    light = entries.select("id", "name", "kind", "gloss", "first", F.size("aliases").alias("n_aliases"), F.size("books").alias("n_books"))
+    return numbered(light, [F.coalesce("first", F.lit(999)), F.collate(F.col("name"), "fr"), F.col("id")], "number")
 
 
 def kind_counts(entries: DataFrame) -> DataFrame:

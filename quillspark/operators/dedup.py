@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import STOPWORDS, fnv1a, tokenize, windows
+from ..functions.text import STOPWORDS, tokenize, windows
+from .scratch import keep
 
 GRAM, SKETCH, BAND = 4, 16, 3
 THRESHOLD, MIN_SHINGLES = 0.6, 60
 
 
+def least_hashes(grams: list[str], n: int = SKETCH) -> np.ndarray:
+    """The n smallest FNV-1a hashes (32 bits) of ASCII texts, worked out sign by sign for all of them."""
+    size = np.array([len(g) for g in grams], np.int64)
+    codes = np.frombuffer("".join(grams).encode("ascii", "replace"), np.uint8)
+    start, h = np.cumsum(size) - size, np.full(len(grams), 2166136261, np.uint64)
+    for k in range(int(size.max(initial=0))):
+        on = np.flatnonzero(size > k)
+        h[on] = (h[on] ^ codes[start[on] + k]) * np.uint64(16777619) & np.uint64(0xFFFFFFFF)
+    return np.sort(h)[:n].astype(np.int64)
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stopwords: list[str] = STOPWORDS) -> DataFrame:
     """id, grams (distinct shingles) and sketch (the smallest hashes, ascending)."""
+
+    @F.pandas_udf("array<long>")
+    def sketch(grams: pd.Series) -> pd.Series:
+        return grams.map(lambda g: least_hashes(list(g)))
+
     grams = F.array_distinct(windows(tokenize(F.col(text_col), stopwords), GRAM))
-    rows = docs.select(F.col(id_col).alias("id"), grams.alias("grams"))
-    return rows.withColumn("sketch", F.slice(F.array_sort(F.transform("grams", fnv1a)), 1, SKETCH))
+    return docs.select(F.col(id_col).alias("id"), grams.alias("grams")).withColumn("sketch", sketch("grams"))
 
 
 def band_keys(sketch):
@@ -25,9 +43,8 @@ def band_keys(sketch):
 
 def _classes(docs: DataFrame, least: int, id_col: str, text_col: str, stopwords: list[str]) -> tuple[DataFrame, DataFrame]:
     """The first text of each class with equal shingles (mark, id, grams, sketch), and the others as pairs (a first, b)."""
-    long = sketches(docs, id_col, text_col, stopwords).filter(F.size("grams") >= least)
     mark = F.md5(F.concat_ws("\n", F.array_sort("grams")))
-    long = long.withColumn("mark", mark)
+    long = keep(sketches(docs, id_col, text_col, stopwords).filter(F.size("grams") >= least).withColumn("mark", mark))
     first = long.groupBy("mark").agg(F.min_by(F.struct("id", "grams", "sketch"), "id").alias("x")).select("mark", "x.*")
     copies = long.select("id", "mark").join(first.select("mark", F.col("id").alias("a")), "mark").filter("id <> a").select("a", F.col("id").alias("b"))
     return first, copies
@@ -59,8 +76,6 @@ def greedy(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     The first undecided ids of all their twins stay and put theirs out, round by round, until none is undecided: the
     result of the sequential walk, in a few joins. ``same_as`` is the smallest kept twin.
     """
-    from .scratch import keep
-
     pairs = keep(pairs.distinct())
     state = keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
     while not state.filter("kept is null").isEmpty():

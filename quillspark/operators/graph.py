@@ -6,30 +6,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
-from .scratch import keep
+from .scratch import keep, numbered
 
 
 def alias_owners(entries: DataFrame) -> DataFrame:
-    """idx → owner: entries whose name is an alias of another entry go to the owner with the most books, then the
-    smallest id."""
-    names = entries.select("idx", fold(F.col("name")).alias("key"))
+    """idx → owner: entries whose name is an alias of another entry. Of several owners the one with the most books counts,
+    then the smallest id; it takes the entry over only with more books than the entry has, or as many and a smaller id."""
+    names = entries.select("idx", F.col("id").alias("own_id"), F.size("books").alias("own_n"), fold(F.col("name")).alias("key"))
     owners = entries.select(F.col("idx").alias("owner"), "id", F.size("books").alias("n"), F.explode("aliases").alias("alias")).withColumn("key", fold(F.col("alias")))
-    both = names.join(owners, "key").filter("idx <> owner")
-    return both.groupBy("idx").agg(F.min_by("owner", F.struct((-F.col("n")).alias("n"), "id")).alias("owner"))
+    both = names.join(owners, "key").filter("own_id <> id")
+    best = both.groupBy("idx", "own_id", "own_n").agg(F.min(F.struct((-F.col("n")).alias("n"), "id", "owner")).alias("x"))
+    more = -F.col("x.n")
+    return best.filter((more > F.col("own_n")) | ((more == F.col("own_n")) & (F.col("x.id") < F.col("own_id")))).select("idx", "x.owner")
 
 
-def canonical(ids: DataFrame, owners: DataFrame, most: int = 32) -> DataFrame:
+def canonical(ids: DataFrame, owners: DataFrame) -> DataFrame:
     """Follow idx → owner to its end. A chain that meets itself stops where it would repeat: at its last new entry.
 
-    Pointers are doubled, so a chain of n takes log2(n) joins; entries on or before a cycle end at the cycle's smallest
-    idx, whichever entry they start from.
+    Pointers are doubled, so a chain of n takes log2(n) joins, and the loop ends when no pointer moves or the longest
+    possible chain is covered; entries on or before a cycle end at the cycle's smallest idx, whichever entry they start
+    from.
     """
     state = keep(ids.select("idx").join(owners, "idx", "left").select("idx", F.coalesce("owner", "idx").alias("to")))
-    least = keep(state.select("idx", "to", F.least("idx", "to").alias("low")))
-    for _ in range(most.bit_length() + 1):
+    least = keep(state.select("idx", "to", F.least("idx", "to").alias("low"), F.lit(True).alias("moved")))
+    for _ in range(state.filter("idx <> to").count().bit_length() + 1):
         nxt = least.select(F.col("idx").alias("to"), F.col("to").alias("further"), F.col("low").alias("low2"))
-        least = keep(least.join(nxt, "to", "left").select("idx", F.coalesce("further", "to").alias("to"), F.least("low", F.coalesce("low2", "low")).alias("low")))
-    moved = least.join(state.select(F.col("idx").alias("to"), F.col("to").alias("again")), "to", "left")
+        end = F.coalesce("further", "to")
+        least = keep(least.join(nxt, "to", "left").select("idx", end.alias("to"), F.least("low", F.coalesce("low2", "low")).alias("low"), (end != F.col("to")).alias("moved")))
+        if least.filter("moved").isEmpty():
+            break
+    moved = least.select("idx", "to").join(state.select(F.col("idx").alias("to"), F.col("to").alias("again")), "to", "left")
     ends = keep(moved.select("idx", "to", (F.col("again").isNotNull() & (F.col("again") != F.col("to"))).alias("cyclic")))
     low = least.select(F.col("idx").alias("to"), F.col("low").alias("cycle_low"))
     return ends.join(low, "to", "left").select("idx", F.when(F.col("cyclic"), F.col("cycle_low")).otherwise(F.col("to")).alias("canonical"))
@@ -173,5 +179,5 @@ def reachable(doors: DataFrame, start: str, depth: int = 3) -> DataFrame:
 def tree_index(members: DataFrame, books: DataFrame) -> DataFrame:
     """Trees by size, then books (person, n), most first."""
     sizes = members.groupBy("ego").agg(F.count_distinct("person").alias("size"))
-    order = Window.orderBy(F.desc("size"), F.desc("n"), "ego")
-    return sizes.join(books.withColumnRenamed("person", "ego"), "ego", "left").select("ego", "size", F.coalesce("n", F.lit(0)).alias("n")).withColumn("rank", F.row_number().over(order))
+    t = sizes.join(books.withColumnRenamed("person", "ego"), "ego", "left").select("ego", "size", F.coalesce("n", F.lit(0)).alias("n"))
+    return numbered(t, [F.desc("size"), F.desc("n"), F.col("ego")], "rank")

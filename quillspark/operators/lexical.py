@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import STOPWORDS, tokenize
+from ..functions.text import STOPWORDS, deaccent, stem, tokenize
 
 K1, B = 1.2, 0.75
 
 
+def terms_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stopwords: list[str] = STOPWORDS) -> DataFrame:
+    """Index tokens as rows (doc, term): the rows of :func:`tokenize`, exploded first so that all of it is compiled."""
+    words = docs.select(F.col(id_col).alias("doc"), F.explode(F.split(deaccent(F.lower(F.coalesce(F.col(text_col), F.lit("")))), "[^a-z0-9]+")).alias("w"))
+    words = words.filter(F.length("w") >= 2)
+    if stopwords:
+        words = words.filter(~F.col("w").isin(stopwords))
+    return words.select("doc", stem(F.col("w")).alias("term"))
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stopwords: list[str] = STOPWORDS) -> DataFrame:
     """Term frequencies (doc, term, tf)."""
-    words = docs.select(F.col(id_col).alias("doc"), F.explode(tokenize(F.col(text_col), stopwords)).alias("term"))
-    return words.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return terms_of(docs, id_col, text_col, stopwords).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def doc_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stopwords: list[str] = STOPWORDS) -> DataFrame:
@@ -25,31 +33,59 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count(F.lit(1)).alias("n"), (F.sum("len") / F.greatest(F.lit(1), F.count(F.lit(1)))).alias("avgdl"))
 
 
-def bm25(docs: DataFrame, query: DataFrame, limit: int | None = 60, id_col: str = "doc_id", text_col: str = "text", stopwords: list[str] = STOPWORDS) -> DataFrame:
-    """Documents by BM25 for a one-row query (text); repeated query terms count once; ties by id.
-
-    One scan tokenizes each document, keeps its length and only its counts of the query's terms, so what is shuffled are
-    a few narrow rows. Scores are rounded to 6 decimals before they are ranked.
-    """
-    terms = F.broadcast(query.select(F.array_distinct(tokenize(F.col("text"), stopwords)).alias("wanted")).limit(1))  # one row
-    counted = docs.select(F.col(id_col).alias("doc"), tokenize(F.col(text_col), stopwords).alias("ws")).crossJoin(terms)
-    own = counted.select("doc", F.size("ws").cast("long").alias("len"), F.filter("ws", lambda w: F.array_contains("wanted", w)).alias("hits"))
-    stats = F.broadcast(own.agg(F.count(F.lit(1)).alias("n"), (F.sum("len") / F.greatest(F.lit(1), F.count(F.lit(1)))).alias("avgdl")))
-    tf = own.filter(F.size("hits") > 0).select("doc", "len", F.explode("hits").alias("term")).groupBy("doc", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = F.broadcast(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))  # a row for each term of the query
-    scored = tf.join(df, "term").crossJoin(stats)
+def _ranked(hits: DataFrame, n_docs: DataFrame, limit: int | None) -> DataFrame:
+    """Scores of (doc, len, term, tf); ``n_docs`` is one row of n and avgdl. Rounded to 6 decimals, then ranked."""
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each term of the query
+    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(n_docs))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     out = scored.groupBy("doc").agg(F.round(F.sum(idf * norm), 6).alias("score"))
     return out.orderBy(F.desc("score"), "doc").limit(limit) if limit else out
 
 
+def _wanted(query: DataFrame, stopwords: list[str]) -> DataFrame:
+    """The distinct terms of a one-row query; a question has few words."""
+    return F.broadcast(query.limit(1).select(F.explode(F.array_distinct(tokenize(F.col("text"), stopwords))).alias("term")))
+
+
+def bm25(docs: DataFrame, query: DataFrame, limit: int | None = 60, id_col: str = "doc_id", text_col: str = "text", stopwords: list[str] = STOPWORDS) -> DataFrame:
+    """Documents by BM25 for a one-row query (text); repeated query terms count once; ties by id.
+
+    Without an index: one pass over the texts counts each document's tokens and those among them that are query terms,
+    so what is shuffled are a few narrow rows a document. :func:`search` asks an index instead.
+    """
+    terms = _wanted(query, stopwords).withColumn("hit", F.col("term"))
+    counted = terms_of(docs, id_col, text_col, stopwords).join(terms, "term", "left").groupBy("doc", "hit").agg(F.count(F.lit(1)).alias("tf"))
+    found = F.collect_list(F.when(F.col("hit").isNotNull(), F.struct(F.col("hit").alias("term"), "tf")))
+    own = counted.groupBy("doc").agg(F.sum("tf").alias("len"), found.alias("hits"))
+    total = own.agg(F.sum("len").alias("total")).crossJoin(docs.agg(F.count(F.lit(1)).alias("n")))  # one row each
+    stats = total.select("n", (F.coalesce("total", F.lit(0)) / F.greatest(F.lit(1), F.col("n"))).alias("avgdl"))
+    hits = own.filter(F.size("hits") > 0).select("doc", "len", F.explode("hits").alias("h")).select("doc", "len", "h.*")
+    return _ranked(hits, stats, limit)
+
+
+def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stopwords: list[str] = STOPWORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings (doc, term, tf), lengths (doc, len) and totals (n, avgdl): what a search needs of the texts.
+    ``files.write_corpus`` writes them, the postings clustered by term."""
+    found = postings(docs, id_col, text_col, stopwords)
+    have = found.groupBy("doc").agg(F.sum("tf").alias("len"))
+    lengths = docs.select(F.col(id_col).alias("doc")).join(have, "doc", "left").select("doc", F.coalesce("len", F.lit(0)).cast("long").alias("len"))
+    return found, lengths, corpus_stats(lengths)
+
+
+def search(found: DataFrame, lengths: DataFrame, stats: DataFrame, query: DataFrame, limit: int | None = 60, stopwords: list[str] = STOPWORDS) -> DataFrame:
+    """:func:`bm25` on an index: only the postings of the query's terms are read (term is their order on disk), and the
+    lengths of their documents."""
+    hits = found.join(_wanted(query, stopwords), "term").join(lengths, "doc").select("doc", "len", "term", "tf")
+    return _ranked(hits, stats, limit)
+
+
 def late_filter(ranked: DataFrame, orders: DataFrame, limit: int | None, keep: int = 90) -> DataFrame:
     """The reading limit of the lexical branch: on what the search returned (doc, score), then cut to ``keep``.
 
     ``orders`` has doc, order; no limit and 0 both mean all.
     """
-    near = orders.join(F.broadcast(ranked), "doc")  # ranked is the result of a limit
+    near = orders.join(ranked, "doc")
     if limit:
         near = near.filter(F.col("order") <= limit)
     return near.select("doc", "score").orderBy(F.desc("score"), "doc").limit(keep)

@@ -77,35 +77,38 @@ def nearest_colors(colors: DataFrame, palette: DataFrame) -> DataFrame:
 
 
 def snap(pixels: DataFrame, palette: DataFrame, neutral: float = 0.05, adopt: float = 0.12, merge: float = 0.03, most: int = 16) -> DataFrame:
-    """(image, r, g, b) → the colour it becomes. Greys stay; others take the palette's colour if that is near. Of the
-    colours left, those nearer than ``merge`` to a larger one join it, largest first (in order, so colours of one image
-    go to one task: they are distinct colours, not pixels), and beyond ``most`` the nearest kept one."""
-    share = color_shares(pixels, 1 << 30).select("image", "r", "g", "b", "share")
-    near = nearest_colors(share, palette).join(palette.select("idx", F.col("r").alias("pr"), F.col("g").alias("pg"), F.col("b").alias("pb")), "idx")
-    t = with_oklab(share).join(near.select("r", "g", "b", "pr", "pg", "pb", "distance"), ["r", "g", "b"])
+    """(image, r, g, b) → the colour it becomes. Greys stay; others take the palette's colour if that is near. The colours
+    that come of it are ranked by their largest share of a frame; one within ``merge`` of larger ones joins the first of
+    these. The ``most`` largest stay, and any other goes to the nearest of them. Colours of one image go to one task:
+    they are distinct colours, not pixels."""
+    hist = pixels.filter("a >= 16").groupBy("image", "frame", "r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
+    near = nearest_colors(hist, palette).join(F.broadcast(palette.select("idx", F.col("r").alias("pr"), F.col("g").alias("pg"), F.col("b").alias("pb"))), "idx")  # some tens of rows
+    own = with_oklab(near)
     take = (F.hypot("ok_a", "ok_b") >= neutral) & (F.col("distance") <= adopt)
-    t = t.select("image", "share", "r", "g", "b", *[F.when(take, F.col(f"p{c}")).otherwise(F.col(c)).alias(f"n{c}") for c in "rgb"])
-    t = t.withColumns(dict(zip(("ok_l", "ok_a", "ok_b"), oklab(F.col("nr"), F.col("ng"), F.col("nb")), strict=True)))
+    to = own.select("r", "g", "b", *[F.when(take, F.col(f"p{c}")).otherwise(F.col(c)).cast("int").alias(f"n{c}") for c in "rgb"])
+    mapped = hist.join(to, ["r", "g", "b"])
+    total = hist.groupBy("image", "frame").agg(F.sum("n").alias("all"))
+    share = mapped.groupBy("image", "frame", "nr", "ng", "nb").agg(F.sum("n").alias("n")).join(total, ["image", "frame"]).groupBy("image", "nr", "ng", "nb").agg(F.max(F.col("n") / F.col("all")).alias("share"))
+    share = share.withColumns(dict(zip(("ok_l", "ok_a", "ok_b"), oklab(F.col("nr"), F.col("ng"), F.col("nb")), strict=True)))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["share", "r", "g", "b"], ascending=[False, True, True, True], ignore_index=True)
-        kept: list[int] = []
-        to = []
+        pdf = pdf.sort_values(["share", "nr", "ng", "nb"], ascending=[False, True, True, True], ignore_index=True)
         lab = pdf[["ok_l", "ok_a", "ok_b"]].to_numpy()
+        kept, joins = [], []
         for i in range(len(pdf)):
-            d = [(float(((lab[i] - lab[k]) ** 2).sum() ** 0.5), k) for k in kept]
-            best = min(d, default=(9.0, i))
-            if best[0] <= merge or len(kept) >= most:
-                to.append(best[1])
-            else:
+            close = np.flatnonzero(np.linalg.norm(lab[kept] - lab[i], axis=1) <= merge) if kept else []
+            joins.append(kept[close[0]] if len(close) else i)
+            if not len(close):
                 kept.append(i)
-                to.append(i)
-        out = pdf[["image", "r", "g", "b"]].copy()
+        stay = kept[:most]
+        end = [j if j in stay else stay[int(np.linalg.norm(lab[stay] - lab[i], axis=1).argmin())] for i, j in enumerate(joins)]
+        out = pdf[["image", "nr", "ng", "nb"]].copy()
         for c in "rgb":
-            out[f"to_{c}"] = pdf[f"n{c}"].to_numpy()[to]
+            out[f"to_{c}"] = pdf[f"n{c}"].to_numpy()[end]
         return out
 
-    return t.groupBy("image").applyInPandas(fold, f"image {dict(pixels.dtypes)['image']}, r int, g int, b int, to_r int, to_g int, to_b int")
+    ends = share.groupBy("image").applyInPandas(fold, f"image {dict(pixels.dtypes)['image']}, nr int, ng int, nb int, to_r int, to_g int, to_b int")
+    return mapped.select("image", "r", "g", "b", "nr", "ng", "nb").distinct().join(ends, ["image", "nr", "ng", "nb"]).select("image", "r", "g", "b", "to_r", "to_g", "to_b")
 
 
 def hsl(r: Column, g: Column, b: Column) -> dict[str, Column]:

@@ -1,10 +1,12 @@
-"""Cutting the lineage of loops through the shared checkpoint folder."""
+"""Cutting the lineage of loops through the shared checkpoint folder, and numbering sorted rows without one big task."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -13,3 +15,13 @@ def keep(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-"))
     return df.checkpoint(eager=True)
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows with their place (from 1) in a total order. They are sorted by range; a place is the one in its partition
+    plus the sizes of the partitions before, so no task sees more than a range."""
+    part, at = F.spark_partition_id(), F.monotonically_increasing_id()
+    t = keep(rows.orderBy(*order).withColumns({"_part": part, "_at": at.bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = t.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return t.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(name, (F.col("_before") + F.col("_at") + 1).cast("int")).drop("_part", "_at", "_before")

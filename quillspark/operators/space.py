@@ -36,10 +36,15 @@ def nearest_in_direction(stops: DataFrame, cos: float = 0.5) -> DataFrame:
     return both.filter(dot >= cos).groupBy("world", "id", F.col("v.dir").alias("dir")).agg(F.min_by("to", F.struct("d", "to")).alias("to"))
 
 
-def zone_of(points: DataFrame, zones: DataFrame, default: str = "") -> DataFrame:
-    """The first rectangle (ord, x0, y0, x1, y1, zone) that holds a point, or the default."""
-    hit = points.join(zones, F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")), "left")
-    return hit.groupBy("id").agg(F.coalesce(F.min_by("zone", "ord"), F.lit(default)).alias("zone"))
+def zone_of(points: DataFrame, zones: DataFrame, default: str = "", cell: float = 16.0) -> DataFrame:
+    """The first rectangle (ord, x0, y0, x1, y1, zone) that holds a point, or the default. Rectangles are dealt over the
+    grid cells that they touch, so points meet only those of their cell."""
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.greatest(F.col(a), F.col(b)) / cell))
+    dealt = zones.filter("x0 <= x1 and y0 <= y1").withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
+    placed = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
+    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+    hit = placed.join(dealt, ["cx", "cy"]).filter(inside).groupBy("id").agg(F.min_by("zone", "ord").alias("zone"))
+    return points.select("id").distinct().join(hit, "id", "left").select("id", F.coalesce("zone", F.lit(default)).alias("zone"))
 
 
 def nearest_edge(x: Column, y: Column, w: Column, h: Column) -> Column:
@@ -130,8 +135,22 @@ def direction(dx: Column, dy: Column) -> Column:
     return F.when(F.abs(dx) > F.abs(dy), F.when(dx > 0, "right").otherwise("left")).otherwise(F.when(dy > 0, "down").otherwise("up"))
 
 
-def derived_stats(life: Column, speed: Column) -> dict[str, Column]:
-    return {"life": life * 4, "speed": speed * 10}
+#: What a point of each is worth, and the force that adds nothing.
+LIFE_PER_VITALITY, PIXELS_PER_SPEED, FORCE_PER_DAMAGE, DEFENCE_PER_POINT, BASE_FORCE = 4, 10.0, 5, 6, 5
+
+
+def derived_stats(vitality: Column, speed: Column, force: Column | None = None, wisdom: Column | None = None, defence: Column | None = None) -> dict[str, Column]:
+    """Life, speed and, where they are given, damage of the sword (whole fives of force beyond the base), of spells, and
+    the reduction (whole sixes of defence). Divisions cut towards zero."""
+    whole = lambda c: c.cast("int")
+    out = {"life": whole(vitality) * LIFE_PER_VITALITY, "speed": F.greatest(F.lit(1.0), speed.cast("double")) * PIXELS_PER_SPEED}
+    if force is not None:
+        out["sword"] = 1 + whole(whole(force - BASE_FORCE) / FORCE_PER_DAMAGE)
+    if wisdom is not None:
+        out["spell"] = whole(wisdom)
+    if defence is not None:
+        out["reduction"] = whole(whole(defence) / DEFENCE_PER_POINT)
+    return out
 
 
 def portrait(moods: Column, mood: Column, base: Column) -> Column:
@@ -170,3 +189,19 @@ def coverage(cards: DataFrame) -> DataFrame:
 def halo(d: Column) -> Column:
     """Falloff of a light: the square of what is left to the rim."""
     return F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - d)), F.lit(2.0))
+
+
+def with_roles(stops: DataFrame, roles: DataFrame) -> DataFrame:
+    """Stops of a world (place) with the role of their place; those without one stay, with an empty role."""
+    return stops.join(roles.select("place", "role"), "place", "left").withColumn("role", F.coalesce("role", F.lit("")))
+
+
+def known_by_rank(entries: DataFrame, met: DataFrame) -> DataFrame:
+    """The entries (id, rank) that a player has met, in the order of their rank."""
+    return entries.join(met.select("id").distinct(), "id", "left_semi").orderBy("rank", "id")
+
+
+def ready(blows: DataFrame, cooldown: float) -> DataFrame:
+    """Tries (who, t) that come off: the first, and each that comes ``cooldown`` seconds or more after the last one that
+    did."""
+    return hits(blows.select(F.col("who").alias("target"), "t", F.lit(0.0).alias("amount")), cooldown).select(F.col("target").alias("who"), "t")

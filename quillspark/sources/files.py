@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -38,9 +38,8 @@ def listing(spark: SparkSession, path: str, suffix: str) -> DataFrame:
 
 def json_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON table, or none of its rows if the path is absent; broken records are left out."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    fs, where = _there(spark, path)
+    if not fs.exists(where):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
@@ -95,39 +94,55 @@ def secrets(files: DataFrame) -> DataFrame:
     return files.select("path", found.alias("why")).filter("why is not null")
 
 
+def _there(spark: SparkSession, path: str):
+    """The file system of a path, and the path itself."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def write_guarded(new: DataFrame, path: str, failed: bool) -> bool:
-    """Write a result; if pieces failed, not over one that has more entries. Returns whether it was written."""
+    """Write a result; if pieces failed, not over one that has more entries. Returns whether it was written. Only an
+    absent table counts as empty; one that can't be read is an error, and stays."""
     spark = new.sparkSession
-    if failed:
-        try:
-            before = spark.read.parquet(path).count()
-        except Exception:  # nothing there yet
-            before = 0
-        if before > new.count():
-            return False
+    fs, where = _there(spark, path)
+    if failed and fs.exists(where) and spark.read.parquet(path).count() > new.count():
+        return False
     replace(new, path)
     return True
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Write beside, check, then rename: readers never see half a table."""
+    """Write beside, check, then rename. If the new table can't take the old one's place, the old one goes back."""
     spark = df.sparkSession
     aside, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.parquet(aside)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    at = hadoop.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop.Path(f"{aside}/_SUCCESS")):
+    fs, at = _there(spark, path)
+    if not fs.exists(_there(spark, f"{aside}/_SUCCESS")[1]):
         raise OSError(f"{aside} is not complete")
-    if fs.exists(at):
-        fs.rename(at, hadoop.Path(old))
-    fs.rename(hadoop.Path(aside), at)
-    fs.delete(hadoop.Path(old), True)
+    had = fs.exists(at)
+    if had and not fs.rename(at, _there(spark, old)[1]):
+        raise OSError(f"{path} can't be moved away")
+    if not fs.rename(_there(spark, aside)[1], at):
+        if had:
+            fs.rename(_there(spark, old)[1], at)
+        raise OSError(f"{aside} can't take the place of {path}")
+    fs.delete(_there(spark, old)[1], True)
+
+
+def write_by_id(df: DataFrame, path: str, id_col: str = "id", light: list[str] | None = None) -> None:
+    """One JSON folder for each entity, and beside them the light index: the columns ``light`` (all plain ones by
+    default), a row for each entity."""
+    df.write.partitionBy(id_col).mode("overwrite").json(f"{path}/entries")
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct")]
+    df.select(*(light or plain)).write.mode("overwrite").json(f"{path}/index")
 
 
-def write_by_id(df: DataFrame, path: str, id_col: str = "id") -> None:
-    """One JSON folder for each entity, and the light index beside them."""
-    df.write.partitionBy(id_col).mode("overwrite").json(f"{path}/entries")
+def write_corpus(chunks: DataFrame, postings: DataFrame, lengths: DataFrame, stats: DataFrame, path: str) -> None:
+    """The corpus and its search index below one folder: chunks, postings clustered by term, lengths and totals."""
+    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    postings.repartitionByRange("term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
+    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def write_manifest(stats: DataFrame, path: str) -> None:
@@ -144,6 +159,16 @@ def events_out(events: DataFrame) -> DataFrame:
     return events.select(F.to_json(F.struct(*events.columns)).alias("value"))
 
 
+def whole_lines(parts: DataFrame) -> DataFrame:
+    """Lines (source, line, value) of text that came in parts (source, seq, value): the end of one part and the start of
+    the next are one line where no line break lies between them."""
+    pieces = parts.withColumn("p", F.split("value", "\n", -1))
+    before = F.sum(F.size("p") - 1).over(Window.partitionBy("source").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    t = pieces.withColumn("at", F.coalesce(before, F.lit(0))).select("source", "seq", "at", F.posexplode("p").alias("k", "piece"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"]), "")
+    return t.groupBy("source", (F.col("at") + F.col("k")).alias("line")).agg(whole.alias("value"))
+
+
 def events_in(lines: DataFrame, schema: str) -> DataFrame:
     """NDJSON lines as events; blank and broken ones are skipped."""
     good = lines.filter((F.trim("value") != "") & F.try_parse_json("value").isNotNull())
@@ -159,6 +184,11 @@ def with_prefix(*folders: tuple[str, DataFrame]) -> DataFrame:
     return out
 
 
+def absent(required: DataFrame, assets: DataFrame) -> DataFrame:
+    """Required names that no folder has; a build stops on any."""
+    return required.select("name").distinct().join(assets.select("name"), "name", "left_anti")
+
+
 def local_first(wanted: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
     """The newest local folder of a name (last in text order, so v10 comes before v2), else the remote entry of that name
     whatever its case, idle ones preferred."""

@@ -280,3 +280,119 @@ def test_appearances(spark):
     texts = spark.createDataFrame([("Orvan avait de longs cheveux noirs et des yeux gris. Une femme aux cheveux blonds se jeta dans les bras de Mirel hier.",)], "text string")
     got = semantic.appearances(texts, names).collect()
     assert [(r["idx"], r["text"][:11]) for r in got] == [(1, "Orvan avait")]
+
+
+ENTRY = "idx int, id string, name string, aliases array<string>, books array<int>"
+
+
+def test_alias_owner_must_be_the_larger_card(spark):
+    rows = [(0, "a", "Orvan", ["Mirel"], [1]), (1, "b", "Mirel", [], [1, 2, 3, 4]), (2, "c", "Tasken", [], [1]), (3, "d", "Kira", ["Tasken"], [1, 2]), (4, "e", "Onyx", ["Kira"], [1, 2]), (5, "f", "Sela", ["Nomar"], [1]), (6, "g", "Nomar", [], [2])]
+    got = {r["idx"]: r["owner"] for r in graph.alias_owners(spark.createDataFrame(rows, ENTRY)).collect()}
+    assert got == {2: 3, 6: 5}  # the card of four books stays; of equal ones the smaller id takes over
+
+
+def test_long_alias_chains(spark):
+    ids = spark.range(200).select(F.col("id").cast("int").alias("idx"))
+    owners = spark.range(1, 200).select(F.col("id").cast("int").alias("idx"), (F.col("id") - 1).cast("int").alias("owner"))
+    assert {r["canonical"] for r in graph.canonical(ids, owners).collect()} == {0}
+
+
+@pytest.mark.parametrize(("text", "want"), [("ancêtre", True), ("descendant de", True), ("conjoint", True), ("une femme", False), ("femme de", True), ("ses enfants", False), ("jumeaux", False), ("frère d' arme", False), ("FRÈRE", True), ("l’enfant", True), ("mariée", True), ("sœur d’armes", False), ("aïeul", False), ("aieul", True), ("sépouse", True), ("lépouse", True)])
+def test_kinship_terms(spark, text, want):
+    assert one(spark, text, tx.kinship) is want
+
+
+def test_names_with_accents(spark):
+    rows = [("b", " ".join(["dit Hélène", "puis Océané", "et Élund"] * 12))]
+    got = {r["word"] for r in ocr.names(spark.createDataFrame(rows, "book string, text string")).collect()}
+    assert got == {"hélène", "océan"}
+    assert one(spark, "GRANDE|ÉCOLE, né . Il", ocr.repair_glyphs) == "GRANDElÉCOLE, né . Il"
+
+
+def test_card_text(spark):
+    t = spark.sql("SELECT 'Orvan' AS name, 'personnage' AS kind, array('le Grand') AS aliases, 'un roi' AS gloss, '' AS description, 'il part' AS arc, array(named_struct('name', 'Mirel', 'nature', 'fille')) AS relations, array(named_struct('order', 1, 'full', 'Saga, tome I — Un')) AS volumes")
+    assert t.select(codex.card_text(t.columns)).first()[0] == "Orvan — personnage\nAussi appelé : le Grand\nun roi\nÉvolution : il part\nLiens : Mirel (fille)\nTomes : Saga, tome I — Un"
+    assert t.select(codex.card_text()).first()[0] == "Orvan — personnage\nAussi appelé : le Grand\nun roi"
+
+
+def test_cited_chunks(spark):
+    chunks = spark.createDataFrame([("b", 1, 0, "p. 3", "x"), ("b", 12345, -1, "p. 4-5", "y")], "book string, n int, chapter int, pages string, text string")
+    got = chunking.cited(chunks, spark.createDataFrame([("b", "E2T07", "Saga, tome VII — T")], "book string, prefix string, label string"), spark.createDataFrame([("b", 0, "Chapitre 1")], "book string, chapter int, label string"))
+    assert {(r["id"], r["ref"]) for r in got.collect()} == {("E2T07-0001", "Saga, tome VII — T, Chapitre 1, p. 3"), ("E2T07-12345", "Saga, tome VII — T, Hors chapitre, p. 4-5")}
+
+
+def test_fighter_numbers(spark):
+    t = spark.range(1).select(*[c.alias(k) for k, c in space.derived_stats(F.lit(6), F.lit(0), F.lit(3), F.lit(7), F.lit(11)).items()]).first()
+    assert (t["life"], t["speed"], t["sword"], t["spell"], t["reduction"]) == (24, 10.0, 1, 7, 1)
+
+
+def test_people_of_two_words_and_places(spark):
+    texts = spark.createDataFrame([("Orvan le grand était un colosse aux cheveux noirs. Les enfants de la ville virent les yeux de la fanfare au loin. Le château des vents se dressait sur une colline, avec ses tours de pierre grise. Plus grand que le château des vents, le donjon était une forteresse de pierre bien haute.",)], "text string")
+    names = spark.createDataFrame([("orvan le grand", 0), ("fan", 1)], "key string, idx int")
+    got = semantic.appearances(texts, names).collect()
+    assert [(r["idx"], r["text"]) for r in got] == [(0, "Orvan le grand était un colosse aux cheveux noirs.")]
+    f = "orvan le grand etait un colosse aux cheveux noirs"
+    assert got[0]["score"] == pytest.approx(300 - f.index("colosse") - 5.0)
+    got = semantic.place_sentences(texts, spark.createDataFrame([("chateau des vents", 7)], "key string, idx int")).collect()
+    assert [(r["idx"], r["text"][:20]) for r in got] == [(7, "Le château des vents")]
+
+
+def test_lines_in_parts(spark):
+    rows = [("s", 0, '{"a": 1}\n{"a"'), ("s", 1, ": 2}"), ("s", 2, "\n\n"), ("t", 0, "x")]
+    got = {(r["source"], r["line"]): r["value"] for r in files.whole_lines(spark.createDataFrame(rows, "source string, seq int, value string")).collect()}
+    assert got == {("s", 0): '{"a": 1}', ("s", 1): '{"a": 2}', ("s", 2): "", ("s", 3): "", ("t", 0): "x"}
+
+
+def test_guarded_writes(spark, tmp_path):
+    bad = tmp_path / "bad"
+    bad.mkdir()
+    (bad / "part.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="."):
+        files.write_guarded(spark.range(3), str(bad), failed=True)
+    assert (bad / "part.parquet").read_text() == "no parquet"
+    rows = spark.createDataFrame([("a", "A", [1]), ("b", "B", [2])], "id string, name string, books array<int>")
+    files.write_by_id(rows, str(tmp_path / "cards"))
+    assert {(r["id"], r["name"]) for r in spark.read.json(str(tmp_path / "cards/index")).collect()} == {("a", "A"), ("b", "B")}
+    files.write_corpus(rows, spark.createDataFrame([(1, "t", 2)], "doc long, term string, tf long"), spark.range(1), spark.range(1), str(tmp_path / "corpus"))
+    assert spark.read.parquet(str(tmp_path / "corpus/postings")).count() == 1
+
+
+def test_jobs_are_awaited():
+    left = {"a": 2, "b": 1}
+
+    def check(i):
+        left[i] -= 1
+        return {"status": "completed", "cost": 0.5} if left[i] < 0 else {"status": "running"}
+
+    waits = []
+    done, cost = semantic.await_jobs(["a", "b"], check, wait=5.0, sleep=waits.append)
+    assert set(done) == {"a", "b"} and cost == 1.0 and waits == [5.0, 5.0]
+    with pytest.raises(TimeoutError):
+        semantic.await_jobs(["a"], lambda i: {"status": "running"}, rounds=2, sleep=lambda s: None)
+
+
+def test_near_twins_join_the_larger_colour(spark):
+    px = [("i", 0, k, 0, 10, 10, 10, 255) for k in range(6)] + [("i", 0, k, 1, 12, 12, 12, 255) for k in range(4)] + [("i", 0, k, 2, 14, 14, 14, 255) for k in range(2)] + [("i", 0, 0, 3, 250, 250, 250, 255)]
+    df = spark.createDataFrame(px, "image string, frame int, x int, y int, r int, g int, b int, a int")
+    pal = spark.createDataFrame([(0, 255, 0, 0)], "idx int, r int, g int, b int")
+    got = {r["r"]: r["to_r"] for r in raster.snap(df, pal).collect()}
+    assert got == {10: 10, 12: 10, 14: 10, 250: 250}
+    assert {r["to_r"] for r in raster.snap(df, pal, most=1).collect()} == {10}
+
+
+def test_missing_book_is_an_error(spark):
+    books = spark.createDataFrame([(1, "One")], "order int, title string")
+    assert codex.with_book(spark.createDataFrame([(1,)], "order int"), books).first()["title"] == "One"
+    with pytest.raises(Exception, match="no book at place 2"):
+        codex.with_book(spark.createDataFrame([(2,)], "order int"), books).collect()
+
+
+def test_cooldown(spark):
+    rows = [("a", 0.0), ("a", 0.3), ("a", 0.5), ("a", 0.9), ("a", 1.2)]
+    got = sorted(r["t"] for r in space.ready(spark.createDataFrame(rows, "who string, t double"), 0.5).collect())
+    assert got == [0.0, 0.5, 1.2]
+
+
+def test_repair_totals(spark):
+    stats = spark.createDataFrame([("b", "known", 5), ("b", "accents", 2), ("b", "unknown", 1), ("b", "protected", 3)], "book string, rule string, n long")
+    assert ocr.repair_totals(stats).first().asDict() == {"book": "b", "tokens": 8, "unknown_before": 3, "unknown_after": 1, "fixed": 2, "protected": 3}

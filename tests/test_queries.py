@@ -6,7 +6,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quillspark.plans import registry
+from quillspark.plans import parts, registry
+
+
+assert parts  # adds its queries to the registry
 
 
 @pytest.fixture(scope="module")
