@@ -11,7 +11,11 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +66,32 @@ def drop_scratch(*frames: DataFrame) -> None:
             _delete(spark, path)
 
 
+def made_tables() -> list[tuple[SparkSession, str]]:
+    """The scratch tables that now exist, in the order in which they were written."""
+    return list(_made)
+
+
+def drop_tables(tables: list[tuple[SparkSession, str]]) -> None:
+    """Delete these scratch tables, as far as they still exist."""
+    for table in tables:
+        if table in _made:
+            _made.remove(table)
+            _delete(*table)
+
+
+@contextlib.contextmanager
+def scratch_scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end every scratch table written inside it, but for those handed to the function it yields."""
+    before, kept = set(p for _, p in _made), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._scratch)
+        return df
+
+    yield keep
+    drop_tables([t for t in made_tables() if t[1] not in before and t[1] not in kept])
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000, mbytes: int = 16):
     """Arrow batches small enough that very long texts fit a worker's memory."""
@@ -105,6 +135,22 @@ def restrict(df: DataFrame, keys: DataFrame, on: str, rows: int = BROADCAST_ROWS
     return df.join(keys, on, "left_semi")
 
 
+#: Words of 64 bits in the bitmap of :func:`maybe_in`: at most so many rows of two longs are broadcast, whatever comes.
+BITMAP_WORDS = 1 << 19
+
+
+def maybe_in(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is in ``keys``, and some more: those that share a bit of a bitmap of fixed size.
+
+    It spares rows the shuffle of the join that follows. With very many keys the bitmap fills up and lets all rows
+    pass, which costs time and changes nothing.
+    """
+    place = F.pmod(F.xxhash64(on), F.lit(BITMAP_WORDS * 64))
+    bits = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("__bits"))
+    marked = df.withColumns({"__word": F.shiftright(place, 6), "__bit": place.bitwiseAND(F.lit(63)).cast("int")})
+    return marked.join(F.broadcast(materialize(bits, "bitmap")), "__word").filter(F.getbit("__bits", F.col("__bit")) == 1).drop("__word", "__bit", "__bits")
+
+
 def text_of(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
@@ -125,3 +171,21 @@ class WordCodes(dict):
         self[word] = code = len(self)
         self.new.append(word)
         return code
+
+
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words of a batch of texts: a code for each word in order, the number of words of each text, the distinct words.
+
+    Splitting and coding run in Arrow, so Python only sees each distinct word of a batch once. Null counts as empty.
+    """
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    flat, ends = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
+    coded = flat.dictionary_encode()
+    distinct, codes = coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    counts = np.diff(ends - ends[0])
+    blank = distinct.index(b"") if b"" in distinct else -1
+    if blank >= 0:  # white space at either end of a text leaves empty parts
+        full = codes != blank
+        owner = np.repeat(np.arange(len(counts)), counts)
+        codes, counts = codes[full], np.bincount(owner[full], minlength=len(counts))
+    return codes, counts.astype(np.int64), distinct
