@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import chunking, codex, dedup, dense, graph, layout, lexical, ocr, quality, raster, semantic, signal, space
 from ..streaming import events as ev
-from .tables import BM25, CHUNKS, COUPLES, DENSE, FAMILY, KIN, MENTIONS, NAMES, PARTS, SIBLINGS, SUPPORT, chunks, couples, entries, family, kin_rows, mentions, question, sql_fold, sql_tokens, table, vector_question
+from .tables import BM25, CHUNKS, COUPLES, DENSE, FAMILY, GRAMS, GREEDY, KIN, MENTIONS, NAMES, PARTS, SIBLINGS, SKETCHES, SUPPORT, chunks, couples, entries, family, kin_rows, mentions, question, sql_fold, sql_tokens, table, vector_question
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -121,7 +121,14 @@ def rrf_fusion(spark, d):
     return _fused(spark, d).select("doc", "score", F.array_join("via", "+").alias("via"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BM25}, {DENSE}, {CHUNKS}, l AS (SELECT doc, row_number() OVER (ORDER BY score DESC, doc) - 1 AS r FROM ranked QUALIFY r < 90), v AS (SELECT doc, row_number() OVER (ORDER BY score DESC, doc) - 1 AS r FROM dv QUALIFY r < 90),
+u AS (SELECT coalesce(l.doc, v.doc) AS doc, l.r AS lr, v.r AS vr, round(coalesce(1.0 / (61 + l.r), 0) + coalesce(1.0 / (61 + v.r), 0), 9) AS score FROM l FULL JOIN v ON l.doc = v.doc),
+p AS (SELECT doc, row_number() OVER (ORDER BY score DESC, lr NULLS LAST, vr NULLS LAST, doc) AS pos FROM u),
+h AS MATERIALIZED (SELECT row_number() OVER (ORDER BY pos) AS k, doc, pos, ord, {GRAMS.format("ws")} AS g FROM (SELECT p.doc, pos, ord, {sql_tokens("text")} AS ws FROM p JOIN chunks ON doc_id = p.doc)),
+w AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(doc BIGINT, pos BIGINT, ord INTEGER, g VARCHAR[])[]) AS kept UNION ALL
+  SELECT h.k, CASE WHEN len(kept) < 14 AND len(list_filter(kept, lambda x: x.ord = h.ord)) < 2 AND len(list_filter(kept, lambda x: len(x.g) > 0 AND len(h.g) > 0 AND len(list_intersect(x.g, h.g)) / least(len(x.g), len(h.g)) > 0.45)) = 0
+    THEN list_append(kept, {{'doc': h.doc, 'pos': h.pos, 'ord': h.ord, 'g': h.g}}) ELSE kept END FROM w JOIN h ON h.k = w.k + 1),
+e AS (SELECT unnest(kept) AS x FROM (SELECT kept FROM w ORDER BY k DESC LIMIT 1)) SELECT x.doc AS doc, x.pos AS pos FROM e""")
 def hybrid_search(spark, d):
     f = _fused(spark, d)
     order = Window.orderBy(*dense.fused_order(["lexical", "semantic"]))  # two pools of 90
@@ -145,17 +152,17 @@ def _dedup(spark, d):
     return dedup.dedupe(docs)
 
 
-@query()
+@query(f"WITH RECURSIVE {GREEDY} SELECT id, kept, same_as FROM dd")
 def dedup_greedy(spark, d):
     return _dedup(spark, d)
 
 
-@query()
+@query(f"WITH {SKETCHES} SELECT sh.id, coalesce(array_to_string(sketch, ','), '') AS sketch FROM sh LEFT JOIN sk USING (id)")
 def fnv_sketch(spark, d):
     return dedup.sketches(table(spark, d, "documents")).select("id", F.array_join("sketch", ",").alias("sketch"))
 
 
-@query()
+@query(f"WITH RECURSIVE {GREEDY} SELECT source AS book, count(*) AS drops FROM dd JOIN documents ON doc_id = id WHERE NOT kept GROUP BY source ORDER BY drops DESC, book LIMIT 6")
 def dedup_drops_by_book(spark, d):
     return dedup.drops_by_book(_dedup(spark, d), table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("book")))
 
@@ -208,7 +215,7 @@ def prose_start(spark, d):
 @query()
 def ocr_repair(spark, d):
     docs = table(spark, d, "documents")
-    fixed, _ = ocr.repair(docs.select(F.col("source").alias("book"), F.col("doc_id").alias("id"), "text"), layout.vocabulary(docs.filter("lang = 'fr'")))
+    fixed, _ = ocr.repair(docs.select(F.col("source").alias("book"), F.col("doc_id").alias("id"), "text"), layout.vocabulary(docs))
     return fixed
 
 
@@ -280,10 +287,10 @@ def distinctive_aliases(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("idx"), tx.distinctive(F.col("p_brand")).alias("good"))
 
 
-@query("SELECT s_nationkey AS nation, count(*) FILTER (WHERE toxic = 1) AS rejected, count(*) FILTER (WHERE toxic = 0) AS confirmed, count(*) AS total FROM labels JOIN supplier ON doc_id = s_suppkey GROUP BY s_nationkey")
+@query("SELECT doc_id % 25 AS nation, count(*) FILTER (WHERE toxic = 1) AS rejected, count(*) FILTER (WHERE toxic = 0) AS confirmed, count(*) AS total FROM labels GROUP BY 1")
 def verdict_totals(spark, d):
-    v = table(spark, d, "labels").join(table(spark, d, "supplier"), F.col("doc_id") == F.col("s_suppkey"))
-    return codex.verdict_totals(v.select(F.col("s_nationkey").alias("relation"), F.expr("case toxic when 1 then 'rejected' else 'confirmed' end").alias("verdict"))).withColumnRenamed("relation", "nation")
+    v = table(spark, d, "labels").select((F.col("doc_id") % 25).alias("relation"), F.expr("case toxic when 1 then 'rejected' when 0 then 'confirmed' end").alias("verdict"))
+    return codex.verdict_totals(v).withColumnRenamed("relation", "nation")
 
 
 # --- graph --------------------------------------------------------------------------------------------------------------
@@ -337,16 +344,18 @@ def tree_sizes(spark, d):
     return graph.tree_sizes(graph.trees(family(spark, d), couples(spark, d)))
 
 
-@query(f"WITH {_TREES} SELECT t.ego, f.parent, f.child FROM family f JOIN trees t ON t.person = f.parent JOIN trees u ON u.ego = t.ego AND u.person = f.child WHERE t.ego LIKE 'N%'")
+_LINKS = f"WITH {_TREES} SELECT t.ego, f.parent, f.child FROM family f JOIN trees t ON t.person = f.parent JOIN trees u ON u.ego = t.ego AND u.person = f.child"
+
+
+@query(_LINKS)
 def links_both_ends(spark, d):
-    members = graph.trees(family(spark, d), couples(spark, d)).filter(F.col("ego").startswith("N"))
-    return graph.links_within(family(spark, d), members)
+    return graph.links_within(family(spark, d), graph.trees(family(spark, d), couples(spark, d)))
 
 
-@query()
+@query(_LINKS)
 def links_both_ends_all(spark, d):
-    """The links of every tree; links_both_ends and its SQL hold those of nations."""
-    return graph.links_within(family(spark, d), graph.trees(family(spark, d), couples(spark, d)))
+    """As links_both_ends, which once held nations' trees only."""
+    return links_both_ends(spark, d)
 
 
 @query(f"WITH {FAMILY}, {COUPLES}, {SIBLINGS}, u AS (SELECT child AS person, 1 AS p, 0 AS c, 0 AS s, 0 AS b FROM family UNION ALL SELECT parent, 0, 1, 0, 0 FROM family UNION ALL SELECT a, 0, 0, 1, 0 FROM couples UNION ALL SELECT a, 0, 0, 0, 1 FROM siblings) SELECT person, CAST(sum(p) AS BIGINT) AS parents, CAST(sum(c) AS BIGINT) AS children, CAST(sum(s) AS BIGINT) AS spouses, CAST(sum(b) AS BIGINT) AS siblings FROM u GROUP BY person")
