@@ -230,10 +230,37 @@ def hex_tint(col: Column, n: int = 8) -> Column:
     return F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(4294967295))) % n
 
 
+def json_in(text: str | None) -> str | None:
+    """The text if it is JSON; else its first brace with all up to where that closes, braces in strings not counted, if
+    that is JSON. Null otherwise."""
+    import json
+
+    def whole(t: str) -> str | None:
+        try:
+            json.loads(t)
+        except ValueError:
+            return None
+        return t
+
+    if text is None or whole(text) is not None:
+        return text
+    depth, quoted, escaped = 0, False, False
+    for i in range(start, len(text)) if (start := text.find("{")) >= 0 else ():
+        c = text[i]
+        if escaped:
+            escaped = False
+        elif c == "\\":
+            escaped = True
+        elif c == '"':
+            quoted = not quoted
+        elif not quoted and c in "{}":
+            depth += 1 if c == "{" else -1
+            if not depth:
+                return whole(text[start : i + 1])
+    return None
+
+
 def first_json_object(col: Column) -> Column:
-    """The first balanced JSON object in a text, strings and escapes minded; null if there is none that closes."""
-    atom = r'(?:[^{}"\\]|"(?:[^"\\]|\\.)*")*+'
-    nest = atom
-    for _ in range(6):  # objects may be nested so deep
-        nest = atom + r"(?:\{" + nest + r"\}" + atom + ")*+"
-    return F.nullif(F.regexp_extract(col, r"(?s)\{" + nest + r"\}", 0), F.lit(""))
+    """The JSON in a text (see :func:`json_in`), however deep it is nested; Python sees batches of texts."""
+    return F.pandas_udf(lambda s: s.map(json_in, na_action="ignore"), "string")(col)
+

@@ -7,6 +7,7 @@ depend on what came before, so these go book by book through Arrow; a book must
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -98,17 +99,22 @@ def numbered_headings(line_rows: DataFrame) -> DataFrame:
 
 def increasing(numbers: list[int]) -> list[int]:
     """Places of a longest strictly increasing subsequence: the first end of that length, and before each member the
-    earliest one a place shorter and smaller."""
-    length: list[int] = []
-    for n in numbers:
-        length.append(1 + max((length[k] for k in range(len(length)) if numbers[k] < n), default=0))
-    if not length:
+    earliest one a place shorter and smaller.
+
+    Places are dealt by the length of the longest run that ends at them; within a length numbers never rise, so both the
+    length of a new place and the earliest smaller one before it are found by bisection.
+    """
+    by_length: list[list[int]] = []
+    for k, n in enumerate(numbers):
+        at = bisect_left(by_length, n, key=lambda places: numbers[places[-1]])
+        if at == len(by_length):
+            by_length.append([])
+        by_length[at].append(k)
+    if not by_length:
         return []
-    at = length.index(max(length))
-    out = [at]
-    while length[at] > 1:
-        at = next(k for k in range(at) if length[k] == length[at] - 1 and numbers[k] < numbers[at])
-        out.append(at)
+    out = [by_length[-1][0]]
+    for places in reversed(by_length[:-1]):
+        out.append(places[bisect_right(places, -numbers[out[-1]], key=lambda k: -numbers[k])])
     return out[::-1]
 
 

@@ -155,8 +155,12 @@ def missing_directions(frames: DataFrame) -> DataFrame:
 def two_centres(colors: pd.DataFrame, rounds: int = 12) -> pd.DataFrame:
     """Two-centre k-means over (r, g, b, n), seeded with the farthest pair."""
     x, n = colors[["r", "g", "b"]].to_numpy(float), colors["n"].to_numpy(float)
-    far = ((x[:, None] - x[None]) ** 2).sum(-1)
-    centres = x[list(divmod(int(far.argmax()), len(x)))]
+    best, centres = -1.0, x[[0, 0]]
+    for at in range(0, len(x), 256):  # rows of the table of distances at a time
+        far = ((x[at : at + 256, None] - x[None]) ** 2).sum(-1)
+        if far.max() > best:
+            best, (i, j) = far.max(), divmod(int(far.argmax()), len(x))
+            centres = x[[at + i, j]]
     for _ in range(rounds):
         own = ((x[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
         centres = np.array([(x[own == k] * n[own == k, None]).sum(0) / n[own == k].sum() if (own == k).any() else centres[k] for k in (0, 1)])
@@ -179,7 +183,7 @@ def face_marks(pixels: DataFrame, eye: Column, mouth: Column) -> DataFrame:
 
 def expression(pixels: DataFrame, marks: DataFrame, slope: float, curve: float, half: int = 4) -> DataFrame:
     """Redraws brows (a slope above the eyes) and mouth (a curve on its row) in black on pixel rows."""
-    t = pixels.join(F.broadcast(marks.select("image", "eye_x", "eye_y", "mouth_y")), "image", "left")  # a row for each image
+    t = pixels.join(marks.select("image", "eye_x", "eye_y", "mouth_y"), "image", "left")
     dx = F.col("x") - F.floor(F.col("eye_x") + 0.5)
     brow = (F.abs(dx) <= half) & (F.abs(dx) >= 1) & (F.col("y") == F.floor(F.col("eye_y") - 2 + slope * F.abs(dx) + 0.5))
     mouth = (F.abs(dx) <= half) & (F.col("y") == F.floor(F.col("mouth_y") + curve * (1 - dx * dx / float(half * half)) + 0.5))

@@ -10,10 +10,13 @@ from pyspark.sql.window import Window
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` in the folder of spark.checkpoint.dir; a session without one (tests) gets its own."""
+    """``checkpoint()`` in the folder of spark.checkpoint.dir; a local session without one (tests) gets its own."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quillspark-"))
     return df.checkpoint(eager=True)
 
 

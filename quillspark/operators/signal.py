@@ -88,20 +88,21 @@ def normalise(rows: DataFrame, target: float) -> DataFrame:
     return rows.join(peak, "sound").select("sound", "i", F.when(F.col("peak") < 1e-9, F.col("v")).otherwise(F.col("v") * target / F.col("peak")).alias("v"))
 
 
-def low_pass(rows: DataFrame, cutoff: float, high: bool = False) -> DataFrame:
-    """One-pole low-pass (or what it takes away). The recurrence goes sound by sound."""
-    f = min(max(cutoff, 20), RATE / 2 - 200)
-    a = 1 - math.exp(-2 * math.pi * f / RATE)
+def low_pass(rows: DataFrame, cutoff: float | Column, high: bool = False) -> DataFrame:
+    """One-pole low-pass (or what it takes away); the cutoff in Hz may change from row to row. The recurrence goes sound
+    by sound."""
+    f = F.least(F.greatest(F.lit(cutoff) if isinstance(cutoff, (int, float)) else cutoff, F.lit(20)), F.lit(RATE / 2 - 200))
+    share = 1 - F.exp(-2 * math.pi * f.cast("double") / RATE)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i", ignore_index=True)
         y, out = 0.0, np.empty(len(pdf))
-        for k, x in enumerate(pdf["v"].to_numpy()):
+        for k, (x, a) in enumerate(zip(pdf["v"].tolist(), pdf["a"].tolist(), strict=True)):
             y += a * (x - y)
             out[k] = y
         return pdf.assign(v=pdf["v"] - out if high else out)[["sound", "i", "v"]]
 
-    return rows.select("sound", "i", "v").groupBy("sound").applyInPandas(run, f"sound {dict(rows.dtypes)['sound']}, i long, v double")
+    return rows.select("sound", "i", "v", share.alias("a")).groupBy("sound").applyInPandas(run, f"sound {dict(rows.dtypes)['sound']}, i long, v double")
 
 
 def sequence(notes: DataFrame, loop: Column) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.scratch import keep
+
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole text files."""
@@ -49,16 +51,17 @@ def json_or_default(col: Column, default: str = "{}") -> Column:
     return F.coalesce(F.try_parse_json(col), F.parse_json(F.lit(default)))
 
 
-def leaves(rows: DataFrame, col: str, name: str, depth: int = 8) -> DataFrame:
-    """(key..., path, value): all leaves called ``name`` of a JSON text column, with their paths. A level of the tree is
-    one lateral join, so it takes as many as the tree is deep (``depth`` at most)."""
-    keep = [c for c in rows.columns if c != col]
-    level = rows.select(*keep, F.lit("$").alias("path"), F.lit("").alias("key"), F.try_parse_json(col).alias("v"))
+def leaves(rows: DataFrame, col: str, name: str) -> DataFrame:
+    """(key..., path, value): all leaves called ``name`` of a JSON text column, with their paths. A level of the trees is
+    one lateral join; levels follow one another until none has a leaf or branch left."""
+    own = [c for c in rows.columns if c != col]
+    level = rows.select(*own, F.lit("$").alias("path"), F.lit("").alias("key"), F.try_parse_json(col).alias("v"))
     found = None
-    for _ in range(depth):
+    while found is None or not level.isEmpty():
         level.createOrReplaceTempView(view := f"quill_{uuid.uuid4().hex}")
-        level = rows.sparkSession.sql(f"SELECT {', '.join([f'l.`{c}`' for c in keep] + [''])} concat(l.path, coalesce(concat('.', x.key), concat('[', x.pos, ']'))) AS path, coalesce(x.key, '') AS key, x.value AS v FROM {view} l, LATERAL variant_explode(l.v) x")
-        hit = level.filter(F.col("key") == name).select(*keep, "path", F.try_variant_get("v", "$", "string").alias("value")).filter("value is not null")
+        level = rows.sparkSession.sql(f"SELECT {', '.join([f'l.`{c}`' for c in own] + [''])} concat(l.path, coalesce(concat('.', x.key), concat('[', x.pos, ']'))) AS path, coalesce(x.key, '') AS key, x.value AS v FROM {view} l, LATERAL variant_explode(l.v) x")
+        level = keep(level.withColumn("v", F.to_json("v"))).withColumn("v", F.try_parse_json("v"))
+        hit = level.filter(F.col("key") == name).select(*own, "path", F.try_variant_get("v", "$", "string").alias("value")).filter("value is not null")
         found = hit if found is None else found.unionByName(hit)
     return found
 

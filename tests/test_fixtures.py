@@ -396,3 +396,42 @@ def test_cooldown(spark):
 def test_repair_totals(spark):
     stats = spark.createDataFrame([("b", "known", 5), ("b", "accents", 2), ("b", "unknown", 1), ("b", "protected", 3)], "book string, rule string, n long")
     assert ocr.repair_totals(stats).first().asDict() == {"book": "b", "tokens": 8, "unknown_before": 3, "unknown_after": 1, "fixed": 2, "protected": 3}
+
+
+def test_increasing_equals_the_plain_table():
+    import random
+
+    def plain(numbers):
+        length = []
+        for n in numbers:
+            length.append(1 + max((length[k] for k in range(len(length)) if numbers[k] < n), default=0))
+        if not length:
+            return []
+        at = length.index(max(length))
+        out = [at]
+        while length[at] > 1:
+            at = next(k for k in range(at) if length[k] == length[at] - 1 and numbers[k] < numbers[at])
+            out.append(at)
+        return out[::-1]
+
+    r = random.Random(3)
+    for _ in range(400):
+        numbers = [r.randint(0, 12) for _ in range(r.randint(0, 25))]
+        assert layout.increasing(numbers) == plain(numbers)
+
+
+def test_deep_json(spark):
+    deep = '{"a": ' * 12 + '{"base64": "}{"}' + "}" * 12
+    assert one(spark, f"so: {deep} and", tx.first_json_object) == deep
+    assert one(spark, "[1, 2]", tx.first_json_object) == "[1, 2]"
+    assert one(spark, "x {oops} {}", tx.first_json_object) is None
+    rows = spark.createDataFrame([(1, deep), (2, "broken {")], "id int, j string")
+    assert [(r["id"], r["value"]) for r in files.leaves(rows, "j", "base64").collect()] == [(1, "}{")]
+
+
+def test_moving_cutoff(spark):
+    rows = spark.range(400).select(F.lit("s").alias("sound"), F.col("id").alias("i"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0).alias("v"))
+    got = {r["i"]: r["v"] for r in signal.low_pass(rows, F.when(F.col("i") < 200, 20.0).otherwise(10_000.0)).collect()}
+    assert max(abs(got[k]) for k in range(200)) < 0.01 < 0.5 < max(abs(got[k]) for k in range(300, 400))
+    same = [r["v"] for r in signal.low_pass(rows, 500.0).orderBy("i").collect()]
+    assert same == [r["v"] for r in signal.low_pass(rows, F.lit(500.0)).orderBy("i").collect()]
