@@ -2,7 +2,7 @@
 
 Intermediate tables are written as Parquet below the folder that the cluster names in ``spark.checkpoint.dir`` and read
 back. That cuts lineage, keeps a lost executor from costing more than its running tasks, and gives Spark a true size for
-its join choices. A session without that setting (tests) gets a folder of its own.
+its join choices. A local session without that setting (tests) gets a folder of its own; on a cluster its lack is an error.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -135,20 +137,27 @@ def restrict(df: DataFrame, keys: DataFrame, on: str, rows: int = BROADCAST_ROWS
     return df.join(keys, on, "left_semi")
 
 
-#: Words of 64 bits in the bitmap of :func:`maybe_in`: at most so many rows of two longs are broadcast, whatever comes.
+#: Words of 64 bits in the bitmap of :func:`parted`: at most so many rows of two longs are broadcast, whatever comes.
 BITMAP_WORDS = 1 << 19
 
 
-def maybe_in(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """Rows of ``df`` whose ``on`` is in ``keys``, and some more: those that share a bit of a bitmap of fixed size.
+def parted(df: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose ``on`` may be in ``keys`` (a scratch table), and those whose is not, by a bitmap of fixed size.
 
-    It spares rows the shuffle of the join that follows. With very many keys the bitmap fills up and lets all rows
-    pass, which costs time and changes nothing.
+    It spares rows the shuffle of the join that follows, whatever the sizes are. With very many keys the bitmap fills up
+    and takes all rows for possible ones, which costs time and changes nothing.
     """
     place = F.pmod(F.xxhash64(on), F.lit(BITMAP_WORDS * 64))
     bits = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("__bits"))
     marked = df.withColumns({"__word": F.shiftright(place, 6), "__bit": place.bitwiseAND(F.lit(63)).cast("int")})
-    return marked.join(F.broadcast(materialize(bits, "bitmap")), "__word").filter(F.getbit("__bits", F.col("__bit")) == 1).drop("__word", "__bit", "__bits")
+    marked = marked.join(F.broadcast(materialize(bits, "bitmap")), "__word", "left")
+    maybe = F.coalesce(F.getbit("__bits", F.col("__bit")) == 1, F.lit(False))
+    return tuple(marked.filter(c).drop("__word", "__bit", "__bits") for c in (maybe, ~maybe))
+
+
+def among(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is among the distinct ``keys`` (a scratch table): a shuffle join of those that may be."""
+    return parted(df, keys, on)[0].join(keys.select(on), on, "left_semi")
 
 
 def text_of(col: str | Column = "text") -> Column:

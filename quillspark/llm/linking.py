@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import drop_scratch, materialize
+from .base import drop_scratch, materialize, scratch_scope
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,7 +19,11 @@ def components(links: DataFrame) -> DataFrame:
     changes nothing.
     """
     ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialize(links.filter("a <> b").select(F.explode(ways).alias("e")).select("e.a", "e.b").distinct(), "links")
+    with scratch_scope() as keep:
+        return keep(_settle(materialize(links.filter("a <> b").select(F.explode(ways).alias("e")).select("e.a", "e.b").distinct(), "links")))
+
+
+def _settle(both: DataFrame) -> DataFrame:
     labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("comp")), "labels")
     while True:
         around = labels.select(F.col("id").alias("b"), F.col("comp").alias("near"))
@@ -72,7 +76,7 @@ def shared_buckets(members: DataFrame) -> DataFrame:
 SMALL = 24
 
 
-def link_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+def link_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame, DataFrame], DataFrame] | None = None, near: Callable[[str, str], Column] | None = None) -> DataFrame:
     """Components of the true links among ids that share a bucket. ``live`` comes from :func:`shared_buckets`; ``verify``
     takes pairs (a, b) and returns those that are links.
 
@@ -83,13 +87,18 @@ def link_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame], c
     one component or were compared. The last step's pairs are as many as such outsiders times their buckets' ids, not
     the square of a bucket, when a bucket is one large group. Where ``cross`` is given, it takes over the last step for
     buckets of over ``SMALL`` ids: it gets outside (grp, id, comp) and inside (grp, id, comp) of groups of such buckets
-    that hang together, and returns links between different components, without a row for each pair.
+    that hang together, and returns links between different components, without a row for each pair. ``near`` gives a
+    condition that every link meets, on further columns of ``live`` under two prefixes; pairs that don't meet it are never
+    rows.
 
     Returns id, comp for ids with a link.
     """
+    more = [c for c in live.columns if c not in ("bucket", "id", "n")]
     weight = materialize(live.groupBy("id").agg(F.sum("n").alias("w")), "weights")
-    leaders = materialize(live.join(weight, "id").groupBy("bucket").agg(F.max_by("id", F.struct("w", (-F.col("id")).alias("o"))).alias("leader")), "leaders")
-    tries = live.join(leaders, "bucket").filter("id <> leader").groupBy("leader", "id").agg(F.count(F.lit(1)).alias("shared"))
+    chosen = F.max_by(F.struct("id", *more), F.struct("w", (-F.col("id")).alias("o"))).alias("x")
+    leaders = live.join(weight, "id").groupBy("bucket").agg(chosen).select("bucket", F.col("x.id").alias("leader"), *[F.col(f"x.{c}").alias(f"l_{c}") for c in more])
+    tries = live.join(materialize(leaders, "leaders"), "bucket").filter("id <> leader")
+    tries = (tries.filter(near("", "l_")) if near else tries).groupBy("leader", "id").agg(F.count(F.lit(1)).alias("shared"))
     tries = materialize(tries, "tries")
     best = tries.groupBy("id").agg(F.max_by("leader", F.struct("shared", (-F.col("leader")).alias("o"))).alias("leader"))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
@@ -100,17 +109,18 @@ def link_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame], c
     if not rest.isEmpty():
         comps = _grown(comps, verify(rest))
 
-    placed = materialize(_with_comp(live.select("bucket", "id", "n"), comps, "id"), "placed")
+    placed = materialize(_with_comp(live, comps, "id"), "placed")
     sizes = placed.groupBy("bucket", "id_comp").agg(F.count(F.lit(1)).alias("k"))
     largest = sizes.groupBy("bucket").agg(F.max_by("id_comp", F.struct("k", "id_comp")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     largest = materialize(largest, "largest")
     mixed = placed.join(largest, "bucket")
-    outside = materialize(mixed.filter("id_comp <> main").select("bucket", F.col("id").alias("o"), F.col("id_comp").alias("o_comp"), "n"), "outside")
+    outside = materialize(mixed.filter("id_comp <> main").select("bucket", F.col("id").alias("o"), F.col("id_comp").alias("o_comp"), "n", *[F.col(c).alias(f"o_{c}") for c in more]), "outside")
     if outside.isEmpty():
         return comps
-    inside = materialize(mixed.select("bucket", "id", "id_comp", (F.col("id_comp") == F.col("main")).alias("main"), "n"), "inside")
+    inside = materialize(mixed.select("bucket", "id", "id_comp", (F.col("id_comp") == F.col("main")).alias("main"), "n", *more), "inside")
     small = lambda df: df.filter(F.col("n") <= SMALL) if cross else df
     pairs = small(outside).join(small(inside).drop("n"), "bucket").filter("o_comp <> id_comp and (main or o < id)")
+    pairs = pairs.filter(near("o_", "")) if near else pairs
     comps = _grown(comps, verify(materialize(pairs.select(*pair("o", "id")).distinct(), "pairs3")))
     if cross:
         large = materialize(_with_comp(inside.filter(F.col("n") > SMALL).select("bucket", "id"), comps, "id"), "large")
