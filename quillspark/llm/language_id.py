@@ -21,8 +21,6 @@ VOCABULARY = "piece_bpe_32k.model"
 LONGEST = 16
 #: Most documents to fit on for each language, in order of a hash of the id, and most characters of all.
 SAMPLE, SAMPLE_CHARS = 300, 8_000_000
-#: Up to so many languages are sampled one by one, more of them in one pass.
-PASSES = 50
 ROUNDS, SMOOTH, SEED = 3, 0.1, 11
 CACHED_WORDS = 200_000
 
@@ -185,15 +183,12 @@ def _predict(shared):
 
 def train(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
     """Fit on the learning folds: for each language at most ``sample`` documents in order of a hash of the id, whole
-    texts, at most ``chars`` characters in all. Rows with a null id, text or language are left out."""
+    texts, at most ``chars`` characters in all. Rows with a null id, text or language are left out; of several rows with
+    an id and a language one counts."""
     rows = only(docs, id=id_col, text=text_col, lang=lang_col).filter("id is not null and text is not null and lang is not null").filter(~held_out("id"))
-    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    narrow = rows.select("id", "lang", F.length("text").alias("n"))
-    if len(langs) <= PASSES:
-        ranked = [r for lang in langs for r in enumerate(narrow.filter(F.col("lang") == lang).orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(sample).collect())]
-    else:
-        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(SEED)), "id"))
-        ranked = [(r["place"] - 1, r) for r in narrow.withColumn("place", place).filter(F.col("place") <= sample).collect()]
+    narrow = rows.groupBy("id", "lang").agg(F.max(F.length("text")).alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(SEED)), "id"))
+    ranked = [(r["place"] - 1, r) for r in narrow.withColumn("place", place).filter(F.col("place") <= sample).collect()]
     # the first document of each language comes before all others, so that the bound on characters shuts out no language
     ranked.sort(key=lambda x: (x[0] > 0, xxhash.xxh64_intdigest(str(x[1]["id"]))))
     picked = [r for _, r in ranked]
@@ -201,9 +196,9 @@ def train(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     for r in picked:
         if total + r["n"] <= chars:
             total += r["n"]
-            ids.append((r["id"],))
-    few = docs.sparkSession.createDataFrame(ids, f"id {dict(rows.dtypes)['id']}")
-    got = rows.join(F.broadcast(few), "id", "left_semi").orderBy("id", F.xxhash64("text")).collect() if ids else []
+            ids.append((r["id"], r["lang"]))
+    few = docs.sparkSession.createDataFrame(ids, f"id {dict(rows.dtypes)['id']}, lang string")
+    got = rows.join(F.broadcast(few), ["id", "lang"], "left_semi").groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")).orderBy("id", "lang").collect() if ids else []
     return fit([(r["lang"], r["text"]) for r in got], pieces_of(path))
 
 
