@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .base import materialize, only
 
 #: Vectors in a block of candidates, queries in a block of queries, dimensions added at a time.
-CANDIDATES, QUERIES, STEP = 16_384, 2_048, 8
+CANDIDATES, QUERIES, STEP = 16_384, 16_384, 8
 #: Queries that share one pass over dense columns.
 CHUNK = 64
 
@@ -70,7 +70,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """The ``k`` best candidates of each query by inner product of floor(scale * x), over all rows but those of its id.
+    """The ``k`` best candidates of each query by inner product of floor(scale * x), over all rows but the query's own.
 
     ``is_query`` is a condition on the id column. Queries and candidates are cut into blocks of bounded size by a hash,
     and each block of queries meets each block of candidates in one task, which returns at most k rows for a query; a
@@ -78,28 +78,33 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
 
     Returns query_id, rank (from 1), vec_id, score; fewer than k rows where there are fewer candidates. Rows with a null
     id or vector, an empty vector, or a null or non-finite component take no part. Rows that repeat an id are candidates
-    each. A score beyond a 64-bit integer is an error.
+    and queries each: the others of its id are among a query's candidates, and each such query has its own ranks. A score beyond a 64-bit integer is an error.
     """
     rows = only(vectors, id=id_col, v=vector_col).filter("id is not null and v is not null and size(v) > 0")
     rows = rows.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
-    rows = materialize(rows.withColumns({"d": F.size("v"), "q": F.coalesce(is_query(F.col("id")), F.lit(False))}), "vectors")
+    rows = materialize(rows.withColumns({"d": F.size("v"), "q": F.coalesce(is_query(F.col("id")), F.lit(False)), "row": F.monotonically_increasing_id()}), "vectors")
     total, queries = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
     cores = rows.sparkSession.sparkContext.defaultParallelism
     p, m = max(1, min(cores, ceil(total / 512)), ceil(total / CANDIDATES)), max(1, ceil(queries / QUERIES))
-    mix = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 32))
+    mix = F.pmod(F.xxhash64("row"), F.lit(1 << 32))
     cells = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    cand = rows.select("id", "v", "d", (mix % p).cast("int").alias("cb")).withColumn("qb", F.explode(cells(m)))
-    ask = rows.filter("q").select("id", "v", "d", (mix % m).cast("int").alias("qb")).withColumn("cb", F.explode(cells(p)))
+    cand = rows.select("row", "id", "v", "d", (mix % p).cast("int").alias("cb")).withColumn("qb", F.explode(cells(m)))
+    ask = rows.filter("q").select("row", "id", "v", "d", (mix % m).cast("int").alias("qb")).withColumn("cb", F.explode(cells(p)))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         got = []
         if len(a) and len(b):
+            b = b.sort_values(["id", "row"], ignore_index=True)  # places stand for ids from here on: ties go to the smaller
+            own = {row: at for at, row in enumerate(b["row"])}
             ints = lambda x: np.floor(float(scale) * np.stack(x["v"].to_numpy()).astype(np.float64)).astype(np.int64)
-            got = search_block(a["id"].to_numpy(np.int64), ints(a), b["id"].to_numpy(np.int64), ints(b), k)
-        return pd.DataFrame(got, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    found = ask.groupBy("d", "cb", "qb").cogroup(cand.groupBy("d", "cb", "qb")).applyInPandas(meet, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            q_at = np.array([own.get(row, -1 - k) for k, row in enumerate(a["row"])], np.int64)
+            ask_of = dict(zip(q_at.tolist(), zip(a["row"], a["id"], strict=True), strict=True))
+            ids = b["id"].to_numpy(np.int64)
+            got = [(*ask_of[q], ids[c], s) for q, c, s in search_block(q_at, ints(a), np.arange(len(b)), ints(b), k)]
+        return pd.DataFrame(got, columns=["row", "query_id", "vec_id", "score"]).astype("int64")
+
+    found = ask.groupBy("d", "cb", "qb").cogroup(cand.groupBy("d", "cb", "qb")).applyInPandas(meet, "row long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -109,12 +114,12 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.rid <> c.rid AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
