@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from quillspark.llm import language_id, licenses, line_dedup, packing, toxicity
+import corpus_pipeline
+from quillspark.llm import language_id, licenses, line_dedup, packing, topk, toxicity
 from quillspark.operators import dedup, graph
 from quillspark.plans import registry
 from quillspark.plans.tables import couples, family
@@ -117,3 +118,50 @@ def test_one_long_text_shuts_out_no_other(spark, monkeypatch):
     toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"), chars=4000)
     language_id.train(docs, packing.vocabulary(language_id.VOCABULARY), chars=4000)
     assert taken == [short, short]
+
+
+def test_repeated_ids_are_queries_and_candidates_each(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), (1, [0.25, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda i: i % 50 == 0).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1, 0, 32768), (0, 1, 0, 32768), (0, 2, 1, 8192), (0, 2, 1, 16384)]
+
+
+def test_a_share_of_changed_lines_is_found(spark, data):
+    """Lines of sf0.001 with one word changed, added or taken out: the links that edit similarity makes, without any
+    filter of hashes."""
+    docs = [r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").limit(80).collect()]
+    lines = sorted({line for t in docs for line in t.split("\n") if 6 <= len(line.split()) <= 80})[:240]
+    rows, pairs = [], 0
+    for k, line in enumerate(lines):
+        w = line.split()
+        at = (7 * k) % len(w)
+        changed = [[*w[:at], "zq" + w[at], *w[at + 1 :]], [*w[:at], "zqx", *w[at:]], [*w[:at], *w[at + 1 :]]][k % 3]
+        a, b = (b" ".join(line_dedup.normal_lines(" ".join(x))[0]).decode() for x in (w, changed))
+        if a != b and min(len(a), len(b)) >= line_dedup.MIN_CHARS and line_dedup.within([(a, b)], [max(len(a), len(b)) // 10])[0]:
+            rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(changed))]
+            pairs += 1
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for finer, least in ((True, 0.98), (False, 0.9)):
+        got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(frame, finer=finer).collect()}
+        assert pairs > 100 and sum(got[i] == "" for i in got if i % 2) >= least * pairs
+
+
+def test_lines_that_share_a_passage_stay(spark):
+    word = lambda n: "".join("abcdefghijklmnopqrstuvwxyz"[n * 7919 // 26**i % 26] for i in range(6))
+    shared = " ".join(word(10_000 + k) for k in range(12))
+    rows = [(k, " ".join(word(9 * k + j) for j in range(9)) + " " + shared) for k in range(60)]
+    rows += [(100 + k, rows[k][1].replace(word(9 * k + 3), "zq" + word(9 * k + 3)[2:])) for k in range(30)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), finer=True).collect()}
+    assert all(got[k] == rows[k][1] for k in range(60)) and all(got[100 + k] == "" for k in range(30))
+
+
+def test_odd_input_of_pipeline_stages(spark, data):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id int, n int, size int, taken int, text_sha string"
+    rows = [(1, None, None, None, None), (2, "", "en", None, 0), (3, "a b " * 20_000, "en", "s", 9), (4, "same text of some words here\nsame text of some words here", "fr", "s", 1), (4, "same text of some words here\nsame text of some words here", "fr", "s", 1), (5, "same text of some words here", None, "t", 2)]
+    odd = spark.createDataFrame([(*r, 7, 7, 7, 7, "x") for r in rows], schema)
+    for docs in (odd, odd.limit(0)):
+        for _, stage in corpus_pipeline.STAGES:
+            got = stage(spark, docs, data).collect()
+            assert bool(got) == bool(docs.count())
+    kept = corpus_pipeline.near_duplicates(spark, odd, data).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 2, 3, 4, 4, 5]
