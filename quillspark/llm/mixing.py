@@ -90,6 +90,8 @@ def balance(cells: DataFrame, targets: DataFrame, cap: float = 3.0, steps: int =
         state = nxt
         if state.filter(~F.col("done")).isEmpty():
             break
+    else:
+        raise ArithmeticError(f"the dual of some source is not solved after {steps} steps")
     return state.select("src", "mean", F.when(~F.col("full"), F.col("lam")).alias("lam"))
 
 
