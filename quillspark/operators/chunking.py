@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,18 +41,21 @@ def chunk(paragraphs: DataFrame, least: int = LEAST) -> DataFrame:
     new = F.coalesce((F.lag("chapter").over(by_book) != F.col("chapter")).cast("int"), F.lit(0))
     parts = paragraphs.withColumn("stretch", F.sum(new).over(by_book))  # a chapter that comes back is a new stretch
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", ignore_index=True)
-        rows = []
-        for k, places in enumerate(group_paragraphs(pdf["text"].str.len().tolist())):
-            p = pdf.iloc[places]
-            text = "\n\n".join(p["text"])
-            if len(text.strip()) >= least:
-                rows.append((p["book"].iloc[0], int(p["stretch"].iloc[0]), k, int(p["chapter"].iloc[0]), int(p["page"].iloc[0]), int(p["page"].iloc[-1]), text))
-        return pd.DataFrame(rows, columns=["book", "stretch", "k", "chapter", "page_start", "page_end", "text"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                for k, places in enumerate(group_paragraphs([len(p["text"]) for p in r.paragraphs])):
+                    own = [r.paragraphs[i] for i in places]
+                    text = "\n\n".join(p["text"] for p in own)
+                    if len(text.strip()) >= least:
+                        rows.append((r.book, r.stretch, k, r.chapter, own[0]["page"], own[-1]["page"], text))
+            yield pd.DataFrame(rows, columns=["book", "stretch", "k", "chapter", "page_start", "page_end", "text"])
 
     kind = dict(paragraphs.dtypes)["book"]
-    got = parts.select("book", "pos", "chapter", "page", "text", "stretch").groupBy("book", "stretch").applyInPandas(run, f"book {kind}, stretch long, k int, chapter int, page_start int, page_end int, text string")
+    ordered = F.array_sort(F.collect_list(F.struct("pos", F.col("page").cast("int").alias("page"), "text"))).alias("paragraphs")
+    chapters = parts.groupBy("book", "stretch").agg(F.min(F.col("chapter").cast("int")).alias("chapter"), ordered)
+    got = chapters.mapInPandas(run, f"book {kind}, stretch long, k int, chapter int, page_start int, page_end int, text string")
     number = F.row_number().over(Window.partitionBy("book").orderBy("stretch", "k"))
     return got.withColumns({"n": number, "pages": page_range(F.col("page_start"), F.col("page_end"))}).select("book", "n", "chapter", "page_start", "page_end", "pages", "text")
 

@@ -202,7 +202,21 @@ def _paragraphs(spark, d):
     return t.select(F.col("source").alias("book"), pos.alias("pos"), F.col("doc_id").cast("int").alias("chapter"), (F.col("line") + 1).alias("page"), "text")
 
 
-@query()
+_CHUNKED = r"""WITH RECURSIVE p AS MATERIALIZED (SELECT source AS book, doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+w AS (SELECT book, doc_id, i, length(t) AS n, CASE WHEN length(t) > 2100 THEN 1 ELSE 0 END AS own, 0 AS k, CASE WHEN length(t) > 2100 THEN 0 ELSE length(t) END AS held, CASE WHEN length(t) > 2100 THEN 0 ELSE 1 END AS cnt, 0 AS carry FROM p WHERE i = 1 UNION ALL
+  SELECT p.book, p.doc_id, p.i, length(p.t), CASE WHEN length(p.t) > 2100 THEN 1 ELSE 0 END,
+    w.k + w.own + CASE WHEN length(p.t) > 2100 THEN CASE WHEN cnt > 0 THEN 1 ELSE 0 END WHEN cnt > 0 AND held + length(p.t) > 1400 THEN 1 ELSE 0 END,
+    CASE WHEN length(p.t) > 2100 THEN 0 WHEN cnt > 0 AND held + length(p.t) > 1400 THEN length(p.t) + CASE WHEN w.n < 600 THEN w.n ELSE 0 END ELSE held + length(p.t) END,
+    CASE WHEN length(p.t) > 2100 THEN 0 WHEN cnt > 0 AND held + length(p.t) > 1400 THEN CASE WHEN w.n < 600 THEN 2 ELSE 1 END ELSE cnt + 1 END,
+    CASE WHEN length(p.t) <= 2100 AND cnt > 0 AND held + length(p.t) > 1400 AND w.n < 600 THEN 1 ELSE 0 END
+  FROM w JOIN p ON p.doc_id = w.doc_id AND p.book = w.book AND p.i = w.i + 1),
+m AS (SELECT book, doc_id, k, i FROM w UNION ALL SELECT book, doc_id, k, i - 1 FROM w WHERE carry = 1),
+c AS (SELECT m.book, m.doc_id, k, min(m.i) AS a, max(m.i) AS b, string_agg(t, chr(10) || chr(10) ORDER BY m.i) AS text FROM m JOIN p USING (book, doc_id, i) GROUP BY ALL)
+SELECT book, CAST(row_number() OVER (PARTITION BY book ORDER BY doc_id, k) AS INT) AS n, CAST(doc_id AS INT) AS chapter, CAST(a AS INT) AS page_start, CAST(b AS INT) AS page_end, CASE WHEN a = b THEN 'p. ' || a ELSE 'p. ' || a || '-' || b END AS pages, text FROM c
+WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 120"""
+
+
+@query(_CHUNKED)
 def chunk_lines(spark, d):
     return chunking.chunk(_paragraphs(spark, d))
 
@@ -219,7 +233,15 @@ def ocr_repair(spark, d):
     return fixed
 
 
-@query()
+@query("""WITH RECURSIVE h AS MATERIALIZED (SELECT 'b' || o_custkey % 100 AS book, CAST(o_orderkey AS INT) AS line_no, CAST(o_custkey AS INT) AS number, o_orderpriority AS title, row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderkey) AS k FROM orders),
+a AS MATERIALIZED (SELECT book, list(number ORDER BY k) AS nums, count(*) AS n FROM h GROUP BY book),
+f AS (SELECT book, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS lens FROM a UNION ALL
+  SELECT f.book, f.k + 1, list_append(lens, 1 + coalesce(list_max(list_transform(range(1, f.k + 1), lambda j: CASE WHEN nums[j] < nums[f.k + 1] THEN lens[j] ELSE 0 END)), 0)) FROM f JOIN a ON a.book = f.book AND f.k < n),
+l AS MATERIALIZED (SELECT f.book, unnest(lens) AS len, generate_subscripts(lens, 1) AS k FROM f JOIN a ON a.book = f.book AND f.k = n),
+e AS MATERIALIZED (SELECT l.book, l.k, len, number FROM l JOIN h ON h.book = l.book AND h.k = l.k),
+t AS (SELECT book, min(k) AS k FROM e WHERE len = (SELECT max(x.len) FROM e x WHERE x.book = e.book) GROUP BY book UNION ALL
+  SELECT t.book, (SELECT min(y.k) FROM e y JOIN e z ON z.book = y.book AND z.k = t.k WHERE y.book = t.book AND y.k < z.k AND y.len = z.len - 1 AND y.number < z.number) FROM t WHERE t.k IS NOT NULL)
+SELECT h.book, CAST(0 AS INT) AS page_no, line_no, number, title FROM t JOIN h ON h.book = t.book AND h.k = t.k""")
 def lis_headings(spark, d):
     t = table(spark, d, "orders").select(F.concat(F.lit("b"), F.pmod("o_custkey", F.lit(100))).alias("book"), F.lit(0).alias("page_no"), F.col("o_orderkey").cast("int").alias("line_no"), F.col("o_custkey").cast("int").alias("number"), F.col("o_orderpriority").alias("title"))
     return layout.longest_run(t)
