@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import codex, graph, layout, lexical, quality, raster, semantic, signal, space
+from ..operators import codex, graph, layout, lexical, ocr, quality, raster, semantic, signal, space
 from ..sources import files
 from .registry import query
 from .tables import BM25, COUPLES, DEACCENT, FAMILY, MENTIONS, PARTS, SIBLINGS, chunks, couples, entries, family, kin_rows, lit, mentions, question, sql_fold, sql_tokens, table
@@ -659,3 +659,32 @@ def room_findings(spark, d):
     rooms = table(spark, d, "nation").selectExpr("n_nationkey AS id", "8 + n_regionkey AS width", "6 AS height")
     doors = table(spark, d, "supplier").selectExpr("s_nationkey AS room", "s_suppkey * 3 % 14 AS x", "s_suppkey * 5 % 7 AS y", "s_suppkey * 11 % 27 AS dst", "s_suppkey % 12 AS ax", "s_suppkey % 5 AS ay", "s_suppkey % 3 = 0 AS locked", "if(s_suppkey % 2 = 0, 'key', null) AS reason")
     return quality.rooms(rooms, doors).groupBy("check", "subject").agg(F.count(F.lit(1)).alias("n"))
+
+
+_VOCAB = r"""l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), lw AS (SELECT list_filter(regexp_split_to_array(trim(line), '\s+'), lambda x: x <> '') AS ws FROM l),
+lk AS (SELECT regexp_replace(lower(unnest(ws[1:len(ws)-1])), '^[^a-zà-ÿ-]+|[^a-zà-ÿ-]+$', '', 'g') AS word FROM lw WHERE len(ws) > 1), v AS MATERIALIZED (SELECT word, count(*) AS n FROM lk WHERE length(word) >= 2 GROUP BY word)"""
+_CASE = "CASE WHEN token = upper(token) AND length(token) > 1 THEN upper({0}) WHEN left(token, 1) = upper(left(token, 1)) THEN upper(left({0}, 1)) || substr({0}, 2) ELSE {0} END"
+_DELETED = "list_distinct(list_transform(range(1, length({0}) + 1), lambda i: substr({0}, 1, i - 1) || substr({0}, i + 1)))"
+
+
+@query(f"""WITH {_VOCAB}, tk AS (SELECT source AS book, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿŒœ’''-]+')) AS token FROM documents),
+t AS MATERIALIZED (SELECT DISTINCT book, token, lower(token) AS low FROM tk WHERE length(regexp_replace(token, '[^A-Za-zÀ-ÿŒœ]', '', 'g')) >= 3),
+acc AS MATERIALIZED (SELECT {DEACCENT.format('word')} AS plain, arg_min(word, (-n, word)) AS form FROM v WHERE n >= 4 AND {DEACCENT.format('word')} <> word GROUP BY 1),
+r1 AS MATERIALIZED (SELECT t.*, form FROM t LEFT JOIN acc ON plain = {DEACCENT.format('low')} WHERE low NOT IN (SELECT word FROM v)),
+el AS (SELECT unnest(['l', 'd', 'j', 'n', 'm', 't', 's', 'c', 'qu']) AS p, unnest(range(9)) AS i),
+cd AS (SELECT book, token, low, i, p || '’' || substr(low, length(p) + 1) AS cand FROM r1, el WHERE form IS NULL AND starts_with(low, p) AND length(low) > length(p) + 1),
+ap AS (SELECT book, token, low, arg_min(f, (i, way)) AS form FROM (SELECT book, token, low, i, 0 AS way, cand AS f FROM cd WHERE cand IN (SELECT word FROM v) UNION ALL SELECT book, token, low, i, 1, form FROM cd JOIN acc ON plain = {DEACCENT.format('cand')}) GROUP BY book, token, low),
+r2 AS MATERIALIZED (SELECT book, token, low FROM r1 WHERE form IS NULL AND (book, token) NOT IN (SELECT book, token FROM ap)),
+ix AS (SELECT variant, word, n FROM (SELECT unnest({_DELETED.format('word')}) AS variant, word, n FROM v WHERE n >= 4 AND length(word) BETWEEN 4 AND 18) QUALIFY row_number() OVER (PARTITION BY variant ORDER BY word) <= 8),
+pr AS (SELECT DISTINCT book, token, unnest(list_append({_DELETED.format('low')}, low)) AS variant FROM r2 WHERE length(low) >= 4),
+nr AS (SELECT book, token, word, max(n) AS n FROM pr JOIN ix USING (variant) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER w AS rn, lead(n) OVER w AS second FROM nr WINDOW w AS (PARTITION BY book, token ORDER BY n DESC, word)),
+su AS (SELECT book, token, word FROM rk WHERE rn = 1 AND (second IS NULL OR n > 3 * second))
+SELECT book, token, token AS fixed, 'known' AS rule FROM t WHERE low IN (SELECT word FROM v) UNION ALL SELECT book, token, {_CASE.format('form')}, 'accents' FROM r1 WHERE form IS NOT NULL
+UNION ALL SELECT book, token, {_CASE.format('form')}, 'apostrophe' FROM ap UNION ALL SELECT book, token, {_CASE.format('word')}, 'distance1' FROM su
+UNION ALL SELECT book, token, token, 'unknown' FROM r2 WHERE (book, token) NOT IN (SELECT book, token FROM su)""")
+def token_corrections(spark, d):
+    docs = table(spark, d, "documents")
+    tokens = docs.select(F.col("source").alias("book"), F.explode(F.regexp_extract_all("text", F.lit(f"({ocr.WORD})"), 1)).alias("token"))
+    tokens = tokens.filter(F.length(F.regexp_replace("token", "[^A-Za-zÀ-ÿŒœ]", "")) >= 3)
+    return ocr.corrections(tokens, layout.vocabulary(docs))
