@@ -46,7 +46,7 @@ def block_size(pixels: DataFrame) -> DataFrame:
     four colours count as drawn at their size."""
     size = pixels.groupBy("image").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.count_distinct(F.when(F.col("a") >= 16, F.struct("r", "g", "b"))).alias("distinct"))
     tries = pixels.join(size, "image").filter("distinct >= 4").withColumn("n", F.explode(F.array(*map(F.lit, SCALES)))).filter("w % n = 0 and h % n = 0")
-    code = F.col("r") * 16777216 + F.col("g") * 65536 + F.col("b") * 256 + F.col("a")
+    code = F.col("r").cast("long") * 16777216 + F.col("g") * 65536 + F.col("b") * 256 + F.col("a")
     blocks = tries.groupBy("image", "n", F.floor(F.col("x") / F.col("n")).alias("bx"), F.floor(F.col("y") / F.col("n")).alias("by")).agg((F.min(code) == F.max(code)).alias("flat"))
     flat = blocks.groupBy("image", "n").agg(F.bool_and("flat").alias("flat")).filter("flat").groupBy("image").agg(F.max("n").alias("block"))
     return size.join(flat, "image", "left").select("image", F.coalesce("block", F.lit(1)).alias("block"))

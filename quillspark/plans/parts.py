@@ -688,3 +688,93 @@ def token_corrections(spark, d):
     tokens = docs.select(F.col("source").alias("book"), F.explode(F.regexp_extract_all("text", F.lit(f"({ocr.WORD})"), 1)).alias("token"))
     tokens = tokens.filter(F.length(F.regexp_replace("token", "[^A-Za-zÀ-ÿŒœ]", "")) >= 3)
     return ocr.corrections(tokens, layout.vocabulary(docs))
+
+
+# --- settings, prompts and stand-ins ------------------------------------------------------------------------------------
+
+
+@query("SELECT 'NAME_' || c_custkey % 40 AS name, CAST(arg_min(c_name, c_custkey) AS VARCHAR) AS value FROM customer WHERE c_custkey % 3 > 0 GROUP BY 1")
+def settings_first_wins(spark, d):
+    lines = table(spark, d, "customer").selectExpr("c_custkey AS n", "case c_custkey % 3 when 0 then concat('# NAME_', c_custkey % 40, '=off') when 1 then concat('export NAME_', c_custkey % 40, ' = \"', c_name, '\"') else concat('NAME_', c_custkey % 40, '=', c_name) end AS line")
+    return files.settings(lines)
+
+
+@query("SELECT p_partkey, array_to_string(list_distinct(['#' || lpad(to_hex(p_partkey * 7919 % 16777216), 6, '0')]), ',') AS colors FROM part")
+def palettes(spark, d):
+    t = table(spark, d, "part").selectExpr("p_partkey", "lower(lpad(hex(p_partkey * 7919 % 16777216), 6, '0')) AS h").selectExpr("p_partkey", "concat('- #', upper(h), ' and again #', upper(h), ', not #12345 or #1234567') AS text")
+    return t.select("p_partkey", F.array_join(files.palette(F.col("text")), ",").alias("colors"))
+
+
+@query("SELECT 'f' || p_partkey AS path, CASE WHEN p_size % 5 = 0 THEN 'secret 1' ELSE 'forbidden file' END AS why FROM part WHERE p_size % 5 = 0 UNION ALL SELECT 'out/' || p_partkey || '/bm25.json', 'forbidden file' FROM part WHERE p_size % 5 = 1")
+def published_secrets(spark, d):
+    t = table(spark, d, "part").selectExpr("if(p_size % 5 = 1, concat('out/', p_partkey, '/bm25.json'), concat('f', p_partkey)) AS path", "if(p_size % 5 = 0, concat('token ghp_', repeat('a1', 16)), concat('ghp_short ', p_name)) AS text")
+    return files.secrets(t)
+
+
+@query("SELECT n_nationkey, left('query: ' || n_name, 12) AS q, left('passage: ' || n_name, 1900) AS p FROM nation")
+def prefixed_texts(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", semantic.query_text(F.col("n_name"), 12).alias("q"), semantic.passage_text(F.col("n_name")).alias("p"))
+
+
+@query("SELECT o_orderkey AS a, o_custkey AS b, CASE WHEN toxic = 1 THEN 'rejected' WHEN toxic = 0 THEN 'confirmed' ELSE 'unknown' END AS verdict FROM orders LEFT JOIN labels ON doc_id = o_orderkey AND quality + toxic = o_custkey % 3")
+def claim_verdicts(spark, d):
+    claims = table(spark, d, "orders").selectExpr("o_orderkey AS a", "o_custkey AS b")
+    known = table(spark, d, "labels").join(claims, F.col("doc_id") == F.col("a")).filter("quality + toxic = b % 3").selectExpr("a", "b", "if(toxic = 1, 'rejected', 'confirmed') AS verdict")
+    return semantic.kin_verdicts(claims, known).select("a", "b", "verdict")
+
+
+@query("SELECT o_custkey AS ord, string_agg(o_orderpriority, chr(10) ORDER BY o_orderkey) AS synopsis FROM orders GROUP BY 1")
+def volume_synopses(spark, d):
+    return semantic.synopses(table(spark, d, "orders").selectExpr("o_custkey AS ord", "o_orderkey AS chapter", "o_orderpriority AS summary"))
+
+
+@query("SELECT string_agg('[' || (item_id + 1) || '] r' || item_id || chr(10) || text, chr(10) || chr(10) ORDER BY item_id) AS context FROM benchmark")
+def answer_context(spark, d):
+    t = table(spark, d, "benchmark").selectExpr("int(item_id) AS pos", "concat('r', item_id) AS ref", "text")
+    return semantic.context(t)
+
+
+@query("""WITH s AS (SELECT o_orderstatus AS scene, o_orderkey AS step, o_custkey % 7 AS speaker, o_custkey % 2 = 0 AS required, CASE WHEN o_custkey % 5 = 0 THEN o_custkey % 11 END AS wave, CASE WHEN o_custkey % 13 > 0 THEN 'x' END AS cond FROM orders),
+r AS (SELECT DISTINCT o_orderstatus AS scene, o_orderkey AS step, (o_custkey * 3) % 7 AS who FROM orders), f AS (SELECT 'required speaker absent' AS "check", scene FROM s WHERE required AND (scene, step, speaker) NOT IN (SELECT scene, step, who FROM r)
+UNION ALL SELECT 'speaker absent', scene FROM s WHERE NOT required AND (scene, step, speaker) NOT IN (SELECT scene, step, who FROM r) UNION ALL SELECT 'unknown wave', scene FROM s WHERE wave IS NOT NULL AND wave > 6 UNION ALL SELECT 'step without condition', scene FROM s WHERE cond IS NULL)
+SELECT "check", scene AS subject, count(*) AS n FROM f GROUP BY ALL""")
+def scene_findings(spark, d):
+    o = table(spark, d, "orders")
+    steps = o.selectExpr("o_orderstatus AS scene", "o_orderkey AS step", "o_custkey % 7 AS speaker", "o_custkey % 2 = 0 AS required", "if(o_custkey % 5 = 0, o_custkey % 11, null) AS wave", "if(o_custkey % 13 > 0, 'x', null) AS condition")
+    there = o.selectExpr("o_orderstatus AS scene", "o_orderkey AS step", "(o_custkey * 3) % 7 AS who").distinct()
+    waves = o.selectExpr("o_orderstatus AS scene", "explode(sequence(0L, 6L)) AS wave").distinct()
+    return quality.scenes(steps, there, waves).groupBy("check", "subject").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_PX}, q AS (SELECT image, x // 2 AS x, y // 2 AS y, max(r) AS r, max(g) AS g, max(b) AS b FROM px WHERE frame = 1 GROUP BY ALL), g AS (SELECT image, 2 * q.x + i AS x, 2 * q.y + j AS y, r, g, b FROM q, range(2) a(i), range(2) b(j)),
+sz AS (SELECT image, max(x) + 1 AS w, max(y) + 1 AS h, count(DISTINCT (r, g, b)) AS k FROM g GROUP BY image), tr AS (SELECT g.*, n FROM g JOIN sz USING (image), (SELECT unnest([16, 12, 10, 8, 6, 5, 4, 3, 2]) AS n) WHERE k >= 4 AND w % n = 0 AND h % n = 0),
+bl AS (SELECT image, n, min(r * 65536 + g * 256 + b) = max(r * 65536 + g * 256 + b) AS flat FROM tr GROUP BY image, n, x // n, y // n), ok AS (SELECT image, n FROM bl GROUP BY image, n HAVING bool_and(flat)) SELECT sz.image, CAST(coalesce(max(n), 1) AS INT) AS block FROM sz LEFT JOIN ok USING (image) GROUP BY sz.image""")
+def upscale_factors(spark, d):
+    small = _px(spark, d).filter("frame = 1").groupBy("image", F.expr("x div 2").alias("x"), F.expr("y div 2").alias("y")).agg(*[F.max(c).alias(c) for c in "rgb"])
+    big = small.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(1))))
+    return raster.block_size(big.selectExpr("image", "2 * x + i AS x", "2 * y + j AS y", "r", "g", "b", "255 AS a"))
+
+
+# --- sound by formula ---------------------------------------------------------------------------------------------------
+
+_NOTES = [f"{n}{b}{o}" for n in "CDEFGAB" for b in ("", "#", "b") for o in (1, 4, 7)]
+
+
+@query("SELECT note, round(440 * 2 ** ((CASE left(note, 1) WHEN 'C' THEN 0 WHEN 'D' THEN 2 WHEN 'E' THEN 4 WHEN 'F' THEN 5 WHEN 'G' THEN 7 WHEN 'A' THEN 9 ELSE 11 END + CASE substr(note, 2, 1) WHEN '#' THEN 1 WHEN 'b' THEN -1 ELSE 0 END + 12 * (CAST(right(note, 1) AS INT) - 4) - 9) / 12.0), 6) AS hz FROM (SELECT unnest([" + ", ".join(map(lit, _NOTES)) + "]) AS note)")
+def note_frequencies(spark, d):
+    t = table(spark, d, "region").filter("r_regionkey = 0").select(F.explode(F.array(*map(F.lit, _NOTES))).alias("note"))
+    return t.select("note", F.round(signal.note_hz(F.col("note")), 6).alias("hz"))
+
+
+@query("""SELECT event_id, round(CASE WHEN value / 100 >= 2.5 THEN 0 WHEN value / 100 < 0.005 THEN value / 100 / 0.005 ELSE exp(-5 * (value / 100 - 0.005) / (2.5 - 0.005)) * (1 - (value / 100 - 0.005) / (2.5 - 0.005)) END, 9) AS e,
+round(CASE WHEN value / 100 >= 2.5 THEN 0 ELSE CASE WHEN value / 100 < 0.1 THEN value / 100 / 0.1 WHEN value / 100 < 0.1 + 0.3 THEN 1 - (1 - 0.6) * (value / 100 - 0.1) / 0.3 ELSE 0.6 END * least(1, (2.5 - value / 100) / 0.5) END, 9) AS a, sin(value) >= 0 AS up FROM events""")
+def envelopes(spark, d):
+    t = F.col("value") / 100
+    return table(spark, d, "events").select("event_id", F.round(signal.envelope(t, F.lit(2.5)), 9).alias("e"), F.round(signal.adsr(t, F.lit(2.5), 0.1, 0.3, 0.6, 0.5), 9).alias("a"), (signal.square(F.col("value")) > 0).alias("up"))
+
+
+@query("WITH a AS (SELECT user_id AS sound, event_id % 50 AS i, sum(value) AS v FROM events GROUP BY ALL), b AS (SELECT s_suppkey AS sound, s_nationkey AS i, s_acctbal AS v FROM supplier) SELECT coalesce(a.sound, b.sound) AS sound, CAST(coalesce(a.i, b.i) AS BIGINT) AS i, round(coalesce(a.v, 0) + coalesce(b.v, 0), 6) AS v FROM a FULL JOIN b ON a.sound = b.sound AND a.i = b.i")
+def mixed_voices(spark, d):
+    a = table(spark, d, "events").groupBy(F.col("user_id").alias("sound"), (F.col("event_id") % 50).alias("i")).agg(F.sum("value").alias("v"))
+    b = table(spark, d, "supplier").selectExpr("s_suppkey AS sound", "bigint(s_nationkey) AS i", "s_acctbal AS v")
+    return signal.mix(a, b).select("sound", F.col("i").cast("long").alias("i"), F.round("v", 6).alias("v"))
