@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import codex, graph, layout, lexical, ocr, quality, raster, semantic, signal, space
+from ..operators import chunking, codex, graph, layout, lexical, ocr, quality, raster, semantic, signal, space
 from ..sources import files
 from .registry import query
 from .tables import BM25, COUPLES, DEACCENT, FAMILY, MENTIONS, PARTS, SIBLINGS, chunks, couples, entries, family, kin_rows, lit, mentions, question, sql_fold, sql_tokens, table
@@ -778,3 +778,40 @@ def mixed_voices(spark, d):
     a = table(spark, d, "events").groupBy(F.col("user_id").alias("sound"), (F.col("event_id") % 50).alias("i")).agg(F.sum("value").alias("v"))
     b = table(spark, d, "supplier").selectExpr("s_suppkey AS sound", "bigint(s_nationkey) AS i", "s_acctbal AS v")
     return signal.mix(a, b).select("sound", F.col("i").cast("long").alias("i"), F.round("v", 6).alias("v"))
+
+
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, event_id, 1 - exp(-2 * pi() * least(greatest(CASE WHEN event_id % 2 = 0 THEN 15 ELSE 3000 END, 20), 22050 / 2.0 - 200) / 22050) AS a FROM events),
+y AS (SELECT user_id, k, event_id, a * value AS v FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, e.event_id, y.v + e.a * (e.value - y.v) FROM y JOIN e ON e.user_id = y.user_id AND e.k = y.k + 1)
+SELECT user_id AS sound, event_id AS i, round(v, 6) AS v FROM y""")
+def low_passed(spark, d):
+    t = table(spark, d, "events").select(F.col("user_id").alias("sound"), F.col("event_id").alias("i"), F.col("value").alias("v"))
+    return signal.low_pass(t, F.when(F.col("i") % 2 == 0, 15).otherwise(3000)).select("sound", "i", F.round("v", 6).alias("v"))
+
+
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, value, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts), value) AS k FROM events),
+h AS (SELECT user_id, k, t, value, t AS last, true AS hit FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, e.t, e.value, CASE WHEN e.t - h.last >= 40000 THEN e.t ELSE h.last END, e.t - h.last >= 40000 FROM h JOIN e ON e.user_id = h.user_id AND e.k = h.k + 1)
+SELECT user_id AS target, round(t, 3) AS t, value AS amount FROM h WHERE hit""")
+def blows_that_count(spark, d):
+    t = table(spark, d, "events").select(F.col("user_id").alias("target"), (F.unix_micros(F.to_timestamp_ltz(F.concat(F.col("ts").cast("string"), F.lit("Z")))) / 1e6).alias("t"), F.col("value").alias("amount"))
+    return space.hits(t, 40000).select("target", F.round("t", 3).alias("t"), "amount")
+
+
+@query("""WITH RECURSIVE p AS MATERIALIZED (SELECT source AS book, length(text) AS n, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, text FROM documents),
+s AS (SELECT book, k, 0 AS segment, n AS held, doc_id FROM p WHERE k = 1 UNION ALL SELECT p.book, p.k, s.segment + CASE WHEN held >= 26000 THEN 1 ELSE 0 END, p.n + CASE WHEN held >= 26000 THEN 0 ELSE held END, p.doc_id FROM s JOIN p ON p.book = s.book AND p.k = s.k + 1)
+SELECT book, CAST(segment AS INT) AS segment, CAST(min(doc_id) AS INT) AS page, 'Pages ' || min(doc_id) || ' à ' || max(doc_id) AS label, CAST(sum(n) + 2 * (count(*) - 1) AS BIGINT) AS chars FROM s JOIN p USING (book, k, doc_id) GROUP BY book, segment""")
+def reading_segments(spark, d):
+    t = table(spark, d, "documents").selectExpr("source AS book", "doc_id AS pos", "doc_id AS page", "text")
+    return chunking.segments(t).select("book", "segment", "page", "label", F.length("text").cast("long").alias("chars"))
+
+
+@query(f"""WITH {MENTIONS}, g AS (SELECT ord, chapter, name, CASE {sql_fold('name')} WHEN 'building' THEN 'machinery' ELSE {sql_fold('name')} END AS key FROM men) SELECT key, count(*) AS n, count(DISTINCT name) AS forms, count(DISTINCT ord) AS books FROM g GROUP BY key""")
+def absorbed_mentions(spark, d):
+    m = mentions(spark, d).withColumn("key", tx.fold(F.col("name")))
+    merges = table(spark, d, "region").filter("r_regionkey = 0").select(F.lit("building").alias("key"), F.lit("machinery").alias("target"))
+    return codex.apply_merges(m, merges).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("forms"), F.count_distinct("ord").alias("books"))
+
+
+@query(rf"""WITH {_LINES}, x AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page_no, line_no) - 1 AS k, count(*) OVER (PARTITION BY book) AS n, regexp_replace(lower({DEACCENT.format("text || CASE WHEN page_no % 50 = 45 AND line_no = 2 THEN '' ELSE 'x' END")}), '[^a-z]', '', 'g') AS letters FROM l)
+SELECT book, page_no, line_no FROM x WHERE k < coalesce((SELECT max(y.k) FROM x y WHERE y.book = x.book AND y.letters = 'tabledesmatieres' AND y.k > 0.6 * y.n), 1000000000)""")
+def lines_before_contents(spark, d):
+    return layout.contents_cut(_lines(spark, d)).select("book", "page_no", "line_no")
