@@ -33,7 +33,9 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
         return grams.map(lambda g: least_hashes(list(g)))
 
     grams = F.array_distinct(windows(tokenize(F.col(text_col), stopwords), GRAM))
-    return docs.select(F.col(id_col).alias("id"), grams.alias("grams")).withColumn("sketch", sketch("grams"))
+    # written before Python sees them, so that lambdas and the Python step are never one expression
+    rows = keep(docs.select(F.col(id_col).alias("id"), grams.alias("grams")))
+    return rows.withColumn("sketch", sketch("grams"))
 
 
 def band_keys(sketch):
