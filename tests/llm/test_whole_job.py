@@ -49,7 +49,7 @@ def test_short_lines_repeat_by_exact_form(spark):
 
 
 def walk(spark, docs):
-    """lib/dedup.ts, with the smallest kept twin."""
+    """The walk in order of ids, with the smallest kept twin."""
     kept, out = [], {}
     for r in sorted(dedup.sketches(docs).collect(), key=lambda r: r["id"]):
         grams, sk = set(r["grams"]), list(r["sketch"])
