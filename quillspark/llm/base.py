@@ -81,6 +81,12 @@ def drop_tables(tables: list[tuple[SparkSession, str]]) -> None:
             _delete(*table)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written: it does so once the driver's JVM has
+    collected their plans, which otherwise may be long after, while the files of all steps add up on the disks."""
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def scratch_scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Deletes at its end every scratch table written inside it, but for those handed to the function it yields."""
