@@ -12,8 +12,11 @@ from .line_dedup import op10_line_dedup
 from .mixing import op6_mixing
 from .near_dedup import OP4_SQL, op4_near_dedup
 from .packing import op5_packing
+from .phrases import OP13_SQL, op13_collocations
+from .quality_rules import OP12_SQL, op12_quality_rules
 from .topk import OP3_SQL, op3_topk
 from .toxicity import op2_toxicity
+from .whitening import op11_whitening
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
@@ -26,6 +29,9 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_collocations": op13_collocations,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
@@ -33,5 +39,7 @@ ORACLE_SQL = {
     "op3_topk": OP3_SQL,
     "op4_near_dedup": OP4_SQL,
     "op9_chat": OP9_SQL,
+    "op12_quality_rules": OP12_SQL,
+    "op13_collocations": OP13_SQL,
     **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
 }
