@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, deaccent, stem, tokenize
+from .scratch import keep, numbered
 
 K1, B = 1.2, 0.75
 
@@ -37,9 +40,7 @@ def _ranked(hits: DataFrame, n_docs: DataFrame, limit: int | None) -> DataFrame:
     """Scores of (doc, len, term, tf); ``n_docs`` is one row of n and avgdl. Rounded to 6 decimals, then ranked."""
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each term of the query
     scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(n_docs))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    out = scored.groupBy("doc").agg(F.round(F.sum(idf * norm), 6).alias("score"))
+    out = scored.groupBy("doc").agg(F.round(F.sum(_idf() * _norm()), 6).alias("score"))
     return out.orderBy(F.desc("score"), "doc").limit(limit) if limit else out
 
 
@@ -64,20 +65,67 @@ def bm25(docs: DataFrame, query: DataFrame, limit: int | None = 60, id_col: str
     return _ranked(hits, stats, limit)
 
 
-def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stopwords: list[str] = STOPWORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings (doc, term, tf), lengths (doc, len) and totals (n, avgdl): what a search needs of the texts.
-    ``files.write_corpus`` writes them, the postings clustered by term."""
-    found = postings(docs, id_col, text_col, stopwords)
+class Index(NamedTuple):
+    """What a search needs of the texts. ``postings``: doc, term, tf, len (of the document), df (of the term), block.
+    ``blocks``: term, block, df, most (the highest share of the score that the term has in a document of the block).
+    ``stats``: one row of n, avgdl. A block is a run of ``BLOCK`` documents in order of their ids, the same for all terms."""
+
+    postings: DataFrame
+    blocks: DataFrame
+    stats: DataFrame
+
+
+#: Documents in a block; blocks that a search may name in a filter, beyond which it joins with them.
+BLOCK, NAMED = 512, 2000
+
+
+def _norm() -> Column:
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+
+
+def _idf() -> Column:
+    return F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stopwords: list[str] = STOPWORDS, block: int = BLOCK) -> Index:
+    """The index of some documents (id, text; ids are distinct). ``files.write_corpus`` writes it."""
+    found = keep(postings(docs, id_col, text_col, stopwords))
     have = found.groupBy("doc").agg(F.sum("tf").alias("len"))
     lengths = docs.select(F.col(id_col).alias("doc")).join(have, "doc", "left").select("doc", F.coalesce("len", F.lit(0)).cast("long").alias("len"))
-    return found, lengths, corpus_stats(lengths)
+    placed = keep(numbered(lengths, [F.col("doc")], "place", "long").select("doc", "len", F.expr(f"(place - 1) div {block}").alias("block")))
+    stats = corpus_stats(placed)
+    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rows = keep(found.join(placed, "doc").join(df, "term").select("doc", "term", "tf", "len", "df", "block"))
+    blocks = rows.crossJoin(F.broadcast(stats)).groupBy("term", "block").agg(F.first("df").alias("df"), F.max(_norm()).alias("most"))  # stats: one row
+    return Index(rows, blocks, stats)
 
 
-def search(found: DataFrame, lengths: DataFrame, stats: DataFrame, query: DataFrame, limit: int | None = 60, stopwords: list[str] = STOPWORDS) -> DataFrame:
-    """:func:`bm25` on an index: only the postings of the query's terms are read (term is their order on disk), and the
-    lengths of their documents."""
-    hits = found.join(_wanted(query, stopwords), "term").join(lengths, "doc").select("doc", "len", "term", "tf")
-    return _ranked(hits, stats, limit)
+def search(found: Index, query: DataFrame, limit: int | None = 60, stopwords: list[str] = STOPWORDS) -> DataFrame:
+    """:func:`bm25` on an index. The question's terms, a few words, become a filter that reaches the scan, which reads the
+    pages of these terms only (term is the order on disk).
+
+    With a ``limit``, what a document of a block can score is at most the sum of its terms' highest shares there. The
+    blocks with the highest bounds are scored first, until they have ``limit`` documents or more; only blocks whose bound
+    reaches the last of these scores are read then.
+    """
+    terms = [r[0] for r in query.limit(1).select(F.explode(F.array_distinct(tokenize(F.col("text"), stopwords)))).collect()]
+    n_docs = F.broadcast(found.stats)  # one row
+    mine = found.postings.filter(F.col("term").isin(terms))
+    if limit:
+        bounds = found.blocks.filter(F.col("term").isin(terms)).crossJoin(n_docs).groupBy("block").agg(F.sum(_idf() * F.col("most")).alias("bound"), F.count(F.lit(1)).alias("k"))
+        bounds = keep(bounds)
+        first = [r["block"] for r in bounds.orderBy(F.desc("bound"), "block").limit(max(1, limit // 8)).collect()]
+        tried = _scores(mine.filter(F.col("block").isin(first)), n_docs).orderBy(F.desc("score"), "doc").limit(limit).collect()
+        if len(tried) == limit:
+            open_ = bounds.filter(F.col("bound") + 2e-6 >= tried[-1]["score"]).select("block")
+            named = [r["block"] for r in open_.limit(NAMED + 1).collect()]
+            mine = mine.filter(F.col("block").isin(named)) if len(named) <= NAMED else mine.join(open_, "block", "left_semi")
+    out = _scores(mine, n_docs)
+    return out.orderBy(F.desc("score"), "doc").limit(limit) if limit else out
+
+
+def _scores(hits: DataFrame, n_docs: DataFrame) -> DataFrame:
+    return hits.crossJoin(n_docs).groupBy("doc").agg(F.round(F.sum(_idf() * _norm()), 6).alias("score"))
 
 
 def late_filter(ranked: DataFrame, orders: DataFrame, limit: int | None, keep: int = 90) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import chunking, codex, graph, layout, lexical, ocr, quality, raster, semantic, signal, space
+from ..operators.scratch import folder
 from ..sources import files
+from ..streaming import events as ev
 from .registry import query
 from .tables import BM25, COUPLES, DEACCENT, FAMILY, MENTIONS, PARTS, SIBLINGS, chunks, couples, entries, family, kin_rows, lit, mentions, question, sql_fold, sql_tokens, table
 
@@ -110,12 +113,20 @@ def name_tints(spark, d):
 
 @query(f"WITH {BM25} SELECT doc, score FROM ranked ORDER BY score DESC, doc LIMIT 60")
 def bm25_index_topk(spark, d):
-    return lexical.search(*lexical.index(table(spark, d, "documents")), question(spark, d), 60)
+    """The question put to the index that ``write_corpus`` has written and published."""
+    path = folder(spark, "corpus")
+    files.write_corpus(chunks(spark, d), lexical.index(table(spark, d, "documents"), block=64), path)
+    return lexical.search(files.read_index(spark, path), question(spark, d), 60)
+
+
+@query(f"WITH {BM25} SELECT doc, score FROM ranked")
+def bm25_index_all(spark, d):
+    return lexical.search(lexical.index(table(spark, d, "documents")), question(spark, d), None)
 
 
 @query(f"WITH w AS (SELECT doc_id AS doc, {sql_tokens('text')} AS ws FROM documents) SELECT count(*) AS n, round(sum(len(ws)) / count(*), 9) AS avgdl FROM w")
 def bm25_totals(spark, d):
-    return lexical.index(table(spark, d, "documents"))[2].select("n", F.round("avgdl", 9).alias("avgdl"))
+    return lexical.index(table(spark, d, "documents")).stats.select("n", F.round("avgdl", 9).alias("avgdl"))
 
 
 @query(f"WITH {MENTIONS}, k AS (SELECT {sql_fold('name')} AS key, count(*) AS n_notes FROM men GROUP BY 1) SELECT key, n_notes FROM k WHERE n_notes >= 200")
@@ -815,3 +826,54 @@ def absorbed_mentions(spark, d):
 SELECT book, page_no, line_no FROM x WHERE k < coalesce((SELECT max(y.k) FROM x y WHERE y.book = x.book AND y.letters = 'tabledesmatieres' AND y.k > 0.6 * y.n), 1000000000)""")
 def lines_before_contents(spark, d):
     return layout.contents_cut(_lines(spark, d)).select("book", "page_no", "line_no")
+
+
+# --- streams, as batches ------------------------------------------------------------------------------------------------
+
+
+_LINES = "l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> '')"
+
+
+@query(f"""WITH {_LINES}, u AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)
+SELECT CAST(doc_id AS VARCHAR) AS source, i - 1 AS line, md5(ls[i]) AS print FROM u WHERE i < len(ls) OR ls[i] <> ''""")
+def lines_from_stream(spark, d):
+    """Texts that come in parts of 700 signs, and a null part that ends them."""
+    t = table(spark, d, "documents").filter("text <> ''").selectExpr("cast(doc_id as string) AS source", "text", "(length(text) + 699) div 700 AS n")
+    parts = t.select("source", F.explode(F.expr("transform(sequence(0, n), k -> struct(k AS seq, if(k < n, substr(text, k * 700 + 1, 700), null) AS value))")).alias("x")).select("source", "x.*")
+    return ev.stream_lines(parts).select("source", "line", F.md5(F.col("value").cast("binary")).alias("print"))
+
+
+_CHAT = """c AS (SELECT CAST(user_id AS VARCHAR) AS turn, CAST(event_id % 3 AS INT) AS block, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq,
+CASE event_type WHEN 'click' THEN 'citation' WHEN 'purchase' THEN 'stop' WHEN 'view' THEN 'thinking' ELSE 'text' END AS type, CASE WHEN event_type = 'click' THEN CAST(event_id % 11 AS VARCHAR) ELSE event_type || event_id END AS payload FROM events)"""
+
+
+def _chat(spark, d):
+    e = table(spark, d, "events").withColumn("seq", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
+    return e.select(
+        F.col("user_id").cast("string").alias("turn"), (F.col("event_id") % 3).cast("int").alias("block"), "seq",
+        F.expr("case event_type when 'click' then 'citation' when 'purchase' then 'stop' when 'view' then 'thinking' else 'text' end").alias("type"),
+        F.expr("if(event_type = 'click', cast(event_id % 11 as string), concat(event_type, event_id))").alias("payload"),
+    )
+
+
+@query(f"""WITH {_CHAT}, s AS (SELECT *, coalesce(sum(CASE WHEN type = 'stop' THEN 1 ELSE 0 END) OVER (PARTITION BY turn, block ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part,
+count(*) FILTER (type = 'stop') OVER (PARTITION BY turn, block) AS stops FROM c), f AS (SELECT turn, block, part, payload, min(seq) AS seq FROM s WHERE type = 'citation' AND part < stops GROUP BY ALL)
+SELECT turn, block, string_agg(payload, ',' ORDER BY seq) AS numbers FROM f GROUP BY turn, block, part""")
+def citations_by_block(spark, d):
+    return ev.citation_blocks(_chat(spark, d)).select("turn", "block", F.array_join(F.col("numbers").cast("array<string>"), ",").alias("numbers"))
+
+
+@query(f"WITH {_CHAT} SELECT turn, coalesce(string_agg(payload, '' ORDER BY seq) FILTER (type = 'text'), '') AS text, coalesce(string_agg(payload, '' ORDER BY seq) FILTER (type = 'thinking'), '') AS thinking FROM c WHERE type IN ('text', 'thinking') GROUP BY turn")
+def transcripts(spark, d):
+    return ev.read_out(ev.transcript(_chat(spark, d)))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS slot, CAST(max(CASE WHEN event_type = 'view' THEN event_id % 97 ELSE 0 END) AS INT) AS reached,
+coalesce(string_agg(DISTINCT CAST(event_id % 5 AS VARCHAR), ',' ORDER BY CAST(event_id % 5 AS VARCHAR)) FILTER (event_type = 'click'), '') AS met,
+coalesce(string_agg(DISTINCT CAST(event_id % 7 AS VARCHAR), ',' ORDER BY CAST(event_id % 7 AS VARCHAR)) FILTER (event_type = 'purchase'), '') AS bag
+FROM events WHERE event_type IN ('click', 'purchase', 'view') GROUP BY user_id HAVING count(*) FILTER (event_type <> 'view' OR event_id % 97 > 0) > 0""")
+def save_states(spark, d):
+    kind = "case event_type when 'view' then 'reach' when 'click' then 'meet' else 'take' end"
+    value = "case event_type when 'view' then event_id % 97 when 'click' then event_id % 5 else event_id % 7 end"
+    e = table(spark, d, "events").filter("event_type in ('click', 'purchase', 'view')").selectExpr("cast(user_id as string) AS slot", "event_id AS seq", f"{kind} AS kind", f"cast({value} as string) AS value")
+    return ev.save_now(ev.saves(e)).select("slot", "reached", F.array_join("met", ",").alias("met"), F.array_join("bag", ",").alias("bag"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import time
 import uuid
 from collections.abc import Callable
 
@@ -9,8 +11,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import lexical
 from ..operators.scratch import keep
 
+#: Rows in a page of the index: pages without a query's terms are not read.
+PAGE_ROWS = 1000
+
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole text files."""
@@ -103,33 +109,96 @@ def _there(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def write_guarded(new: DataFrame, path: str, failed: bool) -> bool:
-    """Write a result; if pieces failed, not over one that has more entries. Returns whether it was written. Only an
-    absent table counts as empty; one that can't be read is an error, and stays."""
-    spark = new.sparkSession
+def folders(spark: SparkSession, path: str, files_too: bool = False) -> list[str]:
+    """Folders right below a path that are no hidden ones (and files, if asked for); none if there is no such path."""
     fs, where = _there(spark, path)
-    if failed and fs.exists(where) and spark.read.parquet(path).count() > new.count():
-        return False
-    replace(new, path)
-    return True
+    if not fs.exists(where):
+        return []
+    return sorted(str(f.getPath().toString()) for f in fs.listStatus(where) if (files_too or f.isDirectory()) and f.getPath().getName()[0] not in "._")
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """Write beside, check, then rename. If the new table can't take the old one's place, the old one goes back."""
+def put(df: DataFrame, path: str) -> None:
+    """Write a table aside and rename it to ``path``, over one that an earlier try left there."""
     spark = df.sparkSession
-    aside, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    parent, name = path.rstrip("/").rsplit("/", 1)
+    aside = f"{parent}/.{name}-{uuid.uuid4().hex}"
     df.write.parquet(aside)
     fs, at = _there(spark, path)
-    if not fs.exists(_there(spark, f"{aside}/_SUCCESS")[1]):
-        raise OSError(f"{aside} is not complete")
-    had = fs.exists(at)
-    if had and not fs.rename(at, _there(spark, old)[1]):
-        raise OSError(f"{path} can't be moved away")
+    fs.delete(at, True)
     if not fs.rename(_there(spark, aside)[1], at):
-        if had:
-            fs.rename(_there(spark, old)[1], at)
         raise OSError(f"{aside} can't take the place of {path}")
-    fs.delete(_there(spark, old)[1], True)
+
+
+_VERSION = r"/v-\d{20}-\w{8}$"
+
+
+def publish(tables: dict[str, DataFrame], path: str, expected: list[str] | None = None, keep_versions: int = 2, options: dict[str, str] | None = None) -> str:
+    """Publish tables as one: they are written into a new version's folder below ``path``, all of ``expected`` (the tables
+    themselves by default) must be there and complete, and then a marker is put beside them. Creating that file is the
+    only step that counts: until then readers get the version before, from then on this one, never tables of two and never
+    none. A publication that fails leaves nothing behind; what one that was killed left goes with the next. The last
+    ``keep_versions`` stay, for readers still at work. One writer at a time; a folder that holds anything else is an
+    error. Returns the version's folder."""
+    spark = next(iter(tables.values())).sparkSession
+    there = folders(spark, path, files_too=True)
+    strange = [f for f in there if not re.search(_VERSION, f)]
+    if strange:
+        raise FileExistsError(f"{strange[0]} is no version of a publication")
+    folder = f"{path}/v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    fs, where = _there(spark, folder)
+    try:
+        for name, df in tables.items():
+            df.write.options(**(options or {})).parquet(f"{folder}/{name}")
+        lacking = [n for n in (expected or tables) if not fs.exists(_there(spark, f"{folder}/{n}/_SUCCESS")[1])]
+        if lacking:
+            raise OSError(f"not published, without {', '.join(lacking)}")
+        fs.create(_there(spark, f"{folder}/_PUBLISHED")[1], False).close()
+    except BaseException:
+        fs.delete(where, True)
+        raise
+    whole = [f for f in there if _complete(spark, f)]
+    for old in there:
+        if old not in whole or old in whole[: len(whole) + 1 - keep_versions]:
+            fs.delete(_there(spark, old)[1], True)
+    return folder
+
+
+def _complete(spark: SparkSession, folder: str) -> bool:
+    fs, where = _there(spark, f"{folder}/_PUBLISHED")
+    return fs.exists(where)
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of the version that is published at ``path`` now, None if there is none. A reader of several tables asks
+    once and reads all of them below it."""
+    return max((f for f in folders(spark, path) if re.search(_VERSION, f) and _complete(spark, f)), default=None)
+
+
+def published(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One table of what is published at ``path`` now."""
+    at = current(spark, path)
+    if at is None:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return spark.read.parquet(f"{at}/{name}")
+
+
+def replace(df: DataFrame, path: str) -> None:
+    """Publish a single table, which :func:`latest` reads."""
+    publish({"table": df}, path)
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    return published(spark, path, "table")
+
+
+def write_guarded(new: DataFrame, path: str, failed: bool) -> bool:
+    """Publish a result; if pieces failed, not over one that has more entries. Returns whether it was. Only a path
+    without a publication counts as empty; one that can't be read is an error, and stays."""
+    spark = new.sparkSession
+    if failed and current(spark, path) and latest(spark, path).count() > new.count():
+        return False
+    replace(new, path)
+    return True
 
 
 def write_by_id(df: DataFrame, path: str, id_col: str = "id", light: list[str] | None = None) -> None:
@@ -140,12 +209,17 @@ def write_by_id(df: DataFrame, path: str, id_col: str = "id", light: list[str] |
     df.select(*(light or plain)).write.mode("overwrite").json(f"{path}/index")
 
 
-def write_corpus(chunks: DataFrame, postings: DataFrame, lengths: DataFrame, stats: DataFrame, path: str) -> None:
-    """The corpus and its search index below one folder: chunks, postings clustered by term, lengths and totals."""
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    postings.repartitionByRange("term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
-    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    stats.write.mode("overwrite").parquet(f"{path}/stats")
+def write_corpus(chunks: DataFrame, found: lexical.Index, path: str) -> str:
+    """The corpus and its search index, published as one: chunks, postings by term, blocks by term and totals."""
+    by_term = lambda df, *then: df.repartitionByRange("term", *then).sortWithinPartitions("term", *then)
+    tables = {"chunks": chunks, "postings": by_term(found.postings, "block", "doc"), "blocks": by_term(found.blocks, "block"), "stats": found.stats}
+    return publish(tables, path, options={"parquet.page.row.count.limit": str(PAGE_ROWS)})
+
+
+def read_index(spark: SparkSession, path: str) -> lexical.Index:
+    """The search index that is published at ``path`` now."""
+    at = current(spark, path)
+    return lexical.Index(*[spark.read.parquet(f"{at}/{name}") for name in ("postings", "blocks", "stats")])
 
 
 def write_manifest(stats: DataFrame, path: str) -> None:

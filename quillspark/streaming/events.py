@@ -2,56 +2,42 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-CITATIONS = "turn string, block int, numbers array<int>"
+from ..sources import files
+from .processors import Citations, Saves, Transcript, WholeLines, with_state
 
+def stream_lines(parts: DataFrame, first: int = 0, ttl: int | None = None) -> DataFrame:
+    """Whole lines (source, line, value) of a stream of text parts (source, seq, value): see :class:`WholeLines`."""
+    return with_state(parts, ["source"], WholeLines(first, ttl), WholeLines.SCHEMA, ttl)
 
-def citation_blocks(events: DataFrame, out: str = "append") -> DataFrame:
+
+def stream_events(parts: DataFrame, schema: str, first: int = 0, ttl: int | None = None) -> DataFrame:
+    """Events of NDJSON that arrives in parts; blank and broken lines are skipped."""
+    return files.events_in(stream_lines(parts, first, ttl), schema)
+
+
+def citation_blocks(events: DataFrame, ttl: int | None = None) -> DataFrame:
     """Events (turn, block, seq, type, payload): ``citation`` payloads are numbers, kept apart for each block and given
     out, each once and in order, when its ``stop`` comes. A block that never stops gives nothing."""
+    return with_state(events, ["turn", "block"], Citations(ttl), Citations.SCHEMA, ttl)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("seq")
-        done = []
-        for kind, payload in zip(rows["type"], rows["payload"], strict=True):
-            if kind == "citation" and str(payload).isdigit() and int(payload) not in held:
-                held.append(int(payload))
-            elif kind == "stop":
-                if held:
-                    done.append((*key, list(held)))
-                held = []
-        if held:
-            state.update((held,))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(done, columns=["turn", "block", "numbers"])
-
-    return events.groupBy("turn", "block").applyInPandasWithState(run, CITATIONS, "held array<int>", out, GroupStateTimeout.NoTimeout)
-
-
-def transcript(events: DataFrame) -> DataFrame:
-    """Events (turn, seq, type, payload) as turn, text, thinking so far, in order of seq; later pieces may come first."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seqs, kinds, texts = (list(x) for x in state.get) if state.exists else ([], [], [])
-        for b in batches:
-            b = b[b["type"].isin(["text", "thinking"])]
-            seqs += b["seq"].astype(int).tolist()
-            kinds += b["type"].tolist()
-            texts += b["payload"].fillna("").tolist()
-        state.update((seqs, kinds, texts))
-        order = sorted(range(len(seqs)), key=seqs.__getitem__)
-        join = lambda kind: "".join(texts[i] for i in order if kinds[i] == kind)
-        yield pd.DataFrame([(*key, join("text"), join("thinking"))], columns=["turn", "text", "thinking"])
+def transcript(events: DataFrame, first: int = 1, ttl: int | None = None) -> DataFrame:
+    """Events (turn, seq, type, payload) as what each batch adds: see :class:`Transcript`. ``read_out`` puts it together."""
+    return with_state(events, ["turn"], Transcript(first, ttl), Transcript.SCHEMA, ttl)
+
 
-    return events.groupBy("turn").applyInPandasWithState(run, "turn string, text string, thinking string", "seqs array<int>, kinds array<string>, texts array<string>", "update", GroupStateTimeout.NoTimeout)
+def read_out(pieces: DataFrame) -> DataFrame:
+    """The transcripts so far (turn, text, thinking) from the rows that :func:`transcript` has put out."""
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", c))), lambda x: x[c]), "").alias(c)
+    return pieces.groupBy("turn").agg(joined("text"), joined("thinking"))
 
 
 def may_fall_back(events: DataFrame) -> DataFrame:
@@ -59,19 +45,41 @@ def may_fall_back(events: DataFrame) -> DataFrame:
     return events.groupBy("turn").agg((F.bool_or(F.col("type") == "error") & ~F.bool_or(F.col("type").isin("text", "thinking"))).alias("retry"))
 
 
-def incremental(build: Callable[[DataFrame], DataFrame], path: str, key: str = "key") -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: builds only what the cache at ``path`` does not hold, and adds it. Empty results are not
-    cached, so they are tried again."""
+def _prints(rows: DataFrame, key: str, content: list[str] | None) -> DataFrame:
+    """Rows with a fingerprint of their content, one for each key (if a batch has several, the smallest print's)."""
+    cols = content if content is not None else [c for c in rows.columns if c != key]
+    printed = rows.withColumn("print", F.sha1(F.to_json(F.struct(F.lit(1).alias("v"), *cols)).cast("binary")))
+    return printed.groupBy(key).agg(F.min_by(F.struct(*printed.columns), "print").alias("r")).select("r.*")
+
 
-    def run(batch: DataFrame, _: int) -> None:
+def built(spark: SparkSession, path: str, besides: int | None = None) -> DataFrame | None:
+    """The last result of each key (key, result, print, batch) that incremental builds left at ``path``, or None before
+    the first. ``besides`` leaves out what one batch wrote."""
+    folders = [f for f in files.folders(spark, path) if re.search(r"/batch=\d+$", f) and not f.endswith(f"/batch={besides}")]
+    if not folders:
+        return None
+    rows = spark.read.option("basePath", path).parquet(*folders)
+    key = rows.columns[0]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), "batch").alias("r")).select(key, "r.*")
+
+
+def incremental(build: Callable[[DataFrame], DataFrame], path: str, key: str = "key", content: list[str] | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: builds what is new or has changed, and adds it. ``build`` takes rows and returns (key, result).
+
+    A key is built again when the fingerprint of its content (the columns ``content``, or all but the key) is not that of
+    its last result. Empty results are not kept, so they are tried again. A batch's results are one folder with its id,
+    written aside and renamed: a batch that is replayed sees the cache as it was before it, and takes the place of what it
+    left then. So each batch counts exactly once, wherever a run was stopped.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-        todo = batch.dropDuplicates([key])
-        if there:
-            todo = todo.join(spark.read.parquet(path).select(key), key, "left_anti")
-        build(todo).filter(F.col("result").isNotNull() & (F.col("result") != "")).write.mode("append").parquet(path)
+        todo = _prints(batch, key, content)
+        have = built(spark, path, besides=batch_id)
+        if have is not None:
+            todo = todo.join(have.select(key, "print"), [key, "print"], "left_anti")
+        done = build(todo.drop("print")).filter(F.col("result").isNotNull() & (F.col("result") != "")).select(key, "result")
+        files.put(done.join(todo.select(key, "print"), key), f"{path}/batch={batch_id}")
 
     return run
 
@@ -80,25 +88,15 @@ def uncached(wanted: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame
     return wanted.join(cache.select(key), key, "left_anti")
 
 
-def saves(events: DataFrame) -> DataFrame:
-    """Play events (slot, seq, kind: reach / meet / take, value): furthest rank, people met, bag. Ranks never fall and
-    sets only grow, so events may repeat or come late."""
+def saves(events: DataFrame, ttl: int | None = None) -> DataFrame:
+    """Play events (slot, seq, kind: reach / meet / take, value) as changes of a save: see :class:`Saves`."""
+    return with_state(events, ["slot"], Saves(ttl), Saves.SCHEMA, ttl)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        reached, met, bag = state.get if state.exists else (0, [], [])
-        met, bag = set(met), set(bag)
-        for b in batches:
-            for kind, value in zip(b["kind"], b["value"], strict=True):
-                if kind == "reach":
-                    reached = max(reached, int(value))
-                elif kind == "meet":
-                    met.add(value)
-                elif kind == "take":
-                    bag.add(value)
-        state.update((reached, sorted(met), sorted(bag)))
-        yield pd.DataFrame([(*key, reached, sorted(met), sorted(bag))], columns=["slot", "reached", "met", "bag"])
-
-    return events.groupBy("slot").applyInPandasWithState(run, "slot string, reached int, met array<string>, bag array<string>", "reached int, met array<string>, bag array<string>", "update", GroupStateTimeout.NoTimeout)
+
+def save_now(changes: DataFrame) -> DataFrame:
+    """Saves (slot, reached, met, bag) from the changes that :func:`saves` has put out."""
+    whole = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return changes.groupBy("slot").agg(F.max("reached").alias("reached"), whole("met"), whole("bag"))
 
 
 def combat(blows: DataFrame, grace: float = 0.45) -> DataFrame:
