@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import page_range
+from .scan import previous, running
+from .scratch import keep
 
 TARGET, MOST, LEAST, CARRY, SEGMENT = 1400, 2100, 120, 600, 26_000
 
@@ -33,13 +35,13 @@ def group_paragraphs(lengths: list[int], target: int = TARGET, most: int = MOST,
 def chunk(paragraphs: DataFrame, least: int = LEAST) -> DataFrame:
     """Chunks (book, n, chapter, page_start, page_end, pages, text) of paragraphs (book, pos, chapter, page, text).
 
-    Chapters are chunked apart from each other, so each is one group and no book has to fit a task; numbers without gaps
-    in a book follow from a window over the finished chunks. Chunks under ``least`` signs are dropped before they are
-    numbered.
+    Chapters are chunked apart from each other, so each is one group; their stretches and the numbers of the finished
+    chunks, without gaps in a book, are prefix scans. No book has to fit a task. Chunks under ``least`` signs are dropped
+    before they are numbered.
     """
-    by_book = Window.partitionBy("book").orderBy("pos")
-    new = F.coalesce((F.lag("chapter").over(by_book) != F.col("chapter")).cast("int"), F.lit(0))
-    parts = paragraphs.withColumn("stretch", F.sum(new).over(by_book))  # a chapter that comes back is a new stretch
+    given = previous(paragraphs, ["book"], ["pos"], before=F.col("chapter"))
+    new = F.coalesce((F.col("before") != F.col("chapter")).cast("int"), F.lit(0))
+    parts = running(given, ["book"], ["pos"], stretch=new)  # a chapter that comes back is a new stretch
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -56,8 +58,8 @@ def chunk(paragraphs: DataFrame, least: int = LEAST) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.col("page").cast("int").alias("page"), "text"))).alias("paragraphs")
     chapters = parts.groupBy("book", "stretch").agg(F.min(F.col("chapter").cast("int")).alias("chapter"), ordered)
     got = chapters.mapInPandas(run, f"book {kind}, stretch long, k int, chapter int, page_start int, page_end int, text string")
-    number = F.row_number().over(Window.partitionBy("book").orderBy("stretch", "k"))
-    return got.withColumns({"n": number, "pages": page_range(F.col("page_start"), F.col("page_end"))}).select("book", "n", "chapter", "page_start", "page_end", "pages", "text")
+    got = running(got, ["book"], ["stretch", "k"], n=F.lit(1))
+    return got.withColumns({"n": F.col("n").cast("int"), "pages": page_range(F.col("page_start"), F.col("page_end"))}).select("book", "n", "chapter", "page_start", "page_end", "pages", "text")
 
 
 def cited(chunks: DataFrame, books: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -71,21 +73,29 @@ def cited(chunks: DataFrame, books: DataFrame, chapters: DataFrame) -> DataFrame
 
 
 def segments(paragraphs: DataFrame, most: int = SEGMENT) -> DataFrame:
-    """Segments of a book without chapters: a segment closes with the paragraph that brings it to ``most`` signs."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", ignore_index=True)
-        at, total, number = 0, [], []
-        held = 0
-        for n in pdf["text"].str.len():
-            held += n
-            number.append(at)
-            if held >= most:
-                at, held = at + 1, 0
-        total = pdf.assign(segment=number).groupby("segment", sort=True)
-        return pd.DataFrame([(g["book"].iloc[0], int(s), int(g["page"].iloc[0]), f"Pages {g['page'].iloc[0]} à {g['page'].iloc[-1]}", "\n\n".join(g["text"])) for s, g in total], columns=["book", "segment", "page", "label", "text"])
-
-    return paragraphs.select("book", "pos", "page", "text").groupBy("book").applyInPandas(run, f"book {dict(paragraphs.dtypes)['book']}, segment int, page int, label string, text string")
+    """Segments of a book without chapters: a segment closes with the paragraph that brings it to ``most`` signs.
+
+    With ``end`` as the running sum of lengths, a segment that begins at a paragraph ends at the first one whose ``end``
+    is ``most`` beyond that of the paragraph before it: for all paragraphs at once, the number of smaller ends, a running
+    count over both kinds of values in order. That is where each paragraph points to. The beginnings are what the first
+    one points to, and so on; in each round the known ones grow by as many, as pointers are doubled.
+    """
+    t = running(paragraphs.select("book", "pos", "page", "text"), ["book"], ["pos"], place=F.lit(1), end=F.length("text"))
+    t = keep(t)
+    ends = t.select("book", F.col("end").alias("value"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("place"))
+    asks = t.select("book", (F.col("end") - F.length("text") + most).alias("value"), F.lit(0).alias("kind"), "place")
+    found = running(ends.unionByName(asks).withColumn("one", F.col("kind")), ["book"], ["value", "kind", "place"], smaller=F.col("one")).filter("kind = 0")
+    jump = keep(found.select("book", "place", (F.col("smaller") + 2).alias("to")).join(t.select("book", F.col("place").alias("to")), ["book", "to"], "left_semi"))
+    begun = keep(t.filter("place = 1").select("book", "place"))
+    while not jump.isEmpty():
+        new = begun.join(jump, ["book", "place"]).select("book", F.col("to").alias("place"))
+        begun = keep(begun.unionByName(new).distinct())
+        far = jump.select("book", F.col("place").alias("to"), F.col("to").alias("end"))
+        jump = keep(jump.join(far, ["book", "to"]).select("book", "place", F.col("end").alias("to")))
+    cut = t.join(begun.withColumn("begins", F.lit(1)), ["book", "place"], "left")
+    parts = running(cut, ["book"], ["place"], segment=F.col("begins")).groupBy("book", "segment").agg(F.array_sort(F.collect_list(F.struct("place", "page", "text"))).alias("ps"))
+    label = F.format_string("Pages %s à %s", F.col("ps")[0]["page"].cast("string"), F.element_at("ps", -1)["page"].cast("string"))
+    return parts.select("book", (F.col("segment") - 1).cast("int").alias("segment"), F.col("ps")[0]["page"].cast("int").alias("page"), label.alias("label"), F.array_join("ps.text", "\n\n").alias("text"))
 
 
 def manifest(chunks: DataFrame) -> DataFrame:

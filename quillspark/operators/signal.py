@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import running
+from .scratch import keep
+
 RATE = 22_050
 #: The generator's step and increment.
 STEP, MORE, MODULUS = 1_664_525, 1_013_904_223, 1 << 32
@@ -66,8 +69,7 @@ def triangle(phase: Column, partials: int = 6) -> Column:
 
 def glide(rows: DataFrame, hz: Column, name: str = "phase") -> DataFrame:
     """Phase of a tone whose pitch moves: a running sum."""
-    w = Window.partitionBy("sound").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.sum(2 * math.pi * hz / RATE).over(w))
+    return running(rows, ["sound"], ["i"], **{name: 2 * math.pi * hz / RATE})
 
 
 def vibrato(hz: Column, t: Column, depth: float, rate: float) -> Column:
@@ -88,21 +90,51 @@ def normalise(rows: DataFrame, target: float) -> DataFrame:
     return rows.join(peak, "sound").select("sound", "i", F.when(F.col("peak") < 1e-9, F.col("v")).otherwise(F.col("v") * target / F.col("peak")).alias("v"))
 
 
+#: Samples in a block of a filter's scan.
+BLOCK = 1 << 16
+
+
+def affine(keeps: np.ndarray, adds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefixes of the maps y -> keeps * y + adds, applied one after the other: for each place the map from the start to
+    there. Maps are composed over distances of 1, 2, 4 and so on, so there is no step for each sample."""
+    k, b, far = keeps.copy(), adds.copy(), 1
+    while far < len(k):
+        b[far:] += k[far:] * b[:-far]
+        k[far:] *= k[:-far].copy()
+        far *= 2
+    return k, b
+
+
 def low_pass(rows: DataFrame, cutoff: float | Column, high: bool = False) -> DataFrame:
-    """One-pole low-pass (or what it takes away); the cutoff in Hz may change from row to row. The recurrence goes sound
-    by sound."""
+    """One-pole low-pass (or what it takes away); the cutoff in Hz may change from row to row.
+
+    The filter's step is an affine map of its last value. Blocks of samples are composed to one map each, these along
+    the sound, and each block then starts from the value that the ones before it lead to.
+    """
     f = F.least(F.greatest(F.lit(cutoff) if isinstance(cutoff, (int, float)) else cutoff, F.lit(20)), F.lit(RATE / 2 - 200))
     share = 1 - F.exp(-2 * math.pi * f.cast("double") / RATE)
+    kind = dict(rows.dtypes)["sound"]
+    t = running(rows.select("sound", F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v"), share.alias("a")), ["sound"], ["i"], place=F.lit(1))
+    t = keep(t.withColumn("block", F.expr(f"(place - 1) div {BLOCK}")))
+    maps = lambda pdf: affine(1 - pdf["a"].to_numpy(), (pdf["a"] * pdf["v"]).to_numpy())
+
+    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, b = maps(pdf.sort_values("place"))
+        return pd.DataFrame({"sound": pdf["sound"].iloc[:1], "block": pdf["block"].iloc[:1], "k": k[-1], "b": b[-1]})
+
+    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block", ignore_index=True)
+        ends = affine(pdf["k"].to_numpy(), pdf["b"].to_numpy())[1]
+        return pdf[["sound", "block"]].assign(start=np.concatenate([[0.0], ends[:-1]]))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i", ignore_index=True)
-        y, out = 0.0, np.empty(len(pdf))
-        for k, (x, a) in enumerate(zip(pdf["v"].tolist(), pdf["a"].tolist(), strict=True)):
-            y += a * (x - y)
-            out[k] = y
+        pdf = pdf.sort_values("place", ignore_index=True)
+        k, b = maps(pdf)
+        out = k * pdf["start"].to_numpy() + b
         return pdf.assign(v=pdf["v"] - out if high else out)[["sound", "i", "v"]]
 
-    return rows.select("sound", "i", "v", share.alias("a")).groupBy("sound").applyInPandas(run, f"sound {dict(rows.dtypes)['sound']}, i long, v double")
+    begin = t.groupBy("sound", "block").applyInPandas(composed, f"sound {kind}, block long, k double, b double").groupBy("sound").applyInPandas(starts, f"sound {kind}, block long, start double")
+    return t.join(begin, ["sound", "block"]).groupBy("sound", "block").applyInPandas(run, f"sound {kind}, i long, v double")
 
 
 def sequence(notes: DataFrame, loop: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import chunking, codex, graph, layout, lexical, ocr, quality, raster, semantic, signal, space
+from ..operators.scan import running
 from ..operators.scratch import folder
 from ..sources import files
 from ..streaming import events as ev
@@ -831,10 +832,10 @@ def lines_before_contents(spark, d):
 # --- streams, as batches ------------------------------------------------------------------------------------------------
 
 
-_LINES = "l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> '')"
+_TEXT_LINES = "l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> '')"
 
 
-@query(f"""WITH {_LINES}, u AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)
+@query(f"""WITH {_TEXT_LINES}, u AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)
 SELECT CAST(doc_id AS VARCHAR) AS source, i - 1 AS line, md5(ls[i]) AS print FROM u WHERE i < len(ls) OR ls[i] <> ''""")
 def lines_from_stream(spark, d):
     """Texts that come in parts of 700 signs, and a null part that ends them."""
@@ -877,3 +878,58 @@ def save_states(spark, d):
     value = "case event_type when 'view' then event_id % 97 when 'click' then event_id % 5 else event_id % 7 end"
     e = table(spark, d, "events").filter("event_type in ('click', 'purchase', 'view')").selectExpr("cast(user_id as string) AS slot", "event_id AS seq", f"{kind} AS kind", f"cast({value} as string) AS value")
     return ev.save_now(ev.saves(e)).select("slot", "reached", F.array_join("met", ",").alias("met"), F.array_join("bag", ",").alias("bag"))
+
+
+# --- books from documents: a source is a book, a document a page with a heading and a number ------------------------------
+
+
+_BOOK = r"""k AS (SELECT source AS book, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS page_no, array_to_string(string_split(text, chr(10))[1:4], chr(10)) AS top FROM documents),
+bk AS (SELECT book, page_no, CASE WHEN page_no % 3 = 0 THEN '          ' || (page_no // 3 + 1) || '. Title ' || doc_id WHEN page_no % 3 = 1 THEN '        ' || (page_no // 3 + 50) || chr(10) || '               Under ' || doc_id ELSE '          PART ' || repeat('X', doc_id % 5 + 1) END
+|| chr(10) || CASE WHEN doc_id % 2 = 0 THEN chr(10) ELSE '' END || top || chr(10) || CASE WHEN doc_id % 5 = 0 THEN '' ELSE '     ' || (page_no + 7 + doc_id % 9 // 4) END AS text FROM k),
+raw AS (SELECT book, page_no, unnest(string_split(text, chr(10))) AS raw, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS line_no FROM bk),
+ln AS (SELECT book, page_no, line_no, regexp_replace(raw, '\s+$', '') AS raw FROM raw), l AS MATERIALIZED (SELECT *, trim(regexp_replace(raw, '^\s+', '')) AS text, length(raw) - length(trim(regexp_replace(raw, '^\s+', ''))) AS indent, row_number() OVER (PARTITION BY book ORDER BY page_no, line_no) AS pos FROM ln)"""
+
+
+def _books(spark, d):
+    k = table(spark, d, "documents").select("source", "doc_id", F.array_join(F.slice(F.split("text", "\n"), 1, 4), "\n").alias("top"))
+    k = running(k, ["source"], ["doc_id"], place=F.lit(1)).selectExpr("source AS book", "doc_id", "int(place - 1) AS page_no", "top")
+    head = "case page_no % 3 when 0 then concat('          ', page_no div 3 + 1, '. Title ', doc_id) when 1 then concat('        ', page_no div 3 + 50, '\\n               Under ', doc_id) else concat('          PART ', repeat('X', int(doc_id % 5 + 1))) end"
+    foot = "if(doc_id % 5 = 0, '', concat('     ', page_no + 7 + doc_id % 9 div 4))"
+    return k.selectExpr("book", "page_no", f"concat({head}, '\\n', if(doc_id % 2 = 0, '\\n', ''), top, '\\n', {foot}) AS text")
+
+
+def _book_lines(spark, d):
+    return layout.lines(_books(spark, d))
+
+
+@query(rf"""WITH RECURSIVE {_BOOK}, last AS (SELECT book, page_no, max(line_no) AS line_no, TRY_CAST(regexp_extract(arg_max(raw, line_no), '^\s*[-–—]?\s*(\d{{1,4}})\s*[-–—]?\s*$', 1) AS INT) AS n FROM l WHERE text <> '' GROUP BY book, page_no),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page_no) AS k FROM last),
+w AS (SELECT book, k, page_no, coalesce(n BETWEEN 1 AND 1999, false) AS good, CASE WHEN n BETWEEN 1 AND 1999 THEN n ELSE 1 END AS printed, line_no FROM o WHERE k = 1 UNION ALL
+SELECT o.book, o.k, o.page_no, coalesce(n BETWEEN 1 AND 1999 AND abs(n - w.printed - 1) <= 2, false), CASE WHEN n BETWEEN 1 AND 1999 AND abs(n - w.printed - 1) <= 2 THEN n ELSE w.printed + 1 END, o.line_no FROM w JOIN o ON o.book = w.book AND o.k = w.k + 1)
+SELECT book, page_no, CASE WHEN good THEN line_no ELSE -1 END AS folio_line, printed FROM w""")
+def printed_page_numbers(spark, d):
+    return layout.printed_pages(_book_lines(spark, d))
+
+
+@query(rf"""WITH {_BOOK}, c AS (SELECT book, indent, count(*) AS n, min((page_no, line_no)) AS first FROM l WHERE text <> '' GROUP BY book, indent), b AS (SELECT book, arg_min(indent, (-n, first)) AS base FROM c GROUP BY book),
+t AS (SELECT *, TRY_CAST(nullif(coalesce(nullif(regexp_extract(raw, '^\s{{4,}}(\d{{1,3}})\s*[.．]\s+(\S.{{0,60}})$', 1), ''), regexp_extract(raw, '(?i)^\s{{4,}}(?:Chapitres?\s+)?(\d{{1,3}})\s*[.．]?\s*$', 1)), '') AS INT) AS number,
+regexp_extract(raw, '^\s{{4,}}(\d{{1,3}})\s*[.．]\s+(\S.{{0,60}})$', 2) AS inl FROM l WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY book, page_no ORDER BY line_no) <= 3),
+h AS (SELECT t.*, base, (SELECT min(x.pos) FROM l x WHERE x.book = t.book AND x.pos BETWEEN t.pos + 1 AND t.pos + 3 AND x.text <> '') AS below FROM t JOIN b USING (book) WHERE number <= 99)
+SELECT h.book, h.page_no, h.line_no, h.number, CASE WHEN inl <> '' THEN inl WHEN length(x.text) <= 70 AND x.indent >= base + 8 THEN x.text ELSE '' END AS title FROM h LEFT JOIN l x ON x.book = h.book AND x.pos = h.below""")
+def numbered_heading_lines(spark, d):
+    return layout.numbered_headings(_book_lines(spark, d))
+
+
+@query(rf"""WITH {_BOOK}, t AS (SELECT *, regexp_replace(text, '[^A-Za-zÀ-ÿŒœ]', '', 'g') AS letters FROM l WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY book, page_no ORDER BY line_no) <= 3)
+SELECT t.book, t.page_no, t.line_no, t.text FROM t LEFT JOIN l x ON x.book = t.book AND x.pos = t.pos + 1 WHERE t.indent >= 6 AND length(t.text) BETWEEN 3 AND 50 AND NOT regexp_matches(t.text, '[.!?…,;:»"]$') AND NOT regexp_matches(t.text, '^[—–-]')
+AND length(letters) >= 3 AND length(regexp_replace(letters, '[^A-ZÀ-ÝŒ]', '', 'g')) >= 0.7 * length(letters) AND coalesce(x.text, '') = ''""")
+def capital_heading_lines(spark, d):
+    return layout.unnumbered_headings(_book_lines(spark, d))
+
+
+@query()
+def parsed_books(spark, d):
+    """Chapters and paragraphs of the books, each with the chapter that it is in; held against known books in the tests."""
+    whole = _books(spark, d).groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "\f").alias("text"))
+    chapters, paragraphs = layout.parse_books(whole)
+    return paragraphs.join(chapters.select("book", "chapter", "number", "title"), ["book", "chapter"], "left")
