@@ -338,12 +338,8 @@ def _linked(lines: DataFrame, exact: DataFrame, source: DataFrame, percent: int,
     if not twice.isEmpty():  # forms that share a half of their marks, as good as never
         keyed = keyed.join(twice.select(F.col("m1").alias("id_")), "id_", "left_anti")
     members = keyed.select("id_", F.explode(F.concat(F.array(*_keys(blocks)), "keys")).alias("bucket")).withColumnRenamed("id_", "id")
-    # two bits of 64 for each line: a bucket with more than two set has several lines (of 2,016 pairs of lines one is
-    # taken for one line there), and narrow rows are all that is shuffled
-    mark = F.xxhash64("id")
-    bit = lambda at: F.expr(f"shiftleft(1L, cast(shiftright(h, {at}) & 63 as int))")
-    marked = members.select("bucket", mark.alias("h")).select("bucket", bit(7).bitwiseOR(bit(27)).alias("bits"))
-    shared = materialize(marked.groupBy("bucket").agg(F.bit_or("bits").alias("bits")).filter(F.bit_count("bits") > 2).select("bucket"), "shared")
+    several = members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
+    shared = materialize(several.select("bucket"), "shared")
     found = materialize(among(members, shared, "bucket").distinct(), "found")
     free_shuffles(source.sparkSession)
     ids = materialize(found.select("id").distinct(), "ids")

@@ -165,3 +165,18 @@ def test_odd_input_of_pipeline_stages(spark, data):
             assert bool(got) == bool(docs.count())
     kept = corpus_pipeline.near_duplicates(spark, odd, data).collect()
     assert sorted(r["doc_id"] for r in kept) == [1, 2, 3, 4, 4, 5]
+
+
+def test_no_bucket_of_two_lines_is_lost(spark):
+    """Pairs of lines that differ in a letter: each is linked, whatever the hashes of the two lines are."""
+    import random
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    rows = []
+    for k in range(4000):
+        words = [word() for _ in range(30)]
+        at = r.randrange(30)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:at], words[at][:-1] + "0", *words[at + 1 :]]))]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), finer=True).filter("lines_dropped > 0").select("doc_id").collect()
+    assert {x["doc_id"] for x in got} == {2 * k + 1 for k in range(4000)}
