@@ -118,6 +118,34 @@ def test_least_matches():
     assert near_dedup.least_matches(16, 80, 1.0) == 16
 
 
+def lines_by_edits(docs):
+    """Texts (id, text) after fuzzy line dedup, by edit similarity of all pairs; lines with short forms by equal forms."""
+    seen = [(i, k, b" ".join(w)) for i, t in sorted(docs) for k, w in enumerate(line_dedup.normal_lines(t)) if w]
+    forms = sorted({f for _, _, f in seen}, key=len)
+    size = np.array([len(f) for f in forms])
+    letters = np.array([np.bincount(np.frombuffer(f, np.uint8), minlength=256) for f in forms], np.int32)
+    group = {f: f for f in forms}
+
+    def root(f):
+        while group[f] != f:
+            f = group[f]
+        return f
+
+    for x, a in enumerate(forms):
+        if len(a) >= line_dedup.MIN_CHARS:
+            most = size[x + 1 :] * (100 - line_dedup.PERCENT) // 100
+            may = (size[x + 1 :] - len(a) <= most) & (np.abs(letters[x + 1 :] - letters[x]).sum(1) <= 2 * most)
+            for y in np.flatnonzero(may) + x + 1:
+                if root(a) != root(forms[y]) and line_dedup.edit_distance(a, forms[y]) <= len(forms[y]) * (100 - line_dedup.PERCENT) // 100:
+                    group[root(a)] = root(forms[y])
+    met, gone = set(), defaultdict(set)
+    for i, k, f in seen:
+        if root(f) in met:
+            gone[i].add(k)
+        met.add(root(f))
+    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in docs}
+
+
 def lines_by_force(rows):
     seen, drop, forms = [], defaultdict(set), []
     for i, t in sorted(rows):

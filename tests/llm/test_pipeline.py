@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import queries, toxicity
 
-from test_corpus_operators import check_packing, lines_by_force, near_by_force
+from test_corpus_operators import check_packing, lines_by_edits, near_by_force
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +38,7 @@ def test_toxicity_drops_what_it_rejects(spark, data, stages):
 
 def test_lines(stages):
     docs, out = stages[1]
-    assert dict(texts(out)) == lines_by_force(texts(docs))
+    assert dict(texts(out)) == lines_by_edits(texts(docs))
 
 
 def test_near_duplicates(stages):
