@@ -41,7 +41,8 @@ def _stage(work: Stage) -> Stage:
 
 @_stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject. The model is learned from the labelled ones among ``docs``."""
+    """Documents that the classifier does not reject. The model is learned from the labelled ones among ``docs``. Rows
+    with a null id stay; null texts are scored as empty; rows that repeat an id go together."""
     model = tox.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rejected = tox.toxicity(docs, model).filter("rejected").select("doc_id").distinct()
     return _without(docs, rejected)
@@ -57,27 +58,31 @@ def _without(docs: DataFrame, drop: DataFrame) -> DataFrame:
 
 @_stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat others; all documents stay, some with less text."""
-    out = line_dedup(docs.select(*COLUMNS))
+    """Documents without lines that repeat others, short ones by equal forms, as ``op10_line_dedup`` does; all documents
+    stay, some with less text. Null ids and null texts stay as they are; rows that repeat an id are one document."""
+    out = line_dedup(docs.select(*COLUMNS), finer=True, short=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more. Rows with a null id stay;
+    null, empty and blank texts are linked with nothing; rows that repeat an id are one document, and stay or go together."""
     return _without(docs, near_dedup(docs, words=5, percent=80).filter("not kept").select("doc_id").distinct())
 
 
 @_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it: copies are rows with the same id. A text without words is
+    taken once, unless its source has no words at all, which then goes; a null source is a source of its own."""
     taken = mix(docs).filter("copies > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 @_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048 ids that hold every document of the mix."""
+    """Token sequences of at most 2048 ids that hold every document of the mix, a null text as an empty one. Rows that
+    repeat an id are documents each."""
     return pack(docs, vocabulary())
 
 
