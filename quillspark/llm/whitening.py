@@ -62,10 +62,7 @@ def jacobi(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def integers(vectors: pa.Array, d: int) -> np.ndarray:
     """A batch of vectors as rows of x."""
-    flat = np.floor(SCALE * vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)) + OFFSET
-    if len(flat) and np.abs(flat).max() >= SCALE * LARGEST:
-        raise ArithmeticError(f"an entry of {LARGEST:g} or more can't be whitened exactly")
-    return flat.astype(np.int64).reshape(-1, d)
+    return (np.floor(SCALE * vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)) + OFFSET).astype(np.int64).reshape(-1, d)
 
 
 def _exact(y: np.ndarray) -> np.ndarray:
@@ -125,10 +122,12 @@ def whitened(vectors: DataFrame, components: int = 8, id_col: str = "vec_id", ve
     spark = vectors.sparkSession
     rows = only(vectors, id=id_col, v=vector_col).filter("v is not null").filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
     rows = rows.select("id", F.col("v").cast("array<double>").alias("v"))
-    size = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    size = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).orderBy(F.desc("n"), F.desc("d")).first()
     schema = "vec_id long, component int, n long, deviation decimal(38,0), whitened double, explained double, identity_error double"
     if size is None or not size["d"]:
         return spark.createDataFrame([], schema)
+    if size["most"] >= LARGEST:
+        raise ArithmeticError(f"an entry of {LARGEST:g} or more can't be whitened exactly")
     d, n = size["d"], size["n"]
     rows = rows.filter(F.size("v") == d)
     sums = _sums(rows, d)
