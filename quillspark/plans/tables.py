@@ -100,12 +100,12 @@ SKETCHES = f"""sh AS (SELECT doc_id AS id, {GRAMS.format("ws")} AS grams FROM (S
 ha AS (SELECT id, {FNV.format("g")} AS h FROM (SELECT id, unnest(grams) AS g FROM sh)),
 sk AS MATERIALIZED (SELECT id, list_sort(list(h))[1:16] AS sketch FROM ha GROUP BY id)"""
 #: The walk in order of ids, over texts that have an earlier twin: dropped ones can put out no later text.
-GREEDY = SKETCHES + """, ks AS (SELECT DISTINCT id, sketch[3 * b + 1:3 * b + 3] AS key FROM (SELECT sk.id, sketch, unnest(range(5)) AS b FROM sk JOIN sh USING (id) WHERE len(grams) >= 60) WHERE len(sketch) >= 3 * b + 3),
-cand AS (SELECT DISTINCT a.id AS a, b.id AS b FROM ks a JOIN ks b ON a.key = b.key AND a.id < b.id),
-tw AS (SELECT a, b FROM cand JOIN sh x ON x.id = a JOIN sh y ON y.id = b WHERE len(list_intersect(x.grams, y.grams)) / least(len(x.grams), len(y.grams)) >= 0.6),
+GREEDY = SKETCHES + """, ks AS (SELECT id, min(b) AS band, sketch[3 * b + 1:3 * b + 3] AS key FROM (SELECT sk.id, sketch, unnest(range(5)) AS b FROM sk JOIN sh USING (id) WHERE len(grams) >= 60) WHERE len(sketch) >= 3 * b + 3 GROUP BY ALL),
+cand AS (SELECT a.id AS a, b.id AS b, min(b.band) AS band FROM ks a JOIN ks b ON a.key = b.key AND a.id < b.id GROUP BY ALL),
+tw AS (SELECT a, b, band FROM cand JOIN sh x ON x.id = a JOIN sh y ON y.id = b WHERE len(list_intersect(x.grams, y.grams)) / least(len(x.grams), len(y.grams)) >= 0.6),
 late AS MATERIALIZED (SELECT b AS id, list(a) AS tw, row_number() OVER (ORDER BY b) AS k FROM tw GROUP BY b),
 walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone UNION ALL
   SELECT late.k, CASE WHEN len(list_filter(tw, lambda t: NOT list_contains(gone, t))) > 0 THEN list_append(gone, id) ELSE gone END FROM walk JOIN late ON late.k = walk.k + 1),
 out AS (SELECT unnest(gone) AS id FROM (SELECT gone FROM walk ORDER BY k DESC LIMIT 1)),
-same AS (SELECT b AS id, min(a) AS same_as FROM tw WHERE a NOT IN (SELECT id FROM out) AND b IN (SELECT id FROM out) GROUP BY b),
+same AS (SELECT b AS id, arg_min(a, (band, a)) AS same_as FROM tw WHERE a NOT IN (SELECT id FROM out) AND b IN (SELECT id FROM out) GROUP BY b),
 dd AS (SELECT doc_id AS id, doc_id NOT IN (SELECT id FROM out) AS kept, same_as FROM documents LEFT JOIN same ON same.id = doc_id)"""

@@ -56,12 +56,6 @@ def test_greedy_keeps_what_lost_its_twin(spark):
     assert got == {0: (True, None), 1: (False, 0), 2: (True, None), 3: (True, None)}
 
 
-def test_twins_need_length(spark):
-    long = " ".join(f"w{k}x" for k in range(70))
-    rows = [(0, long), (1, long + " more"), (2, "short text"), (3, "short text")]
-    got = {(r["a"], r["b"]) for r in dedup.twins(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
-    assert got == {(0, 1)}
-
 
 def test_chunks(spark):
     assert chunking.group_paragraphs([700, 650, 100]) == [[0, 1], [2]]
