@@ -92,14 +92,44 @@ def children(rows: DataFrame) -> DataFrame:
     return rows.groupBy("parent").agg(F.array_sort(F.collect_set("child")).alias("children"))
 
 
-def siblings(rows: DataFrame, married: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) of different children of one parent, without pairs that are closer: parent, child or spouse."""
+def _closer(own: DataFrame, married: DataFrame | None) -> DataFrame:
+    """Pairs (a, b), both ways, that are more than siblings."""
+    out = own.select(F.col("parent").alias("a"), F.col("child").alias("b")).unionByName(own.select(F.col("child").alias("a"), F.col("parent").alias("b")))
+    return (out if married is None else out.unionByName(married.select("a", "b"))).distinct()
+
+
+def sibling_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Children (class, child) by the set of their parents, and the pairs of classes (class, other) that share a parent,
+    each with itself too: who is whose sibling, without a row for each pair of them."""
+    sets = rows.select("parent", "child").distinct().groupBy("child").agg(F.array_sort(F.collect_set("parent")).alias("class"))
+    members = keep(sets.select("class", "child"))
+    by_parent = members.select("class").distinct().select("class", F.explode("class").alias("parent"))
+    return members, by_parent.join(by_parent.withColumnRenamed("class", "other"), "parent").select("class", "other").distinct()
+
+
+def siblings(rows: DataFrame, married: DataFrame | None = None, egos: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of different children of one parent, without pairs that are closer: parent, child or spouse; of
+    ``egos`` (a) alone if given. Classes are expanded last, each pair once, so its rows are the answer's."""
+    own = rows.select("parent", "child").distinct()
+    members, classes = sibling_classes(own)
+    not_ = _closer(own, married).groupBy("a").agg(F.collect_set("b").alias("closer"))
+    asked = members.withColumnRenamed("child", "a")
+    asked = (asked if egos is None else asked.join(egos.select("a").distinct(), "a", "left_semi")).join(not_, "a", "left")
+    pairs = asked.join(classes, "class").join(members.select(F.col("class").alias("other"), F.col("child").alias("b")), "other")
+    return pairs.filter((F.col("a") != F.col("b")) & ~F.coalesce(F.array_contains("closer", F.col("b")), F.lit(False))).select("a", "b")
+
+
+def sibling_counts(rows: DataFrame, married: DataFrame | None = None) -> DataFrame:
+    """(person, siblings) of those who have any, from the classes' sizes."""
     own = rows.select("parent", "child").distinct()
-    pairs = own.select("parent", F.col("child").alias("a")).join(own.select("parent", F.col("child").alias("b")), "parent").filter("a <> b").select("a", "b").distinct()
-    closer = own.select(F.col("parent").alias("a"), F.col("child").alias("b")).unionByName(own.select(F.col("child").alias("a"), F.col("parent").alias("b")))
-    if married is not None:
-        closer = closer.unionByName(married.select("a", "b"))
-    return pairs.join(closer.distinct(), ["a", "b"], "left_anti")
+    members, classes = sibling_classes(own)
+    sizes = members.groupBy(F.col("class").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    each = classes.join(sizes, "other").groupBy("class").agg(F.sum("n").alias("n"))
+    side = lambda key, name: members.select(F.col("child").alias(key), F.col("class").alias(name))
+    both = _closer(own, married).filter("a <> b").join(side("a", "class"), "a").join(side("b", "other"), "b").join(classes, ["class", "other"])
+    less = both.groupBy(F.col("a").alias("child")).agg(F.count(F.lit(1)).alias("less"))
+    t = members.join(each, "class").join(less, "child", "left").select(F.col("child").alias("person"), (F.col("n") - 1 - F.coalesce("less", F.lit(0))).alias("siblings"))
+    return t.filter("siblings > 0")
 
 
 def two_hops(rows: DataFrame) -> DataFrame:
@@ -113,20 +143,23 @@ def two_hops(rows: DataFrame) -> DataFrame:
 ROWS = {"Génération": 0, "Parents": 1, "Enfants": 2, "Grands-parents": 3, "Petits-enfants": 4}
 
 
-def trees(rows: DataFrame, married: DataFrame) -> DataFrame:
-    """Members of each person's tree: ego, person, row. Two generations up and down, spouses and siblings."""
+def trees(rows: DataFrame, married: DataFrame, egos: DataFrame | None = None) -> DataFrame:
+    """Members of each person's tree: ego, person, row. Two generations up and down, spouses and siblings; of ``egos`` (a)
+    alone if given, which is all that is then expanded."""
     own = rows.select("parent", "child").distinct()
     hops = two_hops(own)
     ego = own.select(F.col("parent").alias("e")).union(own.select("child")).union(married.select("a")).distinct()
     part = lambda df, e, p, row: df.select(F.col(e).alias("ego"), F.col(p).alias("person"), F.lit(row).alias("row"))
     parts = [
-        part(ego, "e", "e", "Génération"), part(married, "a", "b", "Génération"), part(siblings(own, married), "a", "b", "Génération"),
+        part(ego, "e", "e", "Génération"), part(married, "a", "b", "Génération"), part(siblings(own, married, egos), "a", "b", "Génération"),
         part(own, "child", "parent", "Parents"), part(own, "parent", "child", "Enfants"),
         part(hops, "grandchild", "grandparent", "Grands-parents"), part(hops, "grandparent", "grandchild", "Petits-enfants"),
     ]
     united = parts[0]
     for p in parts[1:]:
         united = united.unionByName(p)
+    if egos is not None:
+        united = united.join(egos.select(F.col("a").alias("ego")).distinct(), "ego", "left_semi")
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in ROWS.items() for x in kv]), F.col("row"))
     return united.groupBy("ego", "person").agg(F.min_by("row", rank).alias("row"))
 
@@ -139,10 +172,10 @@ def tree_sizes(members: DataFrame, least: int = 3) -> DataFrame:
 def relation_counts(rows: DataFrame, married: DataFrame) -> DataFrame:
     """Parents, children, spouses and siblings of each person."""
     own = rows.select("parent", "child").distinct()
-    sib = siblings(own, married)
-    part = lambda df, p, kind: df.select(F.col(p).alias("person"), F.lit(kind).alias("kind"))
-    united = part(own, "child", "parents").unionByName(part(own, "parent", "children")).unionByName(part(married, "a", "spouses")).unionByName(part(sib, "a", "siblings"))
-    count = lambda k: F.count_if(F.col("kind") == k).alias(k)
+    part = lambda df, p, kind: df.groupBy(F.col(p).alias("person")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(kind))
+    united = part(own, "child", "parents").unionByName(part(own, "parent", "children")).unionByName(part(married, "a", "spouses"))
+    united = united.unionByName(sibling_counts(own, married).select("person", F.col("siblings").alias("n"), F.lit("siblings").alias("kind")))
+    count = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k)
     return united.groupBy("person").agg(count("parents"), count("children"), count("spouses"), count("siblings"))
 
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import keep
+
 SCALES = [16, 12, 10, 8, 6, 5, 4, 3, 2]
 
 
@@ -152,25 +154,61 @@ def missing_directions(frames: DataFrame) -> DataFrame:
     return frames.groupBy("image").agg(F.array_except(every, F.collect_set("direction")).alias("missing"))
 
 
-def two_centres(colors: pd.DataFrame, rounds: int = 12) -> pd.DataFrame:
-    """Two-centre k-means over (r, g, b, n), seeded with the farthest pair."""
-    x, n = colors[["r", "g", "b"]].to_numpy(float), colors["n"].to_numpy(float)
-    best, centres = -1.0, x[[0, 0]]
+def _extremes(hist: DataFrame) -> DataFrame:
+    """The colours of each image that can be an end of its longest distance. Distance is convex, so a colour between two
+    others on a line along an axis is none; nor is one whose farthest corner of the image's box is nearer than some two
+    colours are known to be apart."""
+    t = hist.select("image", "r", "g", "b")
+    for axis in "rgb":
+        line = Window.partitionBy("image", *[c for c in "rgb" if c != axis])  # at most 256 colours
+        t = t.withColumns({"lo": F.min(axis).over(line), "hi": F.max(axis).over(line)}).filter((F.col(axis) == F.col("lo")) | (F.col(axis) == F.col("hi"))).drop("lo", "hi")
+    t = keep(t)
+    looks = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) > (0, 0, 0)]
+    far = lambda a, b: sum((a[c] - b[c]) * (a[c] - b[c]) for c in "rgb")
+    ends = []
+    for x, y, z in looks:
+        along = x * F.col("r") + y * F.col("g") + z * F.col("b")
+        ends.append(far(F.max_by(F.struct("r", "g", "b"), along), F.min_by(F.struct("r", "g", "b"), along)))
+    box = t.groupBy("image").agg(F.greatest(*ends).alias("apart"), *[f(c).alias(f"{n}{c}") for c in "rgb" for n, f in (("lo", F.min), ("hi", F.max))])
+    corner = sum(F.pow(F.greatest(F.col(c) - F.col(f"lo{c}"), F.col(f"hi{c}") - F.col(c)), F.lit(2)) for c in "rgb")
+    return t.join(box, "image").filter(corner >= F.col("apart")).select("image", "r", "g", "b")
+
+
+def farthest(colors: pd.DataFrame) -> tuple[list[int], list[int]]:
+    """The two colours farthest apart, the first such pair in order of (r, g, b)."""
+    x = colors.sort_values(["r", "g", "b"])[["r", "g", "b"]].to_numpy(np.int64)
+    best, pair = -1, (0, 0)
     for at in range(0, len(x), 256):  # rows of the table of distances at a time
-        far = ((x[at : at + 256, None] - x[None]) ** 2).sum(-1)
-        if far.max() > best:
-            best, (i, j) = far.max(), divmod(int(far.argmax()), len(x))
-            centres = x[[at + i, j]]
-    for _ in range(rounds):
-        own = ((x[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
-        centres = np.array([(x[own == k] * n[own == k, None]).sum(0) / n[own == k].sum() if (own == k).any() else centres[k] for k in (0, 1)])
-    return colors.assign(centre=own)
-
-
-def two_tone(pixels: DataFrame) -> DataFrame:
-    """Which of two centres each colour of an image belongs to; one task handles an image's colours, not its pixels."""
-    hist = pixels.filter("a >= 16").groupBy("image", "r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
-    return hist.groupBy("image").applyInPandas(lambda p: two_centres(p.sort_values(["r", "g", "b"], ignore_index=True)), f"image {dict(pixels.dtypes)['image']}, r int, g int, b int, n long, centre int")
+        d = ((x[at : at + 256, None] - x[None]) ** 2).sum(-1)
+        if d.max() > best:
+            best, (i, j) = d.max(), divmod(int(d.argmax()), len(x))
+            pair = (at + i, j)
+    return x[pair[0]].tolist(), x[pair[1]].tolist()
+
+
+def two_tone(pixels: DataFrame, rounds: int = 12) -> DataFrame:
+    """Which of two centres each colour of an image belongs to (image, r, g, b, n, centre): k-means over the colours by
+    their pixels, from the two farthest apart. A round is one aggregation that leaves two rows for each image; only the
+    few colours at an image's edge meet in a task, for the first pair."""
+    hist = keep(pixels.filter("a >= 16").groupBy("image", *[F.col(c).cast("int").alias(c) for c in "rgb"]).agg(F.count(F.lit(1)).alias("n")))
+    kind = dict(pixels.dtypes)["image"]
+
+    def seeds(pdf: pd.DataFrame) -> pd.DataFrame:
+        pair = farthest(pdf)
+        return pd.DataFrame({"image": [pdf["image"].iloc[0]] * 2, "centre": [0, 1], **{c: [float(p[k]) for p in pair] for k, c in enumerate("rgb")}})
+
+    def owned(centres: DataFrame) -> DataFrame:
+        two = centres.groupBy("image").agg(*[F.max(F.when(F.col("centre") == k, F.struct("r", "g", "b"))).alias(f"c{k}") for k in (0, 1)])
+        d = lambda k: sum(F.pow(F.col(c) - F.col(f"c{k}.{c}"), F.lit(2)) for c in "rgb")
+        return hist.join(two, "image").withColumn("centre", F.when(d(1) < d(0), 1).otherwise(0)).select("image", "r", "g", "b", "n", "centre")
+
+    centres = keep(_extremes(hist).groupBy("image").applyInPandas(seeds, f"image {kind}, centre int, r double, g double, b double"))
+    for k in range(rounds):
+        last = owned(centres)
+        if k < rounds - 1:
+            moved = last.groupBy("image", "centre").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(f"new{c}") for c in "rgb"])
+            centres = keep(centres.join(moved, ["image", "centre"], "left").select("image", "centre", *[F.coalesce(f"new{c}", c).alias(c) for c in "rgb"]))
+    return last
 
 
 def face_marks(pixels: DataFrame, eye: Column, mouth: Column) -> DataFrame:

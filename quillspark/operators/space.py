@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import keep
+
 
 def near_pairs(points: DataFrame, reach: float = 3.0, by: list[str] | None = None) -> DataFrame:
     """Pairs (a, b) of points (id, x, y) nearer than ``reach``. Points meet in grid cells of that size and the eight
@@ -24,16 +26,47 @@ def nearest(points: DataFrame, x: float, y: float, reach: float) -> DataFrame:
     return points.withColumn("distance", d).filter(F.col("distance") <= reach).agg(F.min(F.struct("distance", "id")).alias("m")).select("m.id", "m.distance").filter("id is not null")
 
 
+#: Places that a cell of the first grid may hold.
+CROWD = 64
+_WAYS = [("down", 0, 1), ("left", -1, 0), ("right", 1, 0), ("up", 0, -1)]
+
+
 def nearest_in_direction(stops: DataFrame, cos: float = 0.5) -> DataFrame:
     """For each stop (world, id, x, y) and each of four directions, the nearest other stop of its world that lies within
-    the cone (cosine at least ``cos``)."""
-    a = stops.select("world", "id", "x", "y")
-    b = stops.select("world", F.col("id").alias("to"), F.col("x").alias("tx"), F.col("y").alias("ty"))
-    d = F.hypot(F.col("tx") - F.col("x"), F.col("ty") - F.col("y"))
-    dirs = F.array(*[F.struct(F.lit(n).alias("dir"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for n, dx, dy in (("down", 0, 1), ("left", -1, 0), ("right", 1, 0), ("up", 0, -1))])
-    both = a.join(b, "world").filter("id <> to").withColumn("d", d).filter("d > 0").withColumn("v", F.explode(dirs))
-    dot = ((F.col("tx") - F.col("x")) * F.col("v.dx") + (F.col("ty") - F.col("y")) * F.col("v.dy")) / F.col("d")
-    return both.filter(dot >= cos).groupBy("world", "id", F.col("v.dir").alias("dir")).agg(F.min_by("to", F.struct("d", "to")).alias("to"))
+    the cone (cosine at least ``cos``); ties to the smaller id.
+
+    A search over growing rings: a stop meets the places in its cell of a grid and the eight around it. What it finds
+    within a cell's length is the nearest for certain; else it goes on to a grid of twice the size, until that covers its
+    world. Places stand once however many stops they have, and the first grid is fine enough for the most crowded one.
+    """
+    p = stops.groupBy("world", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.min("id").alias("to"))
+    wide, high = F.max("x") - F.min("x"), F.max("y") - F.min("y")
+    size = p.groupBy("world").agg(F.greatest(wide, high).alias("span"), F.greatest(F.sqrt(wide * high / F.count(F.lit(1))), F.greatest(wide, high) / F.count(F.lit(1))).alias("cell"))
+    p = keep(p.join(size.filter("span > 0"), "world"))
+    level = 0
+    at = lambda c, k: F.floor(F.col(c) / (F.col("cell") * 2.0**k)).cast("long")
+    while level > -40 and (p.groupBy("world", at("x", level), at("y", level)).count().agg(F.max("count")).first()[0] or 0) > CROWD:
+        level -= 2
+    ways = F.array(*[F.struct(F.lit(n).alias("dir"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for n, dx, dy in _WAYS])
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    left, found = p.select("world", "x", "y", "span", "cell", F.explode(ways).alias("v")), None
+    while not (left := keep(left)).isEmpty():
+        cells = p.select("world", at("x", level).alias("cx"), at("y", level).alias("cy"), F.col("x").alias("tx"), F.col("y").alias("ty"), "to")
+        ask = left.withColumns({"cx": at("x", level), "cy": at("y", level), "s": F.explode(around)}).withColumns({"cx": F.col("cx") + F.col("s.i"), "cy": F.col("cy") + F.col("s.j")})
+        d = F.hypot(F.col("tx") - F.col("x"), F.col("ty") - F.col("y"))
+        dot = ((F.col("tx") - F.col("x")) * F.col("v.dx") + (F.col("ty") - F.col("y")) * F.col("v.dy")) / F.col("d")
+        near = ask.join(cells, ["world", "cx", "cy"]).withColumn("d", d).filter((F.col("d") > 0)).filter(dot >= cos)
+        best = near.groupBy("world", "x", "y", "v").agg(F.min(F.struct("d", "to")).alias("b"))
+        t = keep(left.join(best, ["world", "x", "y", "v"], "left"))
+        ring = F.col("cell") * 2.0**level
+        sure = (F.col("b.d") <= ring * (1 - 1e-9)) | (ring > F.col("span"))
+        got = t.filter(F.coalesce(sure, ring > F.col("span")) & F.col("b").isNotNull()).select("world", "x", "y", F.col("v.dir").alias("dir"), F.col("b.to").alias("to"))
+        found = got if found is None else found.unionByName(got)
+        left, level = t.filter(~F.coalesce(sure, ring > F.col("span"))).drop("b"), level + 1
+    if found is None:
+        found = p.select("world", "x", "y", F.lit("").alias("dir"), "to").limit(0)
+    placed = stops.select("world", "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return placed.join(found, ["world", "x", "y"]).select("world", "id", "dir", "to")
 
 
 def zone_of(points: DataFrame, zones: DataFrame, default: str = "", cell: float = 16.0) -> DataFrame:

@@ -829,6 +829,29 @@ def lines_before_contents(spark, d):
     return layout.contents_cut(_lines(spark, d)).select("book", "page_no", "line_no")
 
 
+_DIST = "(h.r - c.r) * (h.r - c.r) + (h.g - c.g) * (h.g - c.g) + (h.b - c.b) * (h.b - c.b)"
+
+
+def _tone_rounds(rounds: int) -> str:
+    """Centres c0, c1, ... and the colours' owners o0, o1, ... of k-means with two centres, round by round."""
+    owners = [f"o{k} AS MATERIALIZED (SELECT h.image, h.r, h.g, h.b, h.n, arg_min(c.centre, ({_DIST}, c.centre)) AS centre FROM hist h JOIN c{k} c USING (image) GROUP BY ALL)" for k in range(rounds)]
+    centres = [f"c{k + 1} AS MATERIALIZED (SELECT c.image, c.centre, coalesce(m.r, c.r) AS r, coalesce(m.g, c.g) AS g, coalesce(m.b, c.b) AS b FROM c{k} c LEFT JOIN (SELECT image, centre, sum(r * n) / sum(n) AS r, sum(g * n) / sum(n) AS g, sum(b * n) / sum(n) AS b FROM o{k} GROUP BY image, centre) m ON m.image = c.image AND m.centre = c.centre)" for k in range(rounds - 1)]
+    return ", ".join(x for k in range(rounds) for x in (owners[k], *centres[k : k + 1]))
+
+
+@query(f"""WITH {_PX}, hist AS MATERIALIZED (SELECT image, r, g, b, count(*) AS n FROM px WHERE a >= 16 GROUP BY ALL),
+pair AS (SELECT h.image, arg_min({{'a': h.r, 'b': h.g, 'c': h.b, 'x': c.r, 'y': c.g, 'z': c.b}}, (-({_DIST}), h.r, h.g, h.b, c.r, c.g, c.b)) AS p FROM hist h JOIN hist c ON h.image = c.image AND (h.r, h.g, h.b) <= (c.r, c.g, c.b) GROUP BY h.image),
+c0 AS MATERIALIZED (SELECT image, 0 AS centre, CAST(p.a AS DOUBLE) AS r, CAST(p.b AS DOUBLE) AS g, CAST(p.c AS DOUBLE) AS b FROM pair UNION ALL SELECT image, 1, p.x, p.y, p.z FROM pair), {_tone_rounds(12)}
+SELECT image, r, g, b, n, CAST(centre AS INT) AS centre FROM o11""")
+def two_tones(spark, d):
+    return raster.two_tone(_px(spark, d))
+
+
+@query(f"WITH {FAMILY}, {COUPLES}, {SIBLINGS} SELECT a AS person, count(*) AS siblings FROM siblings GROUP BY a")
+def sibling_counts(spark, d):
+    return graph.sibling_counts(family(spark, d), couples(spark, d))
+
+
 # --- streams, as batches ------------------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import chunking, layout, scan, signal
+from quillspark.operators import chunking, graph, layout, raster, scan, signal, space
 
 
 @pytest.fixture(autouse=True)
@@ -163,3 +163,70 @@ def test_filters_over_many_blocks(spark, monkeypatch):
     got = [x["v"] for x in signal.low_pass(df, F.col("hz")).orderBy("i").collect()]
     assert np.allclose(got, want, rtol=1e-12, atol=1e-12)
     assert np.allclose([x["v"] for x in signal.low_pass(df, F.col("hz"), high=True).orderBy("i").collect()], v - np.array(want), atol=1e-12)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cones_by_rings(spark, seed):
+    """Clusters, repeated places and a lone stop far off: the nearest in each cone is the one that all pairs give."""
+    r = random.Random(seed)
+    spots = [(r.uniform(0, 9), r.uniform(0, 9)) for _ in range(70)] + [(5 + r.random() / 1000, 5 + r.random() / 1000) for _ in range(90)] + [(5.0, 5.0)] * 4 + [(900.0, -700.0)]
+    rows = [(k % 2, k, *p) for k, p in enumerate(spots)] + [(7, 1000, 1.0, 1.0), (7, 1001, 1.0, 1.0), (8, 1002, 3.0, 3.0), (9, 1003, 0.0, 2.0), (9, 1004, 0.0, 5.0)]
+    want = {}
+    for w, i, x, y in rows:
+        for name, dx, dy in (("down", 0, 1), ("left", -1, 0), ("right", 1, 0), ("up", 0, -1)):
+            near = [(float(np.hypot(tx - x, ty - y)), j) for v, j, tx, ty in rows if v == w and (tx, ty) != (x, y) and ((tx - x) * dx + (ty - y) * dy) / float(np.hypot(tx - x, ty - y)) >= 0.5]
+            if near:
+                want[i, name] = min(near)[1]
+    got = space.nearest_in_direction(spark.createDataFrame(rows, "world int, id int, x double, y double")).collect()
+    assert {(g["id"], g["dir"]): g["to"] for g in got} == want
+    assert space.nearest_in_direction(spark.createDataFrame([], "world int, id int, x double, y double")).count() == 0
+
+
+def test_siblings_by_classes(spark):
+    r = random.Random(6)
+    links = sorted({(f"p{r.randint(0, 5)}", f"k{r.randint(0, 25)}") for _ in range(60)} | {("k1", "k2"), ("p0", "k2"), ("p0", "k1")})
+    married = [("k3", "k4"), ("k4", "k3"), ("k5", "z"), ("z", "k5")]
+    near = {x for a, b in links for x in ((a, b), (b, a))} | set(married)
+    want = {(a, b) for p, a in links for q, b in links if p == q and a != b} - near
+    rows, wed = spark.createDataFrame(links, "parent string, child string"), spark.createDataFrame(married, "a string, b string")
+    got = [(x["a"], x["b"]) for x in graph.siblings(rows, wed).collect()]
+    assert sorted(got) == sorted(want)
+    some = spark.createDataFrame([("k1",), ("k7",), ("nobody",)], "a string")
+    assert {(x["a"], x["b"]) for x in graph.siblings(rows, wed, some).collect()} == {(a, b) for a, b in want if a in ("k1", "k7")}
+    counts = {x["person"]: x["siblings"] for x in graph.sibling_counts(rows, wed).collect()}
+    assert counts == {a: len({b for x, b in want if x == a}) for a, _ in want}
+    whole = {(x["person"], x["row"]) for x in graph.trees(rows, wed).filter("ego = 'k1'").collect()}
+    assert {(x["person"], x["row"]) for x in graph.trees(rows, wed, some.filter("a = 'k1'")).collect()} == whole
+
+
+def test_a_family_of_very_many(spark):
+    """50,000 children of one parent: counts and one child's siblings without a row for each pair."""
+    rows = spark.range(50_000).select(F.lit("p").alias("parent"), F.concat(F.lit("k"), "id").alias("child"))
+    assert graph.sibling_counts(rows).groupBy("siblings").count().collect()[0] == (49_999, 50_000)
+    assert graph.siblings(rows, None, spark.createDataFrame([("k9",)], "a string")).count() == 49_999
+
+
+def plain_centres(colors, rounds=12):
+    colors = sorted(colors)
+    x, n = np.array([c[:3] for c in colors], float), np.array([c[3] for c in colors], float)
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    i, j = divmod(int(d.argmax()), len(x))
+    centres = x[[i, j]]
+    for _ in range(rounds):
+        own = ((x[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
+        centres = np.array([(x[own == k] * n[own == k, None]).sum(0) / n[own == k].sum() if (own == k).any() else centres[k] for k in (0, 1)])
+    return {(int(a), int(b), int(c)): int(o) for (a, b, c), o in zip(x, own, strict=True)}
+
+
+def test_two_tones(spark):
+    r = np.random.RandomState(4)
+    images = {0: r.randint(0, 256, (300, 3)), 1: r.randint(90, 99, (400, 3)), 2: np.array([[7, 7, 7]] * 5), 3: np.array([[0, 0, 0], [9, 0, 0], [0, 9, 0], [0, 0, 9]]), 4: r.randint(0, 3, (60, 3)) * 100}
+    rows = [(k, *map(int, c), 255) for k, cs in images.items() for c in cs] + [(0, 255, 255, 255, 0), (9, 1, 1, 1, 3)]
+    got = raster.two_tone(spark.createDataFrame(rows, "image int, r int, g int, b int, a int")).collect()
+    for k, cs in images.items():
+        counted = {}
+        for c in cs:
+            counted[tuple(map(int, c))] = counted.get(tuple(map(int, c)), 0) + 1
+        assert {(x["r"], x["g"], x["b"]): x["centre"] for x in got if x["image"] == k} == plain_centres([(*c, m) for c, m in counted.items()])
+        assert {(x["r"], x["g"], x["b"]): x["n"] for x in got if x["image"] == k} == counted
+    assert {x["image"] for x in got} == set(images)
