@@ -208,10 +208,10 @@ def headword_folds(spark, d):
     return codex.fold_headwords(e)
 
 
-_WORDS = f"w AS (SELECT DISTINCT unnest(string_split({sql_fold('text')}, ' ')) AS key FROM documents), e AS (SELECT key, CAST(length(key) // 3 AS BIGINT) AS kind FROM w)"
+_WORDS = f"w AS MATERIALIZED (SELECT DISTINCT unnest(string_split({sql_fold('text')}, ' ')) AS key FROM documents), e AS MATERIALIZED (SELECT key, CAST(length(key) // 3 AS BIGINT) AS kind FROM w)"
 
 
-@query(f"WITH {_WORDS} SELECT a.key, b.key AS target FROM e a JOIN e b ON a.key LIKE '%s' AND left(a.key, length(a.key) - 1) = b.key AND a.kind = b.kind")
+@query(f"WITH {_WORDS} SELECT a.key, b.key AS target FROM e a JOIN e b ON a.key = b.key || 's' AND a.kind = b.kind")
 def plural_folds(spark, d):
     w = table(spark, d, "documents").select(F.explode(F.split(tx.fold(F.col("text")), " ")).alias("key")).distinct()
     return codex.fold_plurals(w.withColumn("kind", F.expr("length(key) div 3")))
@@ -317,11 +317,11 @@ def person_vertices(spark, d):
     return p.select("person", F.array_join("parents", ",").alias("parents"), n("children"), F.array_join("spouses", ",").alias("spouses"), n("siblings"))
 
 
-@query("""WITH RECURSIVE d AS (SELECT DISTINCT 'r' || l_suppkey % 50 AS src, 'r' || l_partkey % 50 AS dst FROM lineitem WHERE l_partkey < 60), w AS (SELECT 'r1' AS room, 0 AS depth UNION ALL SELECT DISTINCT dst, depth + 1 FROM w JOIN d ON room = src WHERE depth < 3)
+@query("""WITH RECURSIVE d AS (SELECT DISTINCT 'r' || (l_suppkey * 31 + l_partkey % 9) % 997 AS src, 'r' || (l_partkey * 17 + l_suppkey % 7) % 997 AS dst FROM lineitem), w AS (SELECT 'r31' AS room, 0 AS depth UNION ALL SELECT DISTINCT dst, depth + 1 FROM w JOIN d ON room = src WHERE depth < 3)
 SELECT room, CAST(min(depth) AS INT) AS depth, room IN (SELECT src FROM d) AS has_exit FROM w GROUP BY room""")
 def rooms_within_three_doors(spark, d):
-    doors = table(spark, d, "lineitem").filter("l_partkey < 60").selectExpr("concat('r', l_suppkey % 50) AS src", "concat('r', l_partkey % 50) AS dst")
-    return graph.reachable(doors, "r1")
+    doors = table(spark, d, "lineitem").selectExpr("concat('r', (l_suppkey * 31 + l_partkey % 9) % 997) AS src", "concat('r', (l_partkey * 17 + l_suppkey % 7) % 997) AS dst")
+    return graph.reachable(doors, "r31")
 
 
 @query(f"WITH {FAMILY} SELECT parent AS ego, count(DISTINCT child) AS size, CAST(length(parent) AS BIGINT) AS n, CAST(row_number() OVER (ORDER BY count(DISTINCT child) DESC, length(parent) DESC, parent) AS INT) AS rank FROM family GROUP BY parent")
@@ -500,15 +500,15 @@ def hsl_colors(spark, d):
     return t.select("r", "g", "b", *[F.round(c, 6).alias(k) for k, c in raster.hsl(F.col("r"), F.col("g"), F.col("b")).items()])
 
 
-@query("SELECT l_suppkey AS sheet, array_to_string(list_sort(list_filter(range(16), lambda c: NOT list_contains(list(DISTINCT CAST(l_quantity AS INT) % 16) , c))), ',') AS missing FROM lineitem WHERE l_linenumber = 1 GROUP BY l_suppkey")
+@query("SELECT l_orderkey AS sheet, array_to_string(list_sort(list_filter(range(16), lambda c: NOT list_contains(list(DISTINCT CAST(l_quantity AS INT) % 16) , c))), ',') AS missing FROM lineitem GROUP BY l_orderkey")
 def missing_corner_codes(spark, d):
-    t = table(spark, d, "lineitem").filter("l_linenumber = 1").selectExpr("l_suppkey AS sheet", "int(l_quantity) % 16 AS code")
+    t = table(spark, d, "lineitem").selectExpr("l_orderkey AS sheet", "int(l_quantity) % 16 AS code")
     return raster.missing_codes(t).select("sheet", F.array_join("missing", ",").alias("missing"))
 
 
-@query("SELECT l_suppkey AS image, array_to_string(list_filter(['down', 'left', 'right', 'up'], lambda c: NOT list_contains(list(DISTINCT ['down', 'left', 'right', 'up'][CAST(l_quantity AS INT) % 4 + 1]), c)), ',') AS missing FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY l_suppkey")
+@query("SELECT l_orderkey AS image, array_to_string(list_filter(['down', 'left', 'right', 'up'], lambda c: NOT list_contains(list(DISTINCT ['down', 'left', 'right', 'up'][CAST(l_quantity AS INT) % 4 + 1]), c)), ',') AS missing FROM lineitem GROUP BY l_orderkey")
 def absent_directions(spark, d):
-    t = table(spark, d, "lineitem").filter("l_orderkey % 50 = 0").selectExpr("l_suppkey AS image", "element_at(array('down', 'left', 'right', 'up'), int(l_quantity) % 4 + 1) AS direction")
+    t = table(spark, d, "lineitem").selectExpr("l_orderkey AS image", "element_at(array('down', 'left', 'right', 'up'), int(l_quantity) % 4 + 1) AS direction")
     return raster.missing_directions(t).select("image", F.array_join("missing", ",").alias("missing"))
 
 
@@ -679,27 +679,44 @@ _CASE = "CASE WHEN token = upper(token) AND length(token) > 1 THEN upper({0}) WH
 _DELETED = "list_distinct(list_transform(range(1, length({0}) + 1), lambda i: substr({0}, 1, i - 1) || substr({0}, i + 1)))"
 
 
-@query(f"""WITH {_VOCAB}, tk AS (SELECT source AS book, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿŒœ’''-]+')) AS token FROM documents),
+_FIXED = f"""WITH {_VOCAB}, tk AS (SELECT source AS book, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿŒœ’''-]+')) AS token FROM documents),
 t AS MATERIALIZED (SELECT DISTINCT book, token, lower(token) AS low FROM tk WHERE length(regexp_replace(token, '[^A-Za-zÀ-ÿŒœ]', '', 'g')) >= 3),
 acc AS MATERIALIZED (SELECT {DEACCENT.format('word')} AS plain, arg_min(word, (-n, word)) AS form FROM v WHERE n >= 4 AND {DEACCENT.format('word')} <> word GROUP BY 1),
-r1 AS MATERIALIZED (SELECT t.*, form FROM t LEFT JOIN acc ON plain = {DEACCENT.format('low')} WHERE low NOT IN (SELECT word FROM v)),
+r0 AS MATERIALIZED (SELECT t.*, {DEACCENT.format('low')} AS bare FROM t LEFT JOIN v ON v.word = t.low WHERE v.word IS NULL),
+r1 AS MATERIALIZED (SELECT r0.book, r0.token, r0.low, form FROM r0 LEFT JOIN acc ON plain = bare),
 el AS (SELECT unnest(['l', 'd', 'j', 'n', 'm', 't', 's', 'c', 'qu']) AS p, unnest(range(9)) AS i),
-cd AS (SELECT book, token, low, i, p || '’' || substr(low, length(p) + 1) AS cand FROM r1, el WHERE form IS NULL AND starts_with(low, p) AND length(low) > length(p) + 1),
-ap AS (SELECT book, token, low, arg_min(f, (i, way)) AS form FROM (SELECT book, token, low, i, 0 AS way, cand AS f FROM cd WHERE cand IN (SELECT word FROM v) UNION ALL SELECT book, token, low, i, 1, form FROM cd JOIN acc ON plain = {DEACCENT.format('cand')}) GROUP BY book, token, low),
-r2 AS MATERIALIZED (SELECT book, token, low FROM r1 WHERE form IS NULL AND (book, token) NOT IN (SELECT book, token FROM ap)),
+cd AS MATERIALIZED (SELECT book, token, low, i, p || '’' || substr(low, length(p) + 1) AS cand FROM r1, el WHERE form IS NULL AND starts_with(low, p) AND length(low) > length(p) + 1),
+ap AS MATERIALIZED (SELECT book, token, low, arg_min(f, (i, way)) AS form FROM (SELECT book, token, low, i, 0 AS way, cand AS f FROM cd JOIN v ON word = cand UNION ALL SELECT book, token, low, i, 1, form FROM cd JOIN acc ON plain = {DEACCENT.format('cand')}) GROUP BY book, token, low),
+r2 AS MATERIALIZED (SELECT r1.book, r1.token, r1.low FROM r1 LEFT JOIN ap ON ap.book = r1.book AND ap.token = r1.token WHERE r1.form IS NULL AND ap.token IS NULL),
 ix AS (SELECT variant, word, n FROM (SELECT unnest({_DELETED.format('word')}) AS variant, word, n FROM v WHERE n >= 4 AND length(word) BETWEEN 4 AND 18) QUALIFY row_number() OVER (PARTITION BY variant ORDER BY word) <= 8),
-pr AS (SELECT DISTINCT book, token, unnest(list_append({_DELETED.format('low')}, low)) AS variant FROM r2 WHERE length(low) >= 4),
+pr AS MATERIALIZED (SELECT DISTINCT book, token, unnest(list_append({_DELETED.format('low')}, low)) AS variant FROM r2 WHERE length(low) >= 4),
 nr AS (SELECT book, token, word, max(n) AS n FROM pr JOIN ix USING (variant) GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER w AS rn, lead(n) OVER w AS second FROM nr WINDOW w AS (PARTITION BY book, token ORDER BY n DESC, word)),
-su AS (SELECT book, token, word FROM rk WHERE rn = 1 AND (second IS NULL OR n > 3 * second))
-SELECT book, token, token AS fixed, 'known' AS rule FROM t WHERE low IN (SELECT word FROM v) UNION ALL SELECT book, token, {_CASE.format('form')}, 'accents' FROM r1 WHERE form IS NOT NULL
+su AS MATERIALIZED (SELECT book, token, word FROM rk WHERE rn = 1 AND (second IS NULL OR n > 3 * second)), fx AS (
+SELECT book, token, token AS fixed, 'known' AS rule FROM t JOIN v ON v.word = t.low UNION ALL SELECT book, token, {_CASE.format('form')}, 'accents' FROM r1 WHERE form IS NOT NULL
 UNION ALL SELECT book, token, {_CASE.format('form')}, 'apostrophe' FROM ap UNION ALL SELECT book, token, {_CASE.format('word')}, 'distance1' FROM su
-UNION ALL SELECT book, token, token, 'unknown' FROM r2 WHERE (book, token) NOT IN (SELECT book, token FROM su)""")
+UNION ALL SELECT r2.book, r2.token, r2.token, 'unknown' FROM r2 LEFT JOIN su ON su.book = r2.book AND su.token = r2.token WHERE su.token IS NULL)"""
+
+
+@query(f"{_FIXED} SELECT * FROM fx")
 def token_corrections(spark, d):
     docs = table(spark, d, "documents")
+    return ocr.corrections(_tokens(docs), layout.vocabulary(docs))
+
+
+def _tokens(docs):
     tokens = docs.select(F.col("source").alias("book"), F.explode(F.regexp_extract_all("text", F.lit(f"({ocr.WORD})"), 1)).alias("token"))
-    tokens = tokens.filter(F.length(F.regexp_replace("token", "[^A-Za-zÀ-ÿŒœ]", "")) >= 3)
-    return ocr.corrections(tokens, layout.vocabulary(docs))
+    return tokens.filter(F.length(F.regexp_replace("token", "[^A-Za-zÀ-ÿŒœ]", "")) >= 3)
+
+
+@query(f"""{_FIXED}, us AS (SELECT tk.book, rule, count(*) AS n FROM tk JOIN fx ON fx.book = tk.book AND fx.token = tk.token GROUP BY ALL)
+SELECT book, CAST(sum(n) AS BIGINT) AS tokens, CAST(coalesce(sum(n) FILTER (rule <> 'known'), 0) AS BIGINT) AS unknown_before, CAST(coalesce(sum(n) FILTER (rule = 'unknown'), 0) AS BIGINT) AS unknown_after,
+CAST(coalesce(sum(n) FILTER (rule NOT IN ('known', 'unknown')), 0) AS BIGINT) AS fixed, CAST(0 AS BIGINT) AS protected FROM us GROUP BY book""")
+def repair_counts(spark, d):
+    docs = table(spark, d, "documents")
+    tokens = _tokens(docs)
+    used = tokens.join(ocr.corrections(tokens, layout.vocabulary(docs)), ["book", "token"]).groupBy("book", "rule").agg(F.count(F.lit(1)).alias("n"))
+    return ocr.repair_totals(used)
 
 
 # --- settings, prompts and stand-ins ------------------------------------------------------------------------------------
@@ -758,11 +775,11 @@ def scene_findings(spark, d):
     return quality.scenes(steps, there, waves).groupBy("check", "subject").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {_PX}, q AS (SELECT image, x // 2 AS x, y // 2 AS y, max(r) AS r, max(g) AS g, max(b) AS b FROM px WHERE frame = 1 GROUP BY ALL), g AS (SELECT image, 2 * q.x + i AS x, 2 * q.y + j AS y, r, g, b FROM q, range(2) a(i), range(2) b(j)),
+@query(f"""WITH {_PX}, q AS (SELECT image, x // 2 AS x, y // 2 AS y, max(r) AS r, max(g) AS g, max(b) AS b FROM px GROUP BY ALL), g AS (SELECT image, 2 * q.x + i AS x, 2 * q.y + j AS y, r, g, b FROM q, range(2) a(i), range(2) b(j)),
 sz AS (SELECT image, max(x) + 1 AS w, max(y) + 1 AS h, count(DISTINCT (r, g, b)) AS k FROM g GROUP BY image), tr AS (SELECT g.*, n FROM g JOIN sz USING (image), (SELECT unnest([16, 12, 10, 8, 6, 5, 4, 3, 2]) AS n) WHERE k >= 4 AND w % n = 0 AND h % n = 0),
 bl AS (SELECT image, n, min(r * 65536 + g * 256 + b) = max(r * 65536 + g * 256 + b) AS flat FROM tr GROUP BY image, n, x // n, y // n), ok AS (SELECT image, n FROM bl GROUP BY image, n HAVING bool_and(flat)) SELECT sz.image, CAST(coalesce(max(n), 1) AS INT) AS block FROM sz LEFT JOIN ok USING (image) GROUP BY sz.image""")
 def upscale_factors(spark, d):
-    small = _px(spark, d).filter("frame = 1").groupBy("image", F.expr("x div 2").alias("x"), F.expr("y div 2").alias("y")).agg(*[F.max(c).alias(c) for c in "rgb"])
+    small = _px(spark, d).groupBy("image", F.expr("x div 2").alias("x"), F.expr("y div 2").alias("y")).agg(*[F.max(c).alias(c) for c in "rgb"])
     big = small.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(1))))
     return raster.block_size(big.selectExpr("image", "2 * x + i AS x", "2 * y + j AS y", "r", "g", "b", "255 AS a"))
 
@@ -772,10 +789,25 @@ def upscale_factors(spark, d):
 _NOTES = [f"{n}{b}{o}" for n in "CDEFGAB" for b in ("", "#", "b") for o in (1, 4, 7)]
 
 
-@query("SELECT note, round(440 * 2 ** ((CASE left(note, 1) WHEN 'C' THEN 0 WHEN 'D' THEN 2 WHEN 'E' THEN 4 WHEN 'F' THEN 5 WHEN 'G' THEN 7 WHEN 'A' THEN 9 ELSE 11 END + CASE substr(note, 2, 1) WHEN '#' THEN 1 WHEN 'b' THEN -1 ELSE 0 END + 12 * (CAST(right(note, 1) AS INT) - 4) - 9) / 12.0), 6) AS hz FROM (SELECT unnest([" + ", ".join(map(lit, _NOTES)) + "]) AS note)")
+@query("WITH n AS (SELECT event_id, [" + ", ".join(map(lit, _NOTES)) + """][event_id % 63 + 1] AS note FROM events)
+SELECT event_id, note, round(440 * 2 ** ((CASE left(note, 1) WHEN 'C' THEN 0 WHEN 'D' THEN 2 WHEN 'E' THEN 4 WHEN 'F' THEN 5 WHEN 'G' THEN 7 WHEN 'A' THEN 9 ELSE 11 END + CASE substr(note, 2, 1) WHEN '#' THEN 1 WHEN 'b' THEN -1 ELSE 0 END + 12 * (CAST(right(note, 1) AS INT) - 4) - 9) / 12.0), 6) AS hz FROM n""")
 def note_frequencies(spark, d):
-    t = table(spark, d, "region").filter("r_regionkey = 0").select(F.explode(F.array(*map(F.lit, _NOTES))).alias("note"))
-    return t.select("note", F.round(signal.note_hz(F.col("note")), 6).alias("hz"))
+    t = table(spark, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, _NOTES)), (F.col("event_id") % 63 + 1).cast("int")).alias("note"))
+    return t.select("event_id", "note", F.round(signal.note_hz(F.col("note")), 6).alias("hz"))
+
+
+@query("""SELECT event_id, round(list_sum(list_transform(range(1, 13), lambda k: sin(value / 10 * k) * 2 * sin(pi() * k * 0.3) / (pi() * k))), 6) AS pulse,
+round(list_sum(list_transform(range(6), lambda k: sin(value / 10 * (2 * k + 1)) * CASE WHEN k % 2 = 0 THEN 8 ELSE -8 END / (pi() * (2 * k + 1)) ** 2)), 6) AS triangle, round(440 * (1 + 0.02 * sin(2 * pi() * 5.5 * value / 100)), 6) AS hz FROM events""")
+def wave_forms(spark, d):
+    phase = F.col("value") / 10
+    hz = signal.vibrato(F.lit(440.0), F.col("value") / 100, 0.02, 5.5)
+    return table(spark, d, "events").select("event_id", F.round(signal.pulse(phase, 0.3), 6).alias("pulse"), F.round(signal.triangle(phase), 6).alias("triangle"), F.round(hz, 6).alias("hz"))
+
+
+@query("SELECT user_id AS sound, event_id AS i, round(sum(2 * pi() * (value + 20) / 22050) OVER (PARTITION BY user_id ORDER BY event_id), 6) AS phase FROM events")
+def glide_phases(spark, d):
+    t = table(spark, d, "events").selectExpr("user_id AS sound", "event_id AS i", "value")
+    return signal.glide(t, F.col("value") + 20).select("sound", "i", F.round("phase", 6).alias("phase"))
 
 
 @query("""SELECT event_id, round(CASE WHEN value / 100 >= 2.5 THEN 0 WHEN value / 100 < 0.005 THEN value / 100 / 0.005 ELSE exp(-5 * (value / 100 - 0.005) / (2.5 - 0.005)) * (1 - (value / 100 - 0.005) / (2.5 - 0.005)) END, 9) AS e,
