@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +34,15 @@ def vectors_usable(chunks: DataFrame, vectors: DataFrame) -> bool:
     return chunks.count() == vectors.count()
 
 
+def search_pools(chunks: DataFrame, vectors: DataFrame, lexical: DataFrame, semantic: Callable[[], DataFrame]) -> list[tuple[str, DataFrame]]:
+    """The rankings that a search fuses: both, or the lexical one alone, with a warning, where the vectors don't match the
+    chunks. ``semantic`` is only called if they do."""
+    if vectors_usable(chunks, vectors):
+        return pools(lexical, semantic())
+    warnings.warn("the vectors are out of step with the chunks: the search is lexical only", RuntimeWarning, stacklevel=2)
+    return pools(lexical, None)
+
+
 def ranks(hits: DataFrame, via: str) -> DataFrame:
     """Ranks from 0 of a limited result (doc, score)."""
     order = Window.orderBy(F.desc("score"), "doc")  # over the rows of a limit

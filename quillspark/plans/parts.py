@@ -763,6 +763,26 @@ def answer_context(spark, d):
     return semantic.context(t)
 
 
+@query("""WITH c AS (SELECT p_partkey AS pos, '### ' || p_name || ' (' || p_type || ')' || chr(10) || 'Alias : ' || p_brand || ', ' || p_type || chr(10) || p_brand || CASE WHEN p_partkey % 3 = 0 THEN chr(10) || 'Évolution : grows ' || p_size ELSE '' END
+|| CASE WHEN p_size % 9 > 0 THEN chr(10) || 'Liens : ' || array_to_string(list_transform(range(least(p_size % 9, 6)), lambda k: 'n' || k || ' — kin'), ' · ') ELSE '' END || chr(10) || 'Apparaît dans : v' || p_size || ', v' || (p_size + 1) AS part FROM part),
+b AS (SELECT 0 AS n, 'text' AS type, NULL AS title, NULL AS context, 'CODEX — fiches de synthèse (contexte, non citable comme texte du roman)' || chr(10) || chr(10) || string_agg(part, chr(10) || chr(10) ORDER BY pos) AS text FROM c
+UNION ALL SELECT 1, 'text', NULL, NULL, 'EXTRAITS — ' || count(*) || ' passages retrouvés dans les romans, numérotés [1] à [' || count(*) || '].' FROM benchmark
+UNION ALL SELECT item_id + 2, 'document', '[' || (item_id + 1) || '] r' || item_id, 'volume ' || item_id % 4, text FROM benchmark UNION ALL SELECT 1000000, 'text', NULL, NULL, 'QUESTION' || chr(10) || 'Qui ?') SELECT row_number() OVER (ORDER BY n) - 1 AS n, type, title, context, text FROM b""")
+def answer_message(spark, d):
+    cards = table(spark, d, "part").selectExpr(
+        "p_partkey AS pos", "p_name AS name", "p_type AS kind", "array(p_brand, p_type) AS aliases", "p_brand AS gloss", "'' AS description", "if(p_partkey % 3 = 0, concat('grows ', p_size), '') AS arc",
+        "transform(filter(sequence(0, 8), k -> k < p_size % 9), k -> named_struct('name', concat('n', k), 'nature', 'kin')) AS relations", "array(concat('v', p_size), concat('v', p_size + 1)) AS volumes",
+    )
+    passages = table(spark, d, "benchmark").selectExpr("item_id AS pos", "concat('r', item_id) AS ref", "text", "concat('volume ', item_id % 4) AS volume")
+    return semantic.message("Qui ?", passages, cards)
+
+
+@query("""SELECT 'Règles' || chr(10) || chr(10) || 'Limite de lecture : jusqu''à « ' || max(n_name) FILTER (n_nationkey = 11) || ' » inclus. Ne révèle rien de ce qui suit, à partir de « ' || max(n_name) FILTER (n_nationkey = 12) || ' ».' AS prompt FROM nation""")
+def prompt_with_limit(spark, d):
+    volumes = table(spark, d, "nation").select(F.col("n_nationkey").alias("order"), F.col("n_name").alias("label"))
+    return semantic.system_prompt("Règles", semantic.spoiler_rule(volumes, 11))
+
+
 @query("""WITH s AS (SELECT o_orderstatus AS scene, o_orderkey AS step, o_custkey % 7 AS speaker, o_custkey % 2 = 0 AS required, CASE WHEN o_custkey % 5 = 0 THEN o_custkey % 11 END AS wave, CASE WHEN o_custkey % 13 > 0 THEN 'x' END AS cond FROM orders),
 r AS (SELECT DISTINCT o_orderstatus AS scene, o_orderkey AS step, (o_custkey * 3) % 7 AS who FROM orders), f AS (SELECT 'required speaker absent' AS "check", scene FROM s WHERE required AND (scene, step, speaker) NOT IN (SELECT scene, step, who FROM r)
 UNION ALL SELECT 'speaker absent', scene FROM s WHERE NOT required AND (scene, step, speaker) NOT IN (SELECT scene, step, who FROM r) UNION ALL SELECT 'unknown wave', scene FROM s WHERE wave IS NOT NULL AND wave > 6 UNION ALL SELECT 'step without condition', scene FROM s WHERE cond IS NULL)

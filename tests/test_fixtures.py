@@ -427,3 +427,30 @@ def test_moving_cutoff(spark):
     assert max(abs(got[k]) for k in range(200)) < 0.01 < 0.5 < max(abs(got[k]) for k in range(300, 400))
     same = [r["v"] for r in signal.low_pass(rows, 500.0).orderBy("i").collect()]
     assert same == [r["v"] for r in signal.low_pass(rows, F.lit(500.0)).orderBy("i").collect()]
+
+
+def test_search_is_lexical_where_vectors_do_not_match(spark):
+    lexical_hits = spark.createDataFrame([(1, 2.0), (2, 1.0)], "doc long, score double")
+    other = spark.createDataFrame([(2, 0.9)], "doc long, score double")
+    assert [n for n, _ in dense.search_pools(spark.range(3), spark.range(3), lexical_hits, lambda: other)] == ["lexical", "semantic"]
+    with pytest.warns(RuntimeWarning, match="lexical only"):
+        pools = dense.search_pools(spark.range(3), spark.range(2), lexical_hits, lambda: 1 / 0)
+    assert [n for n, _ in pools] == ["lexical"]
+    assert [r["doc"] for r in dense.fuse(*pools).orderBy(*dense.fused_order(["lexical"])).collect()] == [1, 2]
+
+
+def test_message_without_cards_or_passages(spark):
+    cards = spark.createDataFrame([], "pos int, name string, kind string, aliases array<string>, gloss string, description string, arc string, relations array<struct<name: string, nature: string>>, volumes array<string>")
+    passages = spark.createDataFrame([], "pos int, ref string, text string, volume string")
+    rows = semantic.message("Qui ?", passages, cards).orderBy("n").collect()
+    assert [(r["n"], r["type"], r["text"]) for r in rows] == [(0, "text", semantic.NO_PASSAGES), (1, "text", "QUESTION\nQui ?")]
+    card = spark.createDataFrame([(0, "Mirel", "personnage", [], "g", None, None, None, ["I"])], cards.schema)
+    assert semantic.message("?", passages, card).orderBy("n").first()["text"] == semantic.CARDS_HEAD + "\n\n### Mirel (personnage)\ng\nApparaît dans : I"
+
+
+def test_spoiler_rule_names_volumes(spark):
+    volumes = spark.createDataFrame([(1, "Un"), (2, "Deux"), (3, "Trois")], "order int, label string")
+    rule = lambda k: semantic.spoiler_rule(volumes, k).first()["rule"]
+    assert rule(None) == rule(0) == rule(3) == ""
+    assert "« Deux » inclus" in rule(2) and "à partir de « Trois »" in rule(2)
+    assert semantic.system_prompt("R", semantic.spoiler_rule(volumes, None)).first()["prompt"] == "R"
