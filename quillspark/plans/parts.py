@@ -12,7 +12,7 @@ from ..operators.scratch import folder
 from ..sources import files
 from ..streaming import events as ev
 from .registry import query
-from .tables import BM25, COUPLES, DEACCENT, FAMILY, MENTIONS, PARTS, SIBLINGS, chunks, couples, entries, family, kin_rows, lit, mentions, question, sql_fold, sql_tokens, table
+from .tables import BM25, COUPLES, DEACCENT, FAMILY, MENTIONS, NAMES, PARTS, SIBLINGS, chunks, couples, entries, family, kin_rows, lit, mentions, question, sql_fold, sql_tokens, table
 
 # --- text functions -----------------------------------------------------------------------------------------------------
 
@@ -535,6 +535,29 @@ def normalised_sounds(spark, d):
     return signal.normalise(t, 0.8).select("sound", "i", F.round("v", 6).alias("v"))
 
 
+_FOUND = f"""{NAMES}, f AS (SELECT key, min((idx, pos)) AS place FROM nm WHERE length(key) >= 3 GROUP BY key), q0 AS (SELECT 'econmy small ring' AS q),
+h0 AS (SELECT place, CASE WHEN contains(' ' || q || ' ', ' ' || key || ' ') THEN 100 + length(key) WHEN NOT contains(key, ' ') AND length(key) >= 5 AND len(list_filter(string_split(q, ' '), lambda w: levenshtein(w, key) = 1)) > 0 THEN 90 + length(key) END AS score FROM f, q0),
+hit AS (SELECT struct_extract(place, 1) AS idx, CAST(arg_max(score, place) AS DOUBLE) AS score FROM h0 WHERE score IS NOT NULL GROUP BY 1),
+d AS (SELECT idx AS doc, {sql_tokens("name || ' — ' || kind || chr(10) || 'Aussi appelé : ' || array_to_string(aliases, ', ') || chr(10) || gloss")} AS ws FROM ent), q AS (SELECT DISTINCT unnest({sql_tokens("'Econmy, small ring!'")}) AS term),
+st AS (SELECT count(*) AS n, sum(len(ws)) / count(*) AS avgdl FROM d), tf AS (SELECT doc, len(ws) AS dl, term, len(list_filter(ws, lambda w: w = term)) AS tf FROM d, q WHERE list_contains(ws, term)), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+ranked AS (SELECT doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN df USING (term), st GROUP BY doc)"""
+
+
+def _search(most: int, limit: str = "true") -> str:
+    return f"""SELECT idx, score, exact FROM (SELECT idx, score, true AS exact FROM hit UNION ALL SELECT doc, score, false FROM (SELECT * FROM ranked ORDER BY score DESC, doc LIMIT {3 * most}) WHERE doc NOT IN (SELECT idx FROM hit))
+WHERE idx IN (SELECT idx FROM ent WHERE {limit}) ORDER BY score DESC, idx LIMIT {most}"""
+
+
+@query(f"WITH {_FOUND} {_search(30, 'first <= 20')}")
+def card_search(spark, d):
+    return codex.search_cards("Econmy, small ring!", entries(spark, d), 30, 20)
+
+
+@query(f"WITH {_FOUND}, s AS ({_search(3)}) SELECT 'Econmy, small ring!' || coalesce(' ' || string_agg(aliases[1] || ' ' || aliases[2], ' ' ORDER BY score DESC, idx), '') AS query FROM s JOIN ent USING (idx) WHERE exact")
+def expanded_query(spark, d):
+    return codex.expand_query("Econmy, small ring!", entries(spark, d))
+
+
 # --- pages, files, findings ---------------------------------------------------------------------------------------------
 
 _LINES = r"""raw AS (SELECT page_id % 5 AS book, page_id AS page_no, unnest(string_split(html, chr(10))) AS raw, generate_subscripts(string_split(html, chr(10)), 1) - 1 AS line_no FROM pages),
