@@ -109,6 +109,7 @@ def linear_trees(turns: DataFrame, tree: str = "conv_id", turn: str = "turn", ro
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one made of control strings, formatted and read back; null texts count as empty."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     turns = turns.unionByName(spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], turns.schema))

@@ -65,6 +65,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact dedup of all documents: null texts count as empty, rows that repeat an id are one of a group each, an
+    empty table gives no rows."""
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), digests=True)
 
 

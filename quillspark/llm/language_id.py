@@ -219,5 +219,7 @@ def language_id(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted languages of all documents, learned outside the held-out fold; null texts and texts without letters
+    are ``und``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return language_id(docs, train(docs, vocabulary(VOCABULARY)))

@@ -250,4 +250,5 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents; null and empty texts have none, rows that repeat an id are looked at each."""
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -433,4 +433,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that repeat others, short ones by equal forms; see :func:`line_dedup` for nulls
+    and repeated ids."""
     return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), finer=True, short=True)

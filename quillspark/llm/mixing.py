@@ -162,5 +162,7 @@ def _rounded(frame: DataFrame, per: DataFrame, cap: int, seed: int) -> DataFrame
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document; null texts have none, a null source is a source, rows that
+    repeat an id are treated alike."""
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "rate")

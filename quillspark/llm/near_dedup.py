@@ -259,6 +259,8 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates of all documents by two-word shingles at 80 percent; see :func:`near_dedup` for nulls, empty
+    texts and repeated ids."""
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2)
 
 

@@ -236,4 +236,6 @@ def vocabulary(name: str = VOCABULARY) -> str:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of at most 2048 tokens; null texts count as empty, rows that repeat an id
+    are documents each."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary())

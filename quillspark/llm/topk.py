@@ -109,6 +109,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors for each vector whose id is divisible by 50; see :func:`top_k` for nulls, ties and
+    repeated ids."""
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 50 == 0)
 
 
