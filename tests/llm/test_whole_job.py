@@ -49,15 +49,15 @@ def test_short_lines_repeat_by_exact_form(spark):
 
 
 def walk(spark, docs):
-    """The walk in order of ids, with the smallest kept twin."""
+    """The walk in order of ids, with the first kept twin by key, then by id."""
     kept, out = [], {}
     for r in sorted(dedup.sketches(docs).collect(), key=lambda r: r["id"]):
         grams, sk = set(r["grams"]), list(r["sketch"])
-        keys = {tuple(sk[b : b + 3]) for b in range(0, len(sk) - 2, 3)}
-        same = [] if len(grams) < 60 else [i for i, g, k in kept if k & keys and len(g & grams) / min(len(g), len(grams)) >= 0.6]
-        out[r["id"]] = (not same, min(same, default=None))
+        keys = [tuple(sk[b : b + 3]) for b in range(0, len(sk) - 2, 3)]
+        same = [] if len(grams) < 60 else [(keys.index(x), i) for i, g, k in kept for x in keys if x in k and len(g & grams) / min(len(g), len(grams)) >= 0.6]
+        out[r["id"]] = (not same, min(same)[1] if same else None)
         if not same and len(grams) >= 60:
-            kept.append((r["id"], grams, keys))
+            kept.append((r["id"], grams, set(keys)))
     return out
 
 
