@@ -209,6 +209,16 @@ def reachable(doors: DataFrame, start: str, depth: int = 3) -> DataFrame:
     return seen.join(back, "room", "left").select("room", "depth", F.coalesce("exit", F.lit(False)).alias("has_exit"))
 
 
+def browse(index: DataFrame, saga: int | None = None, needle: str = "") -> DataFrame:
+    """Trees (name, gloss, sagas) of a saga whose name or gloss holds the needle, accents and case aside; a control left
+    empty is no condition."""
+    out = index.filter(F.array_contains("sagas", saga)) if saga else index
+    if needle.strip():
+        q = fold(F.trim(F.lit(needle)))
+        out = out.filter(F.contains(fold(F.coalesce("name", F.lit(""))), q) | F.contains(fold(F.coalesce("gloss", F.lit(""))), q))
+    return out
+
+
 def tree_index(members: DataFrame, books: DataFrame) -> DataFrame:
     """Trees by size, then books (person, n), most first."""
     sizes = members.groupBy("ego").agg(F.count_distinct("person").alias("size"))

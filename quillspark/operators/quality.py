@@ -23,6 +23,14 @@ def failed(findings: DataFrame) -> bool:
     return not findings.filter(F.col("severity") == FAULT).isEmpty()
 
 
+def summary(findings: DataFrame) -> DataFrame:
+    """Findings counted: faults and notices of each check, and of all (check null), and whether they stop a build. One row
+    for all is there even without findings."""
+    counts = [F.count_if(F.col("severity") == s).alias(f"{s}s") for s in (FAULT, NOTICE)]
+    each = findings.groupBy("check").agg(*counts)
+    return each.unionByName(findings.agg(F.lit(None).cast("string").alias("check"), *counts)).withColumn("failed", F.col("faults") > 0)
+
+
 def unknown(rows: DataFrame, col: str, known: DataFrame, known_col: str, check: str, subject: str) -> DataFrame:
     """References to what is not there."""
     lost = rows.filter(F.col(col).isNotNull()).join(known.select(F.col(known_col).alias(col)).distinct(), col, "left_anti")

@@ -16,6 +16,8 @@ from .scratch import keep
 RATE = 22_050
 #: The generator's step and increment.
 STEP, MORE, MODULUS = 1_664_525, 1_013_904_223, 1 << 32
+#: Samples in a block of a filter's scan, or of noise.
+BLOCK = 1 << 16
 
 
 def ticks(spark, sounds: DataFrame) -> DataFrame:
@@ -24,10 +26,20 @@ def ticks(spark, sounds: DataFrame) -> DataFrame:
     return sounds.select("sound", "seconds", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("i")).withColumn("t", F.col("i") / RATE)
 
 
-def noise(seed: int, n: int) -> np.ndarray:
-    """The generator's first n values in -1 to 1; a seed of 0 counts as 1. Jumps of 2**k steps make it a few array
-    operations."""
-    state = np.array([((seed % MODULUS or 1) * STEP + MORE) % MODULUS], np.uint64)
+def jump(state: int, steps: int) -> int:
+    """The generator's state so many steps on, by squaring the step's affine map."""
+    a, c = STEP, MORE
+    while steps:
+        if steps & 1:
+            state = (state * a + c) % MODULUS
+        a, c, steps = a * a % MODULUS, (a * c + c) % MODULUS, steps >> 1
+    return state
+
+
+def noise(seed: int, n: int, skip: int = 0) -> np.ndarray:
+    """The generator's n values in -1 to 1 after the first ``skip``; a seed of 0 counts as 1. Jumps of 2**k steps make it a
+    few array operations."""
+    state = np.array([jump(seed % MODULUS or 1, skip + 1)], np.uint64)
     a, c = STEP, MORE
     while len(state) < n:
         state = np.concatenate([state, (state * np.uint64(a) + np.uint64(c)) % np.uint64(MODULUS)])
@@ -35,6 +47,22 @@ def noise(seed: int, n: int) -> np.ndarray:
     return state[:n] / MODULUS * 2 - 1
 
 
+def hiss(sounds: DataFrame) -> DataFrame:
+    """Noise (sound, i, v) for sounds (sound, seed, seconds). A long sound is made in blocks, each of which jumps to its
+    place in the generator's sequence, so it may lie in many tasks. Null seeds or lengths give no rows."""
+    kind, n = dict(sounds.dtypes)["sound"], F.greatest(F.lit(1), F.floor(F.col("seconds") * RATE + 0.5)).cast("long")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(BLOCK).cast("long")))
+    blocks = sounds.filter("seed is not null and seconds is not null").select("sound", F.col("seed").cast("long").alias("seed"), n.alias("n"), starts.alias("at"))
+
+    def run(batches):
+        for b in batches:
+            for sound, seed, n, at in zip(b["sound"], b["seed"], b["n"], b["at"], strict=True):
+                v = noise(int(seed), int(min(BLOCK, n - at)), int(at))
+                yield pd.DataFrame({"i": np.arange(at, at + len(v)), "v": v}).assign(sound=sound)[["sound", "i", "v"]]
+
+    return blocks.mapInPandas(run, f"sound {kind}, i long, v double")
+
+
 def envelope(t: Column, seconds: Column, attack: float = 0.005, curve: float = 5.0) -> Column:
     """Rises in ``attack`` seconds, then falls off exponentially to 0 at the end."""
     u = (t - attack) / (seconds - attack)
@@ -90,10 +118,6 @@ def normalise(rows: DataFrame, target: float) -> DataFrame:
     return rows.join(peak, "sound").select("sound", "i", F.when(F.col("peak") < 1e-9, F.col("v")).otherwise(F.col("v") * target / F.col("peak")).alias("v"))
 
 
-#: Samples in a block of a filter's scan.
-BLOCK = 1 << 16
-
-
 def affine(keeps: np.ndarray, adds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefixes of the maps y -> keeps * y + adds, applied one after the other: for each place the map from the start to
     there. Maps are composed over distances of 1, 2, 4 and so on, so there is no step for each sample."""

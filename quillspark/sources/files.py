@@ -87,9 +87,12 @@ def settings(lines: DataFrame) -> DataFrame:
     return t.groupBy("name").agg(F.min_by("value", "n").alias("value"))
 
 
-def palette(text: Column) -> Column:
-    """Distinct #rrggbb colours of a text, in order."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(#[0-9A-Fa-f]{6})\b"), 1))
+def palette(text: Column, least: int = 0) -> Column:
+    """Distinct #rrggbb colours of a text, in order; fewer than ``least`` are an error."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(#[0-9A-Fa-f]{6})\b"), 1))
+    if not least:
+        return found
+    return F.when(F.size(found) >= least, found).otherwise(F.raise_error(F.concat(F.size(found).cast("string"), F.lit(f" colours, {least} are needed"))))
 
 
 #: Fixed patterns: keys that must not be published, and files that must not.

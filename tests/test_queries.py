@@ -6,10 +6,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quillspark.plans import parts, registry
+from quillspark.plans import details, parts, registry
 
 
-assert parts  # adds its queries to the registry
+assert parts and details  # add their queries to the registry
 
 
 @pytest.fixture(scope="module")
