@@ -276,7 +276,7 @@ _WORDS = "list_filter(string_split(text, ' '), lambda w: w <> '')"
 
 
 @query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents), m AS (SELECT doc_id, list_avg(list_transform(ws, lambda w: length(w))) AS a, list_avg(list_transform(ws, lambda w: unicode(w) % 13)) AS b, 1.0 AS c FROM w WHERE len(ws) > 0)
-SELECT doc_id AS id, round(a / sqrt(a * a + b * b + 1), 4) AS x, round(b / sqrt(a * a + b * b + 1), 4) AS y, round(1 / sqrt(a * a + b * b + 1), 4) AS z FROM m""")
+SELECT doc_id AS id, round(CAST(CAST(a / sqrt(a * a + b * b + 1) AS FLOAT) AS DOUBLE), 4) AS x, round(CAST(CAST(b / sqrt(a * a + b * b + 1) AS FLOAT) AS DOUBLE), 4) AS y, round(CAST(CAST(1 / sqrt(a * a + b * b + 1) AS FLOAT) AS DOUBLE), 4) AS z FROM m""")
 def mean_pooled(spark, d):
     """Vectors of words (length, first sign, 1) in place of a model's, pooled and scaled."""
     model = lambda texts: [[[len(w), ord(w[0]) % 13, 1] for w in t.split(" ") if w] for t in texts]
