@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ CAPACITY = 2048
 END = 0
 #: Distinct words whose ids a worker keeps; it starts anew beyond that.
 CACHED_WORDS = 400_000
+#: Bytes of text that a worker tokenizes at a time, unless a single text is longer, as its arrays take many times as much.
+PORTION = 1 << 22
 
 
 @lru_cache(maxsize=2)
@@ -32,19 +35,22 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: Words that are tokenized as one text, with spaces between them, which takes half the time of so many texts.
-JOINED = 128
+#: Words that are tokenized as one text, with spaces between them, which takes half the time of so many texts; and how
+#: many such texts are tokenized at once, as what the tokenizer returns is large.
+JOINED, AT_ONCE = 128, 64
 
 
 def word_ids(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of single words, one after the other, and how many each has: those that start in its characters."""
     ids, size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
     chunks = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-    for chunk, e in zip(chunks, _tokenizer(path).encode_batch([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
-        ends = np.cumsum(np.fromiter(map(len, chunk), np.int64, len(chunk)) + 1)
-        at = np.fromiter((x for x, _ in e.offsets), np.int64, len(e.ids))
-        ids.append(np.array(e.ids, np.uint32))
-        size.append(np.bincount(np.searchsorted(ends, at, "right"), minlength=len(chunk)))
+    for k in range(0, len(chunks), AT_ONCE):
+        some = chunks[k : k + AT_ONCE]
+        for chunk, e in zip(some, _tokenizer(path).encode_batch([" ".join(c) for c in some], add_special_tokens=False), strict=True):
+            ends = np.cumsum(np.fromiter(map(len, chunk), np.int64, len(chunk)) + 1)
+            at = np.fromiter((x for x, _ in e.offsets), np.int64, len(e.ids))
+            ids.append(np.array(e.ids, np.uint32))
+            size.append(np.bincount(np.searchsorted(ends, at, "right"), minlength=len(chunk)))
     return np.concatenate(ids), np.concatenate(size)
 
 
@@ -94,6 +100,16 @@ def _ranks(values: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return out
 
 
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch (id, text) in runs of rows of at most PORTION bytes of text; a longer text is alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    done = 0
+    while done < len(ends):
+        stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PORTION, "right")))
+        yield batch.slice(done, stop - done)
+        done = stop
+
+
 def _pieces(path: str, capacity: int, end: int, keep_ids: bool):
     schema = _piece_schema(keep_ids)
 
@@ -101,7 +117,7 @@ def _pieces(path: str, capacity: int, end: int, keep_ids: bool):
         from pyspark import TaskContext
 
         part, tokens, seen = TaskContext.get().partitionId(), WordTokens(path), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             ids, sizes = tokens.encode(batch.column(1))
             ids = np.insert(ids, np.cumsum(sizes), np.uint32(end)).astype("<u4", copy=False)
             sizes = sizes + 1
