@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -14,10 +14,30 @@ from ..sources import files
 from .processors import Citations, Saves, Transcript, WholeLines, with_state
 
 def stream_lines(parts: DataFrame, first: int = 0, ttl: int | None = None) -> DataFrame:
-    """Whole lines (source, line, value) of a stream of text parts (source, seq, value): see :class:`WholeLines`."""
+    """Whole lines (source, line, value) of a stream of text parts (source, seq, value): see :class:`WholeLines`. A batch
+    frame has all of its parts, so it needs no state."""
+    if not parts.isStreaming:
+        return _lines_at_once(parts, first)
     return with_state(parts, ["source"], WholeLines(first, ttl), WholeLines.SCHEMA, ttl)
 
 
+def _lines_at_once(parts: DataFrame, first: int) -> DataFrame:
+    """What :class:`WholeLines` gives for all parts in one batch. A source is dealt to a task once and sorted there; a
+    null part counts as a line break that ends no empty line, and a line without an end is none."""
+    by = Window.partitionBy("source").orderBy("seq")
+    t = parts.select(F.col("source").cast("string").alias("source"), F.col("seq").cast("long").alias("seq"), "value").filter(F.col("seq") >= first)
+    t = t.repartition("source").withColumn("before", F.lag("seq").over(by)).filter(F.col("before").isNull() | (F.col("seq") > F.col("before")))
+    t = t.withColumn("place", F.row_number().over(by)).filter(F.col("seq") == F.col("place") - 1 + first)
+    pieces = t.select("source", "seq", F.col("value").isNull().alias("ends"), F.when(F.col("value").isNull(), F.array(F.lit(""), F.lit(""))).otherwise(F.split("value", "\n", -1)).alias("p"))
+    breaks = F.sum(F.size("p") - 1).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    rows = pieces.withColumn("at", F.coalesce(breaks, F.lit(0))).select("source", "seq", "ends", "at", F.size("p").alias("n"), F.posexplode("p").alias("k", "piece"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"]), "")
+    whole = rows.groupBy("source", (F.col("at") + F.col("k")).alias("slot")).agg(text.alias("value"), F.bool_or(F.col("k") < F.col("n") - 1).alias("done"), F.bool_or(F.col("ends") & (F.col("k") == 0)).alias("ends"))
+    given = whole.filter("done and not (ends and value = '')")
+    line = F.row_number().over(Window.partitionBy("source").orderBy("slot")).cast("long") - 1
+    return given.select("source", line.alias("line"), "value")
+
+
 def stream_events(parts: DataFrame, schema: str, first: int = 0, ttl: int | None = None) -> DataFrame:
     """Events of NDJSON that arrives in parts; blank and broken lines are skipped."""
     return files.events_in(stream_lines(parts, first, ttl), schema)
